@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import line_dedup, quality_rules, token_counts, token_files
+from attestra.llm import (
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_lattice,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filters,
+)
 from attestra.llm.shared import Scratch, settled, table
 
 #: Where the vocabulary files lie; each operator takes its file's path as a parameter.
@@ -42,12 +53,104 @@ FROM marked GROUP BY doc_id
 """
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def toxic_training_rows():
+    return _fold(5) != 0
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxic_training_rows())
+    return scores.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode_digest(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document holds."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(4) != 2)
+    return scores.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch time; a day of 2024-2025 is derived from page_id."""
+    day = (F.col("page_id") * 7919 % 731).cast("int")
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_at"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """A dated block list over the domains of the captures: some registered domains and hosts are listed, some of them
+    taken off again, some listed once more. Dates follow from the domain's digest."""
+    domains = captures.select(F.explode(url_filters.parents_of(url_filters.host_of(F.col("url")))).alias("domain")).distinct()
+    digest = F.conv(F.substring(F.md5(F.col("domain").cast("binary")), 1, 7), 16, 10).cast("long")
+    rows = domains.withColumn("x", digest).where("x % 5 = 0")
+    since = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int"))
+    first, off, again = F.col("x") % 400, F.col("x") % 400 + 100 + F.col("x") % 90, F.col("x") % 400 + 300
+    name = F.when(F.col("x") % 2 == 0, "spam").otherwise("adult")
+    event = lambda day, action: F.struct(name.alias("list"), "domain", since(day).alias("dated"), F.lit(action).alias("action"))
+    events = F.array(
+        event(first, "add"),
+        F.when(F.col("x") % 3 != 0, event(off, "remove")),
+        F.when(F.col("x") % 7 == 0, event(again, "add")),
+    )
+    return rows.select(F.explode(F.array_compact(events)).alias("e")).select("e.*")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(spark, sf_dir)
+    return url_filters.filter_urls(captures, dated_entries(captures)).select("page_id", "host", "fetched_at", "n_lists", "lists", F.col("blocked").cast("int").alias("blocked"))
+
+
+OP7_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 731 AS INTEGER) AS DATE) AS fetched_at,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host
+  FROM pages
+), labelled AS (
+  SELECT DISTINCT host, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL
+), parents AS (
+  SELECT host, array_to_string(labels[i:len(labels)], '.') AS domain
+  FROM (SELECT host, labels, unnest(range(1, greatest(len(labels), 2))) AS i FROM labelled)
+), listed AS (
+  SELECT domain, CAST('0x' || substr(md5(domain), 1, 7) AS BIGINT) AS x FROM (SELECT DISTINCT domain FROM parents)
+), chosen AS (
+  SELECT domain, x, CASE WHEN x % 2 = 0 THEN 'spam' ELSE 'adult' END AS list FROM listed WHERE x % 5 = 0
+), entries AS (
+  SELECT list, domain, CAST(DATE '2024-01-01' + CAST(x % 400 AS INTEGER) AS DATE) AS dated, 'add' AS action FROM chosen
+  UNION ALL
+  SELECT list, domain, CAST(DATE '2024-01-01' + CAST(x % 400 + 100 + x % 90 AS INTEGER) AS DATE), 'remove' FROM chosen WHERE x % 3 <> 0
+  UNION ALL
+  SELECT list, domain, CAST(DATE '2024-01-01' + CAST(x % 400 + 300 AS INTEGER) AS DATE), 'add' FROM chosen WHERE x % 7 = 0
+), one AS (
+  SELECT list, regexp_replace(domain, '^www\.', '') AS domain, dated, max(action) AS action FROM entries GROUP BY ALL
+), spans AS (
+  SELECT list, domain, action, dated AS since, lead(dated) OVER (PARTITION BY list, domain ORDER BY dated) AS until FROM one
+), hits AS (
+  SELECT c.page_id, s.list FROM captures c JOIN parents p ON c.host = p.host
+  JOIN spans s ON s.domain = p.domain AND s.action = 'add' AND s.since <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until)
+), summed AS (
+  SELECT page_id, count(DISTINCT list) AS n_lists, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hits GROUP BY page_id
+)
+SELECT c.page_id, c.host, c.fetched_at, coalesce(s.n_lists, 0) AS n_lists, coalesce(s.lists, '') AS lists,
+  CASE WHEN s.page_id IS NULL THEN 0 ELSE 1 END AS blocked
+FROM captures c LEFT JOIN summed s ON c.page_id = s.page_id
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), f"{scratch.path}/orc", BYTE_BPE, end_id=2)
@@ -60,9 +163,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_line_dedup,
+    op2_toxicity,
+    op3_sentencepiece,
+    op4_decontamination,
+    op5_quality_rules,
+    op6_quality_classifier,
+    op7_url_filters,
+    op8_token_files,
+    op9_token_counts,
+    op10_ngram_jaccard,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op5_quality_rules, op8_token_files, op9_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL}
