@@ -1,11 +1,13 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
 Each task takes the distinct pre-tokens of its documents and walks their trie depth first (their sorted order is that
-walk, so only the path to the current node is held). The unigram forward scores of a prefix are computed once for all
-pre-tokens that share it; the terminal node stores the number of pieces of the best path. A document's count is the sum
-over its pre-tokens. Nothing is shuffled, and a lost task is simply run again.
+walk, so only the path to the current node is held). The forward step of a prefix is computed once for all pre-tokens
+that share it; the terminal node stores the number of pieces. A document's count is the sum over its pre-tokens.
+Nothing is shuffled, and a lost task is simply run again.
 
-The pieces are a sentencepiece model's, scored as a unigram model; characters without a piece count as their UTF-8 bytes.
+For a unigram model the forward step is the unigram forward score; for a model of merges, whose encoding is not the
+best sum of scores, it is the prefix's last piece (MergeCounter). Either gives the counts of the model's own encoding.
+Characters without a piece count as their UTF-8 bytes.
 Defined cases: a null or empty text has no tokens; long texts and pre-tokens are counted whole; an empty table gives an
 empty result; repeated rows are counted each.
 """
@@ -37,6 +39,15 @@ def pieces_of(path: str) -> dict[str, tuple[int, float]]:
     }
 
 
+def is_unigram(path: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
+
+
 def pre_tokens(text: str) -> list[str]:
     return _PRE.findall("▁" + text.replace(" ", "▁")) if text else []
 
@@ -47,40 +58,118 @@ class TrieCounter:
     def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
         self.scores = {p: s for p, (_, s) in pieces.items()}
         self.longest = max(map(len, self.scores), default=1)
-        self.unknown = min(self.scores.values(), default=0.0) - 10.0
+
+    def start(self) -> None:
+        """Begin a walk at the root."""
+        raise NotImplementedError
+
+    def back_to(self, depth: int) -> None:
+        raise NotImplementedError
+
+    def forward(self, word: str, end: int) -> None:
+        """Go down to the node of word[:end] from its parent."""
+        raise NotImplementedError
 
     def counts(self, words) -> dict[str, int]:
-        get, longest, unknown, out = self.scores.get, self.longest, self.unknown, {}
-        best, number, before = [0.0], [0], ""  # per depth of the path: forward score and pieces of the best path
+        out, before = {}, ""
+        self.start()
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1 :], number[shared + 1 :]
+            self.back_to(shared)
             for end in range(shared + 1, len(word) + 1):
-                top, pieces = None, 0
-                for start in range(max(0, end - longest), end):  # ties: the longest piece, as it comes first
-                    score = get(word[start:end])
-                    if score is not None and (top is None or best[start] + score > top):
-                        top, pieces = best[start] + score, number[start] + 1
-                if get(word[end - 1]) is None and (top is None or best[end - 1] + unknown > top):
-                    top, pieces = best[end - 1] + unknown, number[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-                best.append(top)
-                number.append(pieces)
-            out[word] = number[len(word)]
+                self.forward(word, end)
+            out[word] = self.number[len(word)]
             before = word
         return out
 
 
+class UnigramCounter(TrieCounter):
+    """Forward score of a prefix: the best sum of piece scores; number: the pieces of that path."""
+
+    def start(self) -> None:
+        self.unknown = min(self.scores.values(), default=0.0) - 10.0
+        self.best, self.number = [0.0], [0]
+
+    def back_to(self, depth: int) -> None:
+        del self.best[depth + 1 :], self.number[depth + 1 :]
+
+    def forward(self, word: str, end: int) -> None:
+        get, best, number = self.scores.get, self.best, self.number
+        top, pieces = None, 0
+        for start in range(max(0, end - self.longest), end):  # ties: the longest piece, as it comes first
+            score = get(word[start:end])
+            if score is not None and (top is None or best[start] + score > top):
+                top, pieces = best[start] + score, number[start] + 1
+        if get(word[end - 1]) is None and (top is None or best[end - 1] + self.unknown > top):
+            top, pieces = best[end - 1] + self.unknown, number[end - 1] + _n_bytes(word[end - 1])
+        best.append(top)
+        number.append(pieces)
+
+
+class MergeCounter(TrieCounter):
+    """For a table of merges, where the best sum of scores is not the encoding. A prefix's encoding has one last piece:
+    the one that stays apart from the last piece of the prefix before it when the two are merged by themselves. So the
+    forward step keeps each prefix's last piece and number of pieces instead of a score."""
+
+    def start(self) -> None:
+        if not hasattr(self, "apart"):
+            self.apart: dict[tuple[str, str], bool] = {}
+        self.last, self.number = [""], [0]
+
+    def back_to(self, depth: int) -> None:
+        del self.last[depth + 1 :], self.number[depth + 1 :]
+
+    def forward(self, word: str, end: int) -> None:
+        scores, apart, last = self.scores, self.apart, self.last
+        for start in range(max(0, end - self.longest), end):
+            piece = word[start:end]
+            if piece in scores:
+                pair = (last[start], piece)
+                fits = apart.get(pair)
+                if fits is None:
+                    if len(apart) > MEMO_WORDS:
+                        apart.clear()
+                    fits = apart[pair] = self.merged(pair[0] + piece) == [x for x in pair if x]
+                if fits:
+                    last.append(piece)
+                    self.number.append(self.number[start] + 1)
+                    return
+        last.append(word[end - 1])  # no piece: its bytes
+        self.number.append(self.number[end - 1] + _n_bytes(word[end - 1]))
+
+    def merged(self, text: str) -> list[str]:
+        """Adjacent symbols are joined, the best-scored piece first, the leftmost of equals."""
+        symbols, get = list(text), self.scores.get
+        while True:
+            best, at = None, 0
+            for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
+                score = get(a + b)
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return symbols
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+
+
+def _n_bytes(char: str) -> int:
+    return len(char.encode("utf-8", "surrogatepass"))
+
+
+def counter_of(path: str) -> TrieCounter:
+    return (UnigramCounter if is_unigram(path) else MergeCounter)(pieces_of(path))
+
+
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row."""
 
     def count(batches):
         counter = _worker.get(model)
         if counter is None:
-            counter = _worker[model] = TrieCounter(pieces_of(model))
+            counter = _worker[model] = counter_of(model)
             counter.known = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
