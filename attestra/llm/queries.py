@@ -19,7 +19,7 @@ from attestra.llm import (
     toxicity,
     url_filters,
 )
-from attestra.llm.shared import Scratch, settled, table
+from attestra.llm.shared import Scratch, table
 
 #: Where the vocabulary files lie; each operator takes its file's path as a parameter.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -154,7 +154,7 @@ FROM captures c LEFT JOIN summed s ON c.page_id = s.page_id
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), f"{scratch.path}/orc", BYTE_BPE, end_id=2)
-    digest = settled(token_files.token_digest(token_files.read_token_files(spark, f"{scratch.path}/orc")))
+    digest = token_files.token_digest(token_files.read_token_files(spark, f"{scratch.path}/orc"))
     scratch.remove()
     return digest
 

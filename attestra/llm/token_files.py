@@ -15,33 +15,44 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import texts_of
+from attestra.llm.shared import settled, texts_of
 
 #: Unicode white space, as the pre-tokenizer's \s has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 900_000
 #: place: the row in its file, from 0.
 FILE_SCHEMA = "doc_id long, place long, ids array<int>"
 _worker: dict = {}
 
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class _Memo(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.model._resize_cache(0)  # this memo is its cache
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 3 and chunk[-1] in ".," and chunk[-2].isalpha():  # letters and punctuation are split apart
+        bare = chunk[1:] if chunk[0] == " " else chunk
+        if bare.isalpha():  # letters alone are one piece for the model, in its byte-level alphabet
+            byte_level = chunk.replace(" ", _BYTES[32]) if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTES)
+            ids = array("I", [t.id for t in self.model.tokenize(byte_level)]).tobytes()
+        elif bare[-1:] in ".," and bare[:-1].isalpha():  # letters and punctuation are split apart
             ids = self[chunk[:-1]] + self[chunk[-1]]
         else:
-            ids = pa.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, pa.uint32()).to_numpy().tobytes()
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 40 and len(self) < MEMO_CHUNKS:
             self[chunk] = ids
         return ids
@@ -122,7 +133,7 @@ def token_digest(stored: DataFrame) -> DataFrame:
             n = pa.array(np.diff(at).astype(np.int64))
             yield pa.RecordBatch.from_arrays([doc_id, place, file, n, pa.array(crc, pa.int64())], names=["doc_id", "place", "file", "n_tokens", "ids_crc32"])
 
-    rows = stored.mapInArrow(sums, "doc_id long, place long, file int, n_tokens long, ids_crc32 long")
+    rows = settled(stored.mapInArrow(sums, "doc_id long, place long, file int, n_tokens long, ids_crc32 long"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
