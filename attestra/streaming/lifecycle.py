@@ -59,7 +59,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def fold(commands: DataFrame) -> DataFrame:
     """RESULTS of every command. A group is one case's commands, a handful."""
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _frame(_apply(key[0], None, rows)[1])
 
     return commands.groupBy("case_id").applyInPandas(one, RESULTS)
