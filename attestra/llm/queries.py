@@ -112,7 +112,7 @@ def dated_entries(captures: DataFrame) -> DataFrame:
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = dated_captures(spark, sf_dir)
-    return url_filters.filter_urls(captures, dated_entries(captures)).select("page_id", "host", "fetched_at", "n_lists", "lists", F.col("blocked").cast("int").alias("blocked"))
+    return url_filters.filter_urls(captures, dated_entries(captures)).select("page_id", "host", F.col("fetched_at").cast("string").alias("fetched_at"), "n_lists", "lists", F.col("blocked").cast("int").alias("blocked"))
 
 
 OP7_SQL = r"""
@@ -145,7 +145,7 @@ WITH captures AS (
 ), summed AS (
   SELECT page_id, count(DISTINCT list) AS n_lists, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hits GROUP BY page_id
 )
-SELECT c.page_id, c.host, c.fetched_at, coalesce(s.n_lists, 0) AS n_lists, coalesce(s.lists, '') AS lists,
+SELECT c.page_id, c.host, CAST(c.fetched_at AS VARCHAR) AS fetched_at, coalesce(s.n_lists, 0) AS n_lists, coalesce(s.lists, '') AS lists,
   CASE WHEN s.page_id IS NULL THEN 0 ELSE 1 END AS blocked
 FROM captures c LEFT JOIN summed s ON c.page_id = s.page_id
 """
