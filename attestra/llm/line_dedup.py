@@ -130,16 +130,19 @@ def dedup_lines(
     )
     runs.close()
     scratch.remove()
-    # What stays is the slices between dropped lines, which is linear in the number of lines.
-    marked = docs.join(
-        drops, (F.col("doc_id") == F.col("_ld_id")) & (F.xxhash64(F.col("text")) == F.col("_ld_of")), "left"
-    ).withColumn("_ld_lines", lines_of(F.col("text")))
+    # The input row goes along as one column, so that none of its names can clash with those used here. What stays is the
+    # slices between dropped lines, which is linear in the number of lines.
+    text = F.col("row.text")
+    marked = docs.select(F.struct("*").alias("row")).join(
+        drops, (F.col("row.doc_id") == F.col("_ld_id")) & (F.xxhash64(text) == F.col("_ld_of")), "left"
+    ).withColumn("_ld_lines", lines_of(text))
     ends = F.concat(F.col("_ld_at"), F.array(F.size("_ld_lines")))
     start = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_ld_at", F.greatest(i, F.lit(1))) + 1)
     kept = F.flatten(F.transform(ends, lambda end, i: F.slice("_ld_lines", start(i) + 1, end - start(i))))
-    return (
-        marked.withColumn("kept_text", F.when(F.col("_ld_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .withColumn("n_lines", F.size("_ld_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_ld_at"), F.lit(0)).cast("long"))
-        .drop("_ld_id", "_ld_of", "_ld_at", "_ld_lines")
-    )
+    added = {
+        "kept_text": F.when(F.col("_ld_at").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size("_ld_lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("_ld_at"), F.lit(0)).cast("long"),
+    }
+    done = marked.select("row", F.struct(*[v.alias(k) for k, v in added.items()]).alias("added"))
+    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], "added.*")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +54,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Ids (of 8 or 16 bytes) that may be sent to every task.
+MOST_SENT = 1_000_000
+
+
+def sent_if_few(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """ids to join texts with: broadcast if they are counted to be at most `most`, so that the texts need not move; beyond
+    that they are joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -51,12 +51,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.withColumn("_uf_domain", F.explode(parents_of(F.col("_uf_host"))))
     in_force = (F.col("_uf_since") <= F.col("_uf_at")) & (F.col("_uf_until").isNull() | (F.col("_uf_at") < F.col("_uf_until")))
     hits = asked.join(valid, "_uf_domain").where(in_force).groupBy("_uf_host", "_uf_at").agg(F.array_sort(F.collect_set("_uf_list")).alias("_uf_lists"))
-    judged = captures.withColumn("host", host_of(F.col("url")))
-    judged = judged.join(hits, (F.col("host") == F.col("_uf_host")) & (F.col("fetched_at") == F.col("_uf_at")), "left")
+    # The input row goes along as one column, so that none of its names can clash with those used here.
+    judged = captures.select(F.struct("*").alias("row")).withColumn("_uf_own", host_of(F.col("row.url")))
+    judged = judged.join(hits, (F.col("_uf_own") == F.col("_uf_host")) & (F.col("row.fetched_at") == F.col("_uf_at")), "left")
     lists = F.coalesce("_uf_lists", F.array().cast("array<string>"))
-    return (
-        judged.withColumn("lists", F.array_join(lists, ","))
-        .withColumn("n_lists", F.size(lists).cast("long"))
-        .withColumn("blocked", F.size(lists) > 0)
-        .drop("_uf_host", "_uf_at", "_uf_lists")
-    )
+    added = {"host": F.col("_uf_own"), "lists": F.array_join(lists, ","), "n_lists": F.size(lists).cast("long"), "blocked": F.size(lists) > 0}
+    done = judged.select("row", F.struct(*[v.alias(k) for k, v in added.items()]).alias("added"))
+    return done.select(*[F.col("row")[c].alias(c) for c in captures.columns if c.lower() not in added], "added.*")
