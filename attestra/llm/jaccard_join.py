@@ -6,9 +6,10 @@ similar share at least m of their first n - ceil(t n) + m, for any m up to ceil(
 prefix is lengthened while the estimated number of candidates, its postings over m, falls; a pair must share the
 lesser m of the two in the prefixes of that m before it is verified by its whole sets.
 
-Pairs are not expanded within a group of near copies. First every posting list links its members to its least one, and
-links that hold are joined to components. Then only pairs of different components remain; of each posting list that
-still has several, the members outside its largest component meet the others. Every pair that is not verified is within a
+Pairs are not expanded within a group of near copies. First every posting list links its members to its most common one,
+and links that hold are joined to components; members outside a list's largest component try that once more within it. Then only pairs of
+different components remain; of each posting list that still has several, the members outside its largest component
+meet the others. Every pair that is not verified is within a
 component already, so components are exact.
 
 Defined cases: a null or empty text has no shingles and links with nothing, a text of under five words is one shingle; rows
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import least_reachable
-from attestra.llm.shared import Scratch, settled
+from attestra.llm.shared import Scratch, sent_if_few, settled
 
 WORDS, PERCENT = 5, 80
 #: Match counts that a prefix may ask for.
-MATCHES = (1, 2, 4, 8)
+MATCHES = (1, 2, 4, 8, 16)
 #: How many shingles may be known as frequent (any set of them keeps the join exact; all tasks get it), and from how many
 #: texts of a task on a shingle is reported.
-MOST_FREQUENT, LOCALLY_FREQUENT = 100_000, 8
+MOST_FREQUENT, LOCALLY_FREQUENT = 300_000, 3
 
 
 class Shingler:
@@ -151,8 +152,10 @@ def prefixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null").mapInArrow(of, "doc_id long, n int, s1 long, s2 long, prefix array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, of, shingles): of is the set's signature."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes in ids (id, s1), from the texts with that doc_id and signature."""
+    ids = sent_if_few(ids.select(F.col("id").alias("doc_id"), "s1").distinct())
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "s1")
 
     def sets(batches):
         import numpy as np
@@ -160,13 +163,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
         shingles = Shingler()
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            held, found = [], []
+            for doc_id, text, s1 in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(text)
+                if len(s) and int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) == s1:
+                    held.append(doc_id)
+                    found.append(s)
             at = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            sign = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) if len(s) else 0 for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sign, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "s1", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["id", "shingles"])
 
-    return docs.mapInArrow(sets, "doc_id long, s1 long, shingles array<long>")
+    return texts.mapInArrow(sets, "id long, shingles array<long>")
 
 
 def _enough(n) -> F.Column:
@@ -174,8 +181,8 @@ def _enough(n) -> F.Column:
 
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shingle, id, n, m, place): the postings that another class shares, with each class's adaptive match count.
-    place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
+    """(shingle, id, n, m, common, place): the postings that another class shares, with each class's adaptive match count.
+    common: how much of the class others share, greatest for the least altered of a group of copies. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
     places = classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).select(
         "shingle", "id", "n", F.greatest(F.lit(0), F.col("pos") - (F.col("n") - _enough(F.col("n")))).cast("int").alias("place")
     )
@@ -183,27 +190,38 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.write(places.join(shared, "shingle"), "postings_all")
     # The estimated candidates of match count m: the postings of its prefix, less its own, over m.
     cost = [(F.sum(F.when(F.col("place") < m, F.col("held") - 1).otherwise(0)) / m).alias(f"c{m}") for m in MATCHES]
-    costs = found.groupBy("id", "n").agg(*cost)
+    costs = found.groupBy("id", "n").agg(F.count("*").alias("common"), *cost)
     usable = [F.when(_enough(F.col("n")) >= m, F.struct(F.col(f"c{m}").alias("cost"), F.lit(m).alias("m"))) for m in MATCHES]
-    chosen = costs.select("id", F.least(*usable, F.struct(F.lit(1e300).alias("cost"), F.lit(1).alias("m")))["m"].alias("m"))
+    chosen = costs.select("id", F.least(*usable, F.struct(F.lit(1e300).alias("cost"), F.lit(1).alias("m")))["m"].alias("m"), (F.col("common") / F.col("n")).alias("common"))
     return scratch.write(found.drop("held").join(chosen, "id").where("place < m"), "postings")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. Only classes that stand in a pair are read again."""
+    pairs = scratch.write(pairs, f"{name}_pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "s1"), "id")
+    sets = scratch.write(shingle_sets(docs, ids), f"{name}_sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return joined.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
+    found = scratch.write(joined.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"), name)
+    scratch.remove(f"{name}_pairs")
+    scratch.remove(f"{name}_sets")
+    return found
 
 
 def _candidates(meetings: DataFrame) -> DataFrame:
-    """Pairs that share enough of their prefixes. meetings: one row for each shared posting, with n and m of both."""
+    """Pairs that share enough of their prefixes of match count m, the lesser of the two. meetings: one row for each shared
+    posting, with n and m of both. Of two sets, the prefix that ends first in the global order holds all that they share
+    up to there; beyond it they share no more than its set has left, the needed overlap less m. So what both need
+    together, less that, must be shared in the prefixes; that is m at least."""
+    least = F.ceil(F.lit(PERCENT) * (F.col("an") + F.col("bn")) / (100 + PERCENT) - 1e-9)
+    needs = least - F.greatest(_enough(F.col("an")), _enough(F.col("bn"))) + F.least("am", "bm")
     return (
         meetings.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT) & (F.greatest("ap", "bp") < F.least("am", "bm")))
         .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.first(F.least("am", "bm")).alias("needs"))
+        .agg(F.count("*").alias("shared"), F.first(needs).alias("needs"))
         .where("shared >= needs")
         .select("a", "b")
     )
@@ -213,6 +231,14 @@ def _side(postings: DataFrame, side: str):
     return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("m").alias(f"{side}m"), F.col("place").alias(f"{side}p")]
 
 
+def _open_postings(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """The posting lists that hold several components, with each member's component and the list's largest one, main."""
+    placed = postings.join(parts.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("component", F.coalesce("component", "id")).drop("of")
+    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(main.select("shingle", F.col("m.component").alias("main")), "shingle")
+
+
 def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs."""
     spark = docs.sparkSession
@@ -222,35 +248,37 @@ def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> D
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("c"))
     classes = classes.select(F.col("c.doc_id").alias("id"), "s1", "s2", F.col("c.n").alias("n"), F.col("c.prefix").alias("prefix"))
     classes = scratch.write(classes, "classes")
+    members = scratch.write(signed.drop("prefix"), "members")
+    scratch.remove("signed")
     postings = _postings(classes, scratch)
     scratch.remove("postings_all")
-    suspects = postings.select("id").distinct().join(classes.select("id", "s1"), "id")
-    texts = docs.join(suspects.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = shingle_sets(texts).withColumnRenamed("doc_id", "id").join(suspects, ["id", "s1"]).dropDuplicates(["id"]).select("id", "shingles")
-    sets = scratch.write(sets, "sets")
-
-    first = postings.groupBy("shingle").agg(F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("place").alias("ap"))).alias("p"))
-    stars = postings.join(first, "shingle").select("p.*", *_side(postings, "b")).where("a <> b")
-    links = scratch.write(_verified(_candidates(stars), sets), "links_1")
+
+    # Each posting list's most common member is most like the others: a copy that few edits have touched.
+    side = F.struct("common", (-F.col("id")).alias("later"), *_side(postings, "a"))
+    stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select("p.a", "p.an", "p.am", "p.ap", *_side(postings, "b"))
+    links = _verified(_candidates(stars.where("a <> b")), docs, classes, scratch, "links_1")
     parts = least_reachable(links, scratch, "first")
 
-    placed = postings.join(parts.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.write(placed.drop("of"), "placed")
-    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(main.select("shingle", F.col("main.component").alias("main")), "shingle")
+    # Then the members outside a list's largest component meet its most common member.
+    joined = _open_postings(postings, parts).select("*", F.when(F.col("component") == F.col("main"), side).alias("side"))
+    inner = joined.groupBy("shingle").agg(F.max("side").alias("p"))
+    stars = joined.where("component <> main").join(inner, "shingle").select("p.a", "p.an", "p.am", "p.ap", *_side(postings, "b"))
+    links = links.unionByName(_verified(_candidates(stars), docs, classes, scratch, "links_2"))
+    parts = least_reachable(links, scratch, "second")
+
+    open_ = scratch.write(_open_postings(postings, parts), "open")
     outside = open_.where("component <> main").select("shingle", F.col("component").alias("ac"), *_side(open_, "a"))
     others = open_.select("shingle", F.col("component").alias("bc"), F.col("main"), *_side(open_, "b"))
     # Pairs of two outside members are met once, with the lesser id first.
     met = outside.join(others, "shingle").where("ac <> bc and (bc = main or a < b)")
     ordered = met.select(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_"), "an", "am", "ap", "bn", "bm", "bp")
-    rest = scratch.write(_verified(_candidates(ordered.withColumnsRenamed({"a_": "a", "b_": "b"})), sets), "links_2")
-    components = least_reachable(links.unionByName(rest), scratch, "second")
+    rest = _verified(_candidates(ordered.withColumnsRenamed({"a_": "a", "b_": "b"})), docs, classes, scratch, "links_3")
+    components = least_reachable(links.unionByName(rest), scratch, "third")
 
     class_of = classes.join(components.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(
         "s1", "s2", F.coalesce("component", "id").alias("component_id")
     )
-    out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "s1", "s2").join(class_of, ["s1", "s2"], "left")
+    out = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "s1", "s2").join(class_of, ["s1", "s2"], "left")
     out = settled(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
     scratch.remove()
     return out
