@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import texts_of
+from attestra.llm.shared import sent_if_few, settled, texts_of
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
 _BREAK = frozenset(".!?;:\n")
@@ -143,15 +143,17 @@ def learn_insults(docs: DataFrame, labels: DataFrame, most: int = 20_000, least:
     seeds = {f"={w}": 4.0 for w in SEED_INSULTS}
     if not n_toxic or n_toxic == n_labels:
         return seeds
-    toxic = docs.join(labels.where("label = 1").select("doc_id"), "doc_id").select("text")
+    toxic = docs.join(sent_if_few(labels.where("label = 1").select("doc_id")), "doc_id").select("text")
     filled = F.bit_count("bits")
-    contexts = F.when(filled >= 64, F.lit(300.0)).otherwise(-64.0 * F.log1p(-filled / 64.0))
+    # A sketch of 64 bits counts up to about 150 neighbourhoods; a fuller one says no more than that there are many.
+    contexts = F.when(filled >= 58, F.lit(None)).otherwise(F.round(-64.0 * F.log1p(-filled / 64.0)).cast("long"))
     need = least + 0.002 * n_toxic
     support = (
         toxic.mapInArrow(_support, "feature string, n long, bits long")
         .groupBy("feature")
         .agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-        .where((F.col("n") >= need) & (contexts >= min(need, 60.0) - 0.5))
+        .select("feature", F.least("n", contexts).alias("n"))
+        .where(F.col("n") >= need)
         .orderBy(F.desc("n"), "feature")
         .limit(most)
     )
@@ -179,7 +181,7 @@ def learn_insults(docs: DataFrame, labels: DataFrame, most: int = 20_000, least:
         for r in docs.select("text").mapInArrow(background, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     }
     shared.unpersist()
-    n_all, prior = everywhere["*"], n_toxic / n_labels
+    n_all, prior = max(everywhere.get("*", 0), 1), n_toxic / n_labels
     arcs = {}
     for feature, n in found.items():
         all_n = everywhere.get(feature, n)
@@ -227,10 +229,28 @@ def fit_curve(matched: DataFrame, labels: DataFrame) -> tuple[float, float]:
     return max(a, 0.01), b
 
 
+def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[dict[str, float], float, float, DataFrame]:
+    """(arcs, slope, intercept) and match_texts of all docs. train: which rows of labels may be learned from."""
+    known = settled(labels_of(labels, "toxic", train))
+    arcs = learn_insults(docs, known)
+    matched = settled(match_texts(docs, arcs))
+    return arcs, *fit_curve(matched, known), matched
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """(doc_id, score, clause_sum, n_clauses). train: which rows of labels may be learned from."""
-    known = labels_of(labels, "toxic", train)
-    arcs = learn_insults(docs, known)
-    matched = match_texts(docs, arcs)
-    a, b = fit_curve(matched, known)
+    _, a, b, matched = learn(docs, labels, train)
     return matched.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * F.col("clause_sum") + F.lit(b)))))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.5) -> DataFrame:
+    """The documents that score less than threshold, with all their columns. The texts are scored where they are."""
+    arcs, a, b, _ = learn(docs, labels, train)
+
+    def clean(batches):
+        grammar = Grammar(arcs)
+        for batch in batches:
+            sums = (grammar.match(t)[0] for t in texts_of(batch.column(batch.schema.get_field_index("text"))))
+            yield batch.filter(pa.array([1 / (1 + math.exp(-(a * x + b))) < threshold for x in sums], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

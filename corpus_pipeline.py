@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from attestra.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_lattice, toxicity
 from attestra.llm.queries import PIECE_MODEL, toxic_training_rows
-from attestra.llm.shared import Scratch, table
+from attestra.llm.shared import Scratch, sent_if_few, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
-    scores = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), toxic_training_rows())
-    rejected = scores.where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), toxic_training_rows())
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least doc_id stays; documents without shingles stay."""
     groups = jaccard_join.jaccard_components(docs)
-    extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    extra = sent_if_few(groups.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
 
 
