@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.components import least_reachable
@@ -181,10 +181,10 @@ def _enough(n) -> F.Column:
 
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shingle, id, n, m, common, place): the postings that another class shares, with each class's adaptive match count.
-    common: how much of the class others share, greatest for the least altered of a group of copies. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
+    """(shingle, id, n, m, common, pos, place, before, after): the postings that another class shares, with each class's adaptive
+    match count. pos: the place in the global order. common: how much of the class others share, greatest for the least altered of a group of copies. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
     places = classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).select(
-        "shingle", "id", "n", F.greatest(F.lit(0), F.col("pos") - (F.col("n") - _enough(F.col("n")))).cast("int").alias("place")
+        "shingle", "id", "n", "pos", F.greatest(F.lit(0), F.col("pos") - (F.col("n") - _enough(F.col("n")))).cast("int").alias("place")
     )
     shared = places.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     found = scratch.write(places.join(shared, "shingle"), "postings_all")
@@ -193,7 +193,14 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     costs = found.groupBy("id", "n").agg(F.count("*").alias("common"), *cost)
     usable = [F.when(_enough(F.col("n")) >= m, F.struct(F.col(f"c{m}").alias("cost"), F.lit(m).alias("m"))) for m in MATCHES]
     chosen = costs.select("id", F.least(*usable, F.struct(F.lit(1e300).alias("cost"), F.lit(1).alias("m")))["m"].alias("m"), (F.col("common") / F.col("n")).alias("common"))
-    return scratch.write(found.drop("held").join(chosen, "id").where("place < m"), "postings")
+    return scratch.write(_ranked(found.drop("held").join(chosen, "id").where("place < m")), "postings")
+
+
+def _ranked(postings: DataFrame) -> DataFrame:
+    """With before and after: how many of these postings the class has before and after each one."""
+    own = Window.partitionBy("id")
+    before = F.row_number().over(own.orderBy("pos")) - 1
+    return postings.withColumn("before", before).withColumn("after", F.count("*").over(own).cast("int") - 1 - F.col("before"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -213,13 +220,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Sc
 
 def _candidates(meetings: DataFrame) -> DataFrame:
     """Pairs that share enough of their prefixes of match count m, the lesser of the two. meetings: one row for each shared
-    posting, with n and m of both. Of two sets, the prefix that ends first in the global order holds all that they share
+    posting, with n, m, place, before and after of both. Of two sets, the prefix that ends first in the global order holds all that they share
     up to there; beyond it they share no more than its set has left, the needed overlap less m. So what both need
-    together, less that, must be shared in the prefixes; that is m at least."""
+    together, less that, must be shared in the prefixes; that is m at least. What they share of the prefixes stands before, at
+    or after each shared shingle in both, so meetings that leave too few postings for that are not paired."""
     least = F.ceil(F.lit(PERCENT) * (F.col("an") + F.col("bn")) / (100 + PERCENT) - 1e-9)
     needs = least - F.greatest(_enough(F.col("an")), _enough(F.col("bn"))) + F.least("am", "bm")
+    room = F.least("ab", "bb") + 1 + F.least("af", "bf")
     return (
-        meetings.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT) & (F.greatest("ap", "bp") < F.least("am", "bm")))
+        meetings.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT) & (F.greatest("ap", "bp") < F.least("am", "bm")) & (room >= needs))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first(needs).alias("needs"))
         .where("shared >= needs")
@@ -228,7 +237,7 @@ def _candidates(meetings: DataFrame) -> DataFrame:
 
 
 def _side(postings: DataFrame, side: str):
-    return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("m").alias(f"{side}m"), F.col("place").alias(f"{side}p")]
+    return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("m").alias(f"{side}m"), F.col("place").alias(f"{side}p"), F.col("before").alias(f"{side}b"), F.col("after").alias(f"{side}f")]
 
 
 def _open_postings(postings: DataFrame, parts: DataFrame) -> DataFrame:
@@ -255,23 +264,24 @@ def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> D
 
     # Each posting list's most common member is most like the others: a copy that few edits have touched.
     side = F.struct("common", (-F.col("id")).alias("later"), *_side(postings, "a"))
-    stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select("p.a", "p.an", "p.am", "p.ap", *_side(postings, "b"))
+    stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select("p.a", "p.an", "p.am", "p.ap", "p.ab", "p.af", *_side(postings, "b"))
     links = _verified(_candidates(stars.where("a <> b")), docs, classes, scratch, "links_1")
     parts = least_reachable(links, scratch, "first")
 
     # Then the members outside a list's largest component meet its most common member.
     joined = _open_postings(postings, parts).select("*", F.when(F.col("component") == F.col("main"), side).alias("side"))
     inner = joined.groupBy("shingle").agg(F.max("side").alias("p"))
-    stars = joined.where("component <> main").join(inner, "shingle").select("p.a", "p.an", "p.am", "p.ap", *_side(postings, "b"))
+    stars = joined.where("component <> main").join(inner, "shingle").select("p.a", "p.an", "p.am", "p.ap", "p.ab", "p.af", *_side(postings, "b"))
     links = links.unionByName(_verified(_candidates(stars), docs, classes, scratch, "links_2"))
     parts = least_reachable(links, scratch, "second")
 
-    open_ = scratch.write(_open_postings(postings, parts), "open")
+    # Two components share nothing but open postings, so these alone count as before and after.
+    open_ = scratch.write(_ranked(_open_postings(postings.drop("before", "after"), parts)), "open")
     outside = open_.where("component <> main").select("shingle", F.col("component").alias("ac"), *_side(open_, "a"))
     others = open_.select("shingle", F.col("component").alias("bc"), F.col("main"), *_side(open_, "b"))
     # Pairs of two outside members are met once, with the lesser id first.
     met = outside.join(others, "shingle").where("ac <> bc and (bc = main or a < b)")
-    ordered = met.select(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_"), "an", "am", "ap", "bn", "bm", "bp")
+    ordered = met.select(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_"), "an", "am", "ap", "ab", "af", "bn", "bm", "bp", "bb", "bf")
     rest = _verified(_candidates(ordered.withColumnsRenamed({"a_": "a", "b_": "b"})), docs, classes, scratch, "links_3")
     components = least_reachable(links.unionByName(rest), scratch, "third")
 
