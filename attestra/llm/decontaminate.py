@@ -7,10 +7,12 @@ words, one item's length apart, so that any copy of an item lies within one wind
 to less than the threshold can't bring an item over it alone; only postings of the others (essential) propose
 candidates, a candidate is scored if its blocks' greatest impacts reach the threshold, and all items above are retrieved.
 A retrieved item counts as leaked if the passage also holds `overlap` of the word trigrams of its question (all but the
-last sentence) and of its answer (the last sentence; without one, the last third).
+last sentence) and of its answer (the last sentence; without one, the last third). In a part of under SHORT words one
+changed word may take most trigrams away, so it may also be held by `overlap` of its words in order in one place, and so
+may an item of FEW to SHORT words as a whole. Words are runs of letters and digits, folded by Unicode, in items and texts.
 
 Defined cases: null or empty items are not indexed, and equal items are each reported; null or empty texts hold nothing;
-an item of under three words must occur as a whole; texts are read whole; extra columns pass through unread; an empty
+an item of under three words must occur as a whole, and so must one without letters or digits; texts are read whole; extra columns pass through unread; an empty
 table or benchmark finds nothing. An index of over `most_terms` postings is searched in blocks of items, all of them.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -25,13 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B, BLOCK = 1.2, 0.75, 64
-_SENTENCE = re.compile(rb"(?<=[.!?])\s+")
+#: From 10 words on, one changed word leaves at least 5 of 8 trigrams.
+SHORT = 10
+#: Fewer words in almost the same order are met by chance; such items keep to trigrams.
+FEW = 6
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_BETWEEN = re.compile(r"[\W_]+")
+_ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes([32]) * 128
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    """Runs of letters and digits, compatibility-composed and case-folded."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).split()
+    return _BETWEEN.sub(" ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())).encode().split()
+
+
+def signs_of(text: str) -> bytes:
+    """The text between single blanks, for items that have no words."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").split())
 
 
 def trigrams(words: list[bytes]) -> set[tuple]:
@@ -39,20 +55,39 @@ def trigrams(words: list[bytes]) -> set[tuple]:
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
-    sentences = _SENTENCE.split(text.encode("utf-8", "surrogatepass").lower().strip())
-    if len(sentences) > 1 and len(sentences[-1].split()) > 2:
-        return b" ".join(sentences[:-1]).split(), sentences[-1].split()
+    sentences = _SENTENCE.split(text.strip())
+    question, answer = words_of(" ".join(sentences[:-1])), words_of(sentences[-1])
+    if question and len(answer) > 2:
+        return question, answer
     words = words_of(text)
     cut = max(1, len(words) - max(3, len(words) // 3))
     return words[:cut], words[cut:] or words
 
 
+def aligned(part: list[bytes], words: list[bytes]) -> float:
+    """The greatest share of the part's words that stand in order among len(part) + 1 words in a row."""
+    known, best = set(part), 0
+    for i in [i for i, w in enumerate(words) if w in known]:
+        row = [0] * (len(part) + 1)
+        for w in words[i : i + len(part) + 1]:
+            if w in known:
+                before = 0
+                for k, p in enumerate(part, 1):
+                    before, row[k] = row[k], before + 1 if p == w else max(row[k], row[k - 1])
+        best = max(best, row[-1])
+    return best / len(part)
+
+
 class BlockMaxIndex:
     def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+        #: (id, signs) of the items without words.
+        self.signs = [(i, signs_of(t)) for i, t in items if t and not words_of(t) and t.strip()]
         items = [(i, t, w) for i, t in items if (w := words_of(t or ""))]
         self.share = share
-        self.ids = [i for i, _, _ in items]
-        self.parts = [tuple(map(trigrams, question_and_answer(t))) for _, t, _ in items]
+        #: Ids by index; those of `signs` come last.
+        self.ids = [i for i, _, _ in items] + [i for i, _ in self.signs]
+        self.words = [w for _, _, w in items]
+        self.parts = [[(p, trigrams(p)) for p in question_and_answer(t)] for _, t, _ in items]
         self.longest = max((len(w) for _, _, w in items), default=0)
         mean = sum(len(w) for _, _, w in items) / max(1, len(items))
         held = Counter(t for _, _, w in items for t in set(w))
@@ -95,11 +130,14 @@ class BlockMaxIndex:
     def search(self, text: str, overlap: float) -> dict[int, tuple[float, float, float]]:
         """Leaked items of a text: index -> best (score, question overlap, answer overlap)."""
         words = words_of(text)
+        hits: dict[int, tuple[float, float, float]] = {}
+        if self.signs:
+            held = signs_of(text)
+            hits = {i: (1.0, 1.0, 1.0) for i, (_, t) in enumerate(self.signs, len(self.words)) if t in held}
         if self.vocabulary.isdisjoint(words):
-            return {}
+            return hits
         step = max(self.longest, 8)
         places = [i for i, w in enumerate(words) if w in self.vocabulary]
-        hits: dict[int, tuple[float, float, float]] = {}
         last = max(0, -(-(len(words) - 2 * step) // step))
         windows = sorted({k for i in places for k in (min(i // step, last), min(i // step - 1, last)) if k >= 0})
         for k in windows:
@@ -110,15 +148,26 @@ class BlockMaxIndex:
                 continue
             grams = trigrams(window)
             for i, score in got:
-                question, answer = self.parts[i]
-                held = [
-                    len(p & grams) / len(p) if p and len(next(iter(p))) == 3 else float(_contains(window, next(iter(p)))) if p else 1.0
-                    for p in (question, answer)
-                ]
+                held = self.overlaps(i, window, grams, overlap)
                 if min(held) >= overlap and (score, *held) > hits.get(i, (0.0, 0.0, 0.0)):
                     hits[i] = (score, *held)
         return hits
 
+    def overlaps(self, i: int, window: list[bytes], grams: set[tuple], overlap: float) -> list[float]:
+        """How much of the item's question and of its answer the window holds."""
+        held = []
+        for part, few in self.parts[i]:
+            if len(part) > 2:
+                held.append(len(few & grams) / len(few))
+                if held[-1] < overlap and len(part) < SHORT <= len(self.words[i]):
+                    held[-1] = max(held[-1], aligned(part, window))
+            else:
+                held.append(float(_contains(window, tuple(part))) if part else 1.0)
+        if min(held) < overlap and FEW <= len(self.words[i]) < SHORT:
+            whole = aligned(self.words[i], window)
+            held = [max(h, whole) for h in held]
+        return held
+
 
 def _contains(words: list[bytes], few: tuple) -> bool:
     return any(tuple(words[i : i + len(few)]) == few for i in range(len(words) - len(few) + 1))

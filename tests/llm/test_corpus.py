@@ -144,3 +144,41 @@ def test_stages_take_odd_tables(spark, odd, none, sf):
     full = lambda t: t.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, full(odd), sf).count() > 0 and stage(spark, full(none), sf).count() == 0
+
+
+def test_short_answers_are_found(spark):
+    filler = " ".join(f"filler{k}" for k in range(60))
+    items = [
+        (1, "Which river runs through the old town of Marbeck and turns its nine mills? The Ösk river."),
+        (2, "How many bridges did the builders of the northern road leave unfinished? Seven bridges of stone."),
+        (3, "Is the red gate still open?"),
+        (4, "$$$ %%% ###"),
+        (5, None),
+    ]
+    rows = [
+        (1, f"{filler} {items[0][1]}&&& {filler}", {1}),
+        (2, f"{filler} ({items[1][1]}%%%{filler}", {2}),
+        (3, f"{filler} {items[1][1].replace('of stone', 'of wood')} {filler}", {2}),
+        (4, f"{filler} {items[0][1].replace('Ösk', 'wide')} {filler}", {1}),
+        (5, f"{filler} {items[0][1].upper()} {filler}", {1}),
+        (6, f"{filler} is the blue gate still open {filler}", {3}),
+        (7, f"{filler} is the gate {filler} red still open", set()),
+        (8, f"{filler} {items[1][1].split('?')[0]}? {filler}", set()),
+        (9, f"x$$$ %%%  ###y {filler}", {4}),
+        (10, "", set()),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, table).collect()}
+    assert got == {(d, i) for d, _, want in rows for i in want}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, table).collect()} == {7, 8, 10}
+
+
+def test_no_verbatim_item_is_lost(spark):
+    sf = "/root/testdata/sf0.1"
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (786, 9587, 1281, 8811, 9757) or doc_id % 40 = 0")
+    texts = [(r.item_id, r.text) for r in items.collect() if r.text]
+    want = {(d.doc_id, i) for d in docs.collect() for i, t in texts if t in (d.text or "")}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert {(786, 6), (9587, 6), (1281, 37), (8811, 115), (9757, 115)} <= want <= got
