@@ -11,9 +11,11 @@ Five small transducers read a clause's tokens and are composed left to right:
 A clause scores the sum of its matched arcs after these factors, a text the saturated sum over its matched clauses;
 words outside matched clauses count for nothing. A logistic curve fitted to labelled texts gives the score of 0 to 1.
 
-Learning: the support of a feature is the number of labelled toxic texts that hold it, or of distinct neighbourhoods it
-occurs in (estimated from a 64-bit sketch), whichever is less, so that copies of one toxic text teach no accidental
-words. Its purity compares that with its count over all texts. Only doc_id joins texts with labels.
+Learning: every feature of the labelled toxic texts is weighed, and its purity compares the number of toxic texts that
+hold it with that of all texts. Both count distinct texts, and a feature must occur in `least` neighbourhoods (estimated
+from a 64-bit sketch), so that copies of one toxic text teach no accidental words. It must also be more frequent there
+than chance explains (SIGNIFICANT). None of these limits depends on the number of texts. The learned arcs are added to
+the seed words. Only doc_id joins texts with labels.
 
 Defined cases: a null or empty text matches nothing and gets the curve's lowest score; labels that are null or without
 text teach nothing, a text with several labels is toxic if one says so; without toxic labels the grammar keeps its seed
@@ -44,6 +46,9 @@ INTENTS = frozenset("will gonna going shall werde werden vais voy".split())
 HARMS = frozenset("kill hurt beat destroy shoot stab burn töten schlagen verletzen tuer frapper blesser matar golpear herir".split())
 NEGATED, REPORTED, TARGETED, THREAT, SPAN, SATURATION = 0.5, 0.6, 1.25, 3.0, 3, 20.0
 STEMS = range(3, 7)
+#: Least exponent of Chernoff's bound on the chance of so many toxic texts: exp(-9) at most.
+SIGNIFICANT = 9.0
+SEEDS = {f"={w}": 4.0 for w in SEED_INSULTS}
 
 
 class Grammar:
@@ -136,60 +141,80 @@ def labels_of(labels: DataFrame, column: str, train: Column) -> DataFrame:
     )
 
 
-def learn_insults(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 3) -> dict[str, float]:
-    """The insult transducer's arcs. labels: (doc_id, label). most: a bound on the number of features that are weighed,
-    so that they may be sent to every task; the ones with the greatest support are taken."""
-    n_labels, n_toxic = labels.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    seeds = {f"={w}": 4.0 for w in SEED_INSULTS}
-    if not n_toxic or n_toxic == n_labels:
-        return seeds
-    toxic = docs.join(sent_if_few(labels.where("label = 1").select("doc_id")), "doc_id").select("text")
-    filled = F.bit_count("bits")
-    # A sketch of 64 bits counts up to about 150 neighbourhoods; a fuller one says no more than that there are many.
-    contexts = F.when(filled >= 58, F.lit(None)).otherwise(F.round(-64.0 * F.log1p(-filled / 64.0)).cast("long"))
-    need = least + 0.002 * n_toxic
-    support = (
-        toxic.mapInArrow(_support, "feature string, n long, bits long")
-        .groupBy("feature")
-        .agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-        .select("feature", F.least("n", contexts).alias("n"))
-        .where(F.col("n") >= need)
-        .orderBy(F.desc("n"), "feature")
-        .limit(most)
-    )
-    found = {r["feature"]: r["n"] for r in support.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(found))
+def _background(wanted):
+    """Arrow batches of (text, copies) -> feature, n: the distinct texts that hold it, each of the copies being its share.
+    wanted: the features to count; None counts all. Counts are passed on when many, so that a task's memory is bounded."""
+
+    def counted(counts):
+        names = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(counts[f]) for f in names], pa.float64())], names=["feature", "n"])
 
     def background(batches):
-        wanted, memo, counts = shared.value, {}, Counter()
+        words_kept, memo, counts = 300_000 if wanted else 30_000, {}, Counter()
         for batch in batches:
-            for text in texts_of(batch.column(0)):
+            for text, copies in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 held = set()
                 for word in set(_TOKEN.findall(text.lower())):
                     own = memo.get(word)
                     if own is None:
-                        if len(memo) > 300_000:
+                        if len(memo) > words_kept:
                             memo.clear()
-                        own = memo[word] = tuple(f for f in _features(word) if f in wanted)
+                        own = memo[word] = tuple(f for f in _features(word) if not wanted or f in wanted.value)
                     held.update(own)
-                counts["*"] += 1
-                counts.update(held)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
-
-    everywhere = {
-        r["feature"]: r["n"]
-        for r in docs.select("text").mapInArrow(background, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    }
-    shared.unpersist()
-    n_all, prior = max(everywhere.get("*", 0), 1), n_toxic / n_labels
-    arcs = {}
-    for feature, n in found.items():
-        all_n = everywhere.get(feature, n)
-        chance = all_n * n_toxic / n_all
-        purity = min((n / n_toxic * prior * n_all + 0.5) / (all_n + 1), 0.99)
-        if purity >= 0.5 and n > chance + 3 * math.sqrt(chance) + 1:
-            arcs[feature] = round(math.log(purity / (1 - purity)) - math.log(prior / (1 - prior)), 4)
-    return arcs or seeds
+                if copies == 1:
+                    counts.update(held)
+                else:
+                    for f in held:
+                        counts[f] += 1 / copies
+                if len(counts) > 300_000:
+                    yield counted(counts)
+                    counts = Counter()
+        yield counted(counts)
+
+    return background
+
+
+def learn_insults(docs: DataFrame, labels: DataFrame, most_sent: int = 200_000, least: int = 3) -> dict[str, float]:
+    """The learned arcs, all that pass. labels: (doc_id, label). most_sent: how many candidates may be sent to every task,
+    so that the others are not counted; beyond that all features are counted, with the same result."""
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    hashes = settled(hashed.select("doc_id", "h"))
+    groups = settled(hashes.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
+    n_all = hashes.count() - groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    known = hashes.join(labels, "doc_id").groupBy("h").agg(F.max("label").alias("label"))
+    n_labels, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n_toxic or n_toxic == n_labels:
+        return {}
+    chance, prior = n_toxic / n_all, n_toxic / n_labels
+    # Fewer toxic texts are not significant even if no other text holds the feature.
+    need = max(least, SIGNIFICANT / (chance - 1 - math.log(chance)))
+    toxic = hashed.join(sent_if_few(labels.where("label = 1").select("doc_id")), "doc_id").dropDuplicates(["h"]).select("text")
+    filled = F.bit_count("bits")
+    # A full sketch says no more than that there are many neighbourhoods.
+    contexts = F.when(filled >= 58, F.lit(150)).otherwise(F.round(-64.0 * F.log1p(-F.least(filled, F.lit(58)) / 64.0)))
+    candidates = settled(
+        toxic.mapInArrow(_support, "feature string, n long, bits long")
+        .groupBy("feature")
+        .agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
+        .where((F.col("n") >= need) & (contexts >= least))
+        .select("feature", "n")
+    )
+    few = candidates.count() <= most_sent
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in candidates.select("feature").collect())) if few else None
+    texts = hashed.select("text", "h").join(sent_if_few(groups), "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    everywhere = texts.mapInArrow(_background(wanted), "feature string, n double").groupBy("feature").agg(F.round(F.sum("n")).alias("all_n"))
+    expected = F.col("all_n") * chance
+    purity = F.least((F.col("n") / n_toxic * prior * n_all + 0.5) / (F.col("all_n") + 1), F.lit(0.99))
+    passed = (
+        candidates.join(everywhere, "feature")
+        .withColumn("purity", purity)
+        .where((F.col("purity") >= 0.5) & (F.col("n") > expected))
+        .where(F.col("n") * F.log(F.col("n") / expected) - F.col("n") + expected >= SIGNIFICANT)
+    )
+    arcs = {r["feature"]: round(math.log(r["purity"] / (1 - r["purity"])) - math.log(prior / (1 - prior)), 4) for r in passed.select("feature", "purity").collect()}
+    if wanted:
+        wanted.unpersist()
+    return arcs
 
 
 def match_texts(docs: DataFrame, arcs: dict[str, float]) -> DataFrame:
@@ -232,7 +257,7 @@ def fit_curve(matched: DataFrame, labels: DataFrame) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[dict[str, float], float, float, DataFrame]:
     """(arcs, slope, intercept) and match_texts of all docs. train: which rows of labels may be learned from."""
     known = settled(labels_of(labels, "toxic", train))
-    arcs = learn_insults(docs, known)
+    arcs = learn_insults(docs, known) or SEEDS
     matched = settled(match_texts(docs, arcs))
     return arcs, *fit_curve(matched, known), matched
 

@@ -110,3 +110,16 @@ def test_bands_refuse_repetition_and_noise():
     hidden = prose[:8192] + b"again " * 1000 + prose[8192:]
     assert not quality_rules.in_bands(hidden, compress)[0]
     assert not quality_rules.in_bands(b"", compress)[0]
+
+
+def test_no_candidate_is_left_out(spark):
+    """Over 20,000 more common features don't displace a rare, purely toxic one, whether or not candidates are sent."""
+    rng = random.Random(7)
+    common = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(6000)]
+    texts = [rng.choices(common, k=150 if i < 500 else 60) for i in range(6000)]
+    for i in range(6):
+        texts[i].insert(5, "wuxpim")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 500)) for i in range(6000)], "doc_id long, label int")
+    arcs = toxicity.learn_insults(docs, labels)
+    assert "=wuxpim" in arcs and toxicity.learn_insults(docs, labels, most_sent=0) == arcs
