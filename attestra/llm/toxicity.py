@@ -257,7 +257,7 @@ def fit_curve(matched: DataFrame, labels: DataFrame) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[dict[str, float], float, float, DataFrame]:
     """(arcs, slope, intercept) and match_texts of all docs. train: which rows of labels may be learned from."""
     known = settled(labels_of(labels, "toxic", train))
-    arcs = learn_insults(docs, known) or SEEDS
+    arcs = {**SEEDS, **learn_insults(docs, known)}
     matched = settled(match_texts(docs, arcs))
     return arcs, *fit_curve(matched, known), matched
 

@@ -123,3 +123,16 @@ def test_no_candidate_is_left_out(spark):
     labels = spark.createDataFrame([(i, int(i < 500)) for i in range(6000)], "doc_id long, label int")
     arcs = toxicity.learn_insults(docs, labels)
     assert "=wuxpim" in arcs and toxicity.learn_insults(docs, labels, most_sent=0) == arcs
+
+
+def test_support_does_not_depend_on_size(spark):
+    """A word of 1,500 toxic texts in 20 fixed neighbourhoods passes, and seed words stay beside learned ones."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)]
+    fixed = [f"{plain[k]} zorkle {plain[k + 1]}" for k in range(20)]
+    # 9,000 toxic rows: a floor of 0.2 % of them would be over 20
+    texts = [(i, " ".join(rng.choices(plain, k=8)) + (" " + fixed[i % 20] if i < 1500 else "")) for i in range(20_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 9000)) for i in range(20_000)], "doc_id long, quality int, toxic int")
+    arcs, *_ = toxicity.learn(docs, labels, F.lit(True))
+    assert "=zorkle" in arcs and set(toxicity.SEEDS) <= set(arcs)
