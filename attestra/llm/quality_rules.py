@@ -2,7 +2,8 @@
 
 A text's zstandard ratio (raw bytes over compressed bytes) must lie in a band whose limits depend on its length: short
 texts can't be compressed much, long ones always can. The same holds for every fixed chunk of the text, so that a
-repetitive or random part can't hide in a long document. Base counts (symbols, repeated lines and windows) come with it.
+repetitive or random part can't hide in a long document. A rest too short for a chunk is judged within the text's last
+CHUNK bytes, and from TAIL_LEAST bytes on also by the limits of a text of its length. Base counts (symbols, repeated lines and windows) come with it.
 
 Defined cases: a null or empty text has no words, fails the base rule and is rejected; texts of any length are read whole,
 chunk by chunk; repeated rows are judged alike; an empty table gives an empty result.
@@ -29,8 +30,9 @@ DOCUMENT_BANDS = (
     (32768, 1.5, 3.0),
     (262144, 1.5, 3.4),
 )
-#: For chunks of CHUNK bytes; a last chunk of under CHUNK_LEAST bytes is not judged.
+#: For chunks of CHUNK bytes and a last one of CHUNK_LEAST or more; a shorter rest is a tail (see `in_bands`).
 CHUNK, CHUNK_LEAST, CHUNK_BAND, LEVEL = 4096, 1024, (1.2, 2.6), 3
+TAIL_LEAST = 128
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -55,14 +57,24 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
+def _document_band(n: int) -> tuple[float, float]:
+    return DOCUMENT_BANDS[bisect_right(DOCUMENT_BANDS, n, key=lambda b: b[0]) - 1][1:]
+
+
 def in_bands(raw: bytes, compress) -> tuple[bool, float, float, float]:
     """compress: a function from bytes to compressed bytes."""
-    _, low, high = DOCUMENT_BANDS[bisect_right(DOCUMENT_BANDS, len(raw), key=lambda b: b[0]) - 1]
+    low, high = _document_band(len(raw))
     ratio = len(raw) / len(compress(raw)) if raw else 0.0
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
+    tail = chunks[-1] if len(raw) > CHUNK and len(chunks[-1]) < CHUNK_LEAST else b""
+    if tail:
+        chunks[-1] = raw[-CHUNK:]
     ratios = [len(c) / len(compress(c)) for c in chunks if len(c) >= CHUNK_LEAST]
     top, bottom = max(ratios, default=ratio), min(ratios, default=ratio)
     fine = low <= ratio <= high and (not ratios or CHUNK_BAND[0] <= bottom and top <= CHUNK_BAND[1])
+    if fine and len(tail) >= TAIL_LEAST:
+        low, high = _document_band(len(tail))
+        fine = low <= len(tail) / len(compress(tail)) <= high
     return fine, ratio, top, bottom
 
 

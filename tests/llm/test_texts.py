@@ -136,3 +136,14 @@ def test_support_does_not_depend_on_size(spark):
     labels = spark.createDataFrame([(i, 1, int(i < 9000)) for i in range(20_000)], "doc_id long, quality int, toxic int")
     arcs, *_ = toxicity.learn(docs, labels, F.lit(True))
     assert "=zorkle" in arcs and set(toxicity.SEEDS) <= set(arcs)
+
+
+def test_bands_judge_the_end():
+    compress, rng = zstandard.ZstdCompressor(level=3).compress, random.Random(2)
+    syllables = [a + b + c for a in "tkmnsrlp" for b in "aeiou" for c in ("", "n", "r")]
+    prose = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(4000)).encode()
+    for n in (0, 1, 60, 127, 128, 400, 600, 1000, 1023):
+        assert quality_rules.in_bands(prose[: 12288 + n], compress)[0]
+    for n in (200, 500, 996, 1023):
+        assert not quality_rules.in_bands(prose[:16384] + (b"again " * 200)[:n], compress)[0]
+    assert not quality_rules.in_bands(prose[:16384] + rng.randbytes(900), compress)[0]
