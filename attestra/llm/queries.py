@@ -67,7 +67,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_lattice.encode_digest(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return sentencepiece_lattice.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,77 +1,123 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-The model's piece table is a relation (piece, id, score). Texts are cut into words that no piece reaches
-over (`cut_words`), and each distinct word is encoded once: its substrings of bounded
-length are exploded, equi-joined with the piece table, the resulting edges grouped by word, and the
-encoding found by a fold over them with the higher-order function aggregate. For a unigram model the fold is Viterbi, in
-order of the edges' ends. For a model of merges (BPE), whose encoding is not the best path by score, the fold joins pieces
-along the edges in order of score. Words of over LONGEST characters of such a model go to the library. A character
-without a piece becomes its UTF-8 byte pieces. Decoding maps ids to pieces and joins them; it is checked word by word.
-
-Encoded words go back to texts by joins: frequent words (as many as `most_frequent`, found by exact counts) are broadcast,
-the others are joined by shuffle on the word. `encode_documents` gathers the ids of each text, `encode_digest` sums.
-
-Defined cases: a null or empty text has no words; a word of any length is encoded whole, in rows linear in its length;
-repeated rows are texts of their own (doc_id and text together identify one); a null doc_id stays; empty tables give
-empty results. Only doc_id and text are read.
+The model's piece table is a relation (piece, id, score). Texts are cut where no piece reaches over (`Cutter`),
+and the words between the cuts are encoded apart: their substrings of bounded length are exploded, equi-joined
+with the piece table, the resulting edges grouped by word, and the encoding found by a fold over the edges with the
+higher-order function aggregate. For a unigram model the fold is Viterbi, in order of the edges' ends. For a model of
+merges (BPE), whose encoding is not the best path by score, the fold takes the edges in order of score and joins the two
+symbols that an edge spans. A character without a piece becomes its UTF-8 byte pieces.
+
+Words that are met often (as many as `most_frequent`) are encoded once, and their ids sent to every task. The others are
+encoded beside their document: rows are dealt out once by row, with the ids that are known and the words that are not,
+and lattice, fold and assembly need no further shuffle. Which words count as frequent changes no result. `decode_documents`
+maps ids back to texts; `encode_documents` does so too and says whether the text came back.
+
+Defined cases: a null or empty text has no ids; texts and words of any length are encoded whole (a word is a run without
+any cut; the time for one grows with the square of its length); repeated rows are texts of their own; a null doc_id stays;
+empty tables give empty results. A literal U+2581 in a text is encoded as the space it stands for, so that decoding gives
+a space. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.shared import Scratch, settled, texts_of
+from attestra.llm.shared import Scratch, texts_of
 from attestra.llm.token_counts import is_unigram
 
-#: More pieces than this are joined by shuffle.
-MOST_PIECES, MOST_FREQUENT = 500_000, 200_000
+#: More pieces than this are joined by shuffle. Frequent words are sent as two hashes and ids, some 30 bytes each.
+MOST_PIECES, MOST_FREQUENT = 500_000, 1_000_000
 UNKNOWN_PENALTY = 10.0
+#: Characters of a word whose ends fit into the bits of a long.
+BITS = 61
 SPACE = "▁"
-#: Words whose edges one task groups in memory, which is faster than by sorting.
-WORDS_A_PART = 10_000
-#: Characters of a word whose piece ends fit into the 63 bits of a fold's state.
-LONGEST = 61
+#: Words of the table of frequent words that one task encodes; distinct chunks, and characters of them, that a task counts
+#: or remembers at once.
+WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 150_000, 10_000_000
+#: A task reports what it has met so often; only a hint of which words are frequent.
+LOCALLY_FREQUENT = 2
+#: Characters of the texts that a task looks at together.
+CHARS_AT_ONCE = 1_000_000
 
+_WORD = re.compile("▁*[^▁\n]+|▁+|\n")
+_CHUNK = re.compile("(?:^| )( *[^ ]*)")
 
-_PLAIN = re.compile("▁*[^▁\n]+|▁+|\n")
-_MARKED = re.compile("▁*[^▁\n.,]+|[.,]|▁+|\n")
-#: A mark that doesn't stand between a letter and a space or line end.
-_ODD_MARK = re.compile(r"(?:^|[\W\d_²])[.,]|[.,][^ \n]")
 
-
-def cut_words(text: str) -> list[str]:
-    """The words of a text: a run of spaces (each as SPACE, one before the text) and what follows; lines, and full stops and
-    commas between a letter and a space, are words of their own. No piece of a table reaches over these cuts (see
-    `piece_table`), so that words are encoded apart."""
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text between spaces; of a run of spaces one stands between two chunks, the others lead the next."""
     if not text:
         return []
-    spaced = SPACE + text.replace(" ", SPACE)
-    return (_PLAIN if _ODD_MARK.search(text) else _MARKED).findall(spaced)
-
-
-def piece_table(spark: SparkSession, model: str) -> tuple[DataFrame, int]:
-    """(piece, id, score) of a model file, and the id of byte 0. The file is small and local to the driver. A table with a
-    piece that reaches over a cut of `cut_words` is refused."""
-    import sentencepiece
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    return text.split(" ") if text[0] != " " and "  " not in text else _CHUNK.findall(text)
+
+
+class Cutter:
+    """chunk -> the words that are encoded apart: a run of spaces (each as SPACE, one more before the chunk) and what
+    follows, line ends by themselves, and all that cut wherever two characters stand side by side in no piece. No piece
+    reaches over these cuts (see `Pieces`)."""
+
+    def __init__(self, neighbours: frozenset[str]) -> None:
+        self.neighbours = neighbours
+
+    def __call__(self, chunk: str) -> list[str]:
+        near, out = self.neighbours, []
+        for word in _WORD.findall(SPACE + chunk.replace(" ", SPACE)):
+            start = 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in near:
+                    out.append(word[start:i])
+                    start = i
+            out.append(word[start:])
+        return out
+
+
+class Pieces:
+    """A model's pieces. table: (piece, id, score, rank, late), rank being the place in order of score. late marks a piece of
+    which a better-scored piece can be made: joining it may open a join that comes before it (see `merge_words`).
+    first_byte: the id of byte 0. cutter: see Cutter."""
+
+    def __init__(self, spark: SparkSession, model: str) -> None:
+        """The model file is small and local to the driver. A table with a piece that reaches over a cut is refused."""
+        import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    rows, first = [], 0
-    for i in range(m.get_piece_size()):
-        if m.is_byte(i):
-            first = i if m.id_to_piece(i) == "<0x00>" else first
-        elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-            rows.append((m.id_to_piece(i), i, float(m.get_score(i))))
-    odd = [p for p, _, _ in rows if re.search(rf"[^{SPACE}]{SPACE}|\n|[^\W\d_²][.,]", p)]
-    if odd:
-        raise ValueError(f"pieces reach over words: {odd[:5]}")
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    return spark.createDataFrame(rows, schema), first
+        m = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.model, self.unigram, self.first_byte, self.spelling = model, is_unigram(model), 0, []
+        scores: dict[str, tuple[int, float]] = {}
+        for i in range(m.get_piece_size()):
+            if m.is_byte(i):
+                self.first_byte = i if m.id_to_piece(i) == "<0x00>" else self.first_byte
+                self.spelling.append(bytes([i - self.first_byte]))
+                continue
+            piece = m.id_to_piece(i)
+            known = not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i))
+            self.spelling.append(piece.replace(SPACE, " ").encode() if known else b"")
+            if known:
+                scores[piece] = (i, float(m.get_score(i)))
+        odd = [p for p in scores if re.search(rf"[^{SPACE}]{SPACE}|\n", p)]
+        if odd:
+            raise ValueError(f"pieces reach over words: {odd[:5]}")
+        late = set()
+        for piece, (_, score) in scores.items():
+            for k in range(1, len(piece)):
+                for part, rest in ((piece[:k], piece[k:]), (piece[k:], piece[:k])):
+                    if len(part) > 1 and part in scores and scores[part][1] < score and (len(rest) == 1 or rest in scores):
+                        late.add(part)
+        self.cutter = Cutter(frozenset(p[i : i + 2] for p in scores for i in range(len(p) - 1)))
+        self.longest, self.least = max(map(len, scores), default=1), min((s for _, s in scores.values()), default=0.0)
+        names = [("piece", T.StringType()), ("id", T.IntegerType()), ("score", T.DoubleType()), ("rank", T.IntegerType()), ("late", T.BooleanType())]
+        ranks = {s: k for k, s in enumerate(sorted({s for _, s in scores.values()}, reverse=True))}
+        table = spark.createDataFrame([(p, i, s, ranks[s], p in late) for p, (i, s) in scores.items()], T.StructType([T.StructField(*x) for x in names]))
+        self.table = F.broadcast(table) if len(scores) <= MOST_PIECES else table
+
+    def encode(self, words: DataFrame, keys: list[str]) -> DataFrame:
+        """keys and ids of words (keys, among them word). A null word has null ids."""
+        return (viterbi_words if self.unigram else merge_words)(words, keys, self)
 
 
 def _byte_ids(char: Column, first: int) -> Column:
@@ -79,35 +125,25 @@ def _byte_ids(char: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def _lattice(words: DataFrame, pieces: DataFrame, first_score: Column) -> DataFrame:
-    """(word, n, edges): edges are struct(end, start, id, score), sorted. first_score: that of a character
-    without a piece, whose edge has a null id."""
-    n_pieces, longest = pieces.agg(F.count("*"), F.max(F.char_length("piece"))).first()
+def _lattice(words: DataFrame, keys: list[str], pieces: Pieces, edge: Column) -> DataFrame:
+    """keys and edges: the sorted array of edge, which is made of start, len and a piece's columns; these are null
+    for a character without a piece."""
     size = F.char_length("word")
-    cut = (
-        words.where(size > 0)
-        .select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-        .select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest or 1), size - F.col("start")))).alias("len"))
-        .select("word", "n", "start", "len", F.substring(F.col("word"), F.col("start") + 1, F.col("len")).alias("piece"))
-    )
-    known = F.broadcast(pieces) if n_pieces <= MOST_PIECES else pieces
-    edge = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.col("id"), F.coalesce("score", first_score).alias("score"))
-    return (
-        cut.join(known, "piece", "left")
-        .where(F.col("id").isNotNull() | (F.col("len") == 1))
-        .groupBy("word", "n")
-        .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    )
+    start = words.select(*keys, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("start"))
+    length = F.when(size > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start"))))
+    cut = start.select(*keys, "start", F.explode_outer(length).alias("len")).withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("len")))
+    found = cut.join(pieces.table, "piece", "left").where(F.col("id").isNotNull() | F.coalesce(F.col("len") == 1, F.lit(True)))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("len").isNotNull(), edge))).alias("edges"))
 
 
 def _char(i: Column) -> Column:
     return F.substring(F.col("word"), i, F.lit(1))
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int) -> DataFrame:
-    """(word, n, ids array<int>) of distinct words (word, n), by the best path. If they are partitioned by word, nothing is shuffled."""
-    least = pieces.agg(F.min("score")).first()[0]
-    lattice = _lattice(words, pieces, F.lit((least or 0.0) - UNKNOWN_PENALTY))
+def viterbi_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
+    """The best path of each word: the greatest sum of scores."""
+    score = F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY))
+    lattice = _lattice(words, keys, pieces, F.struct((F.col("start") + F.col("len")).alias("end"), "start", "id", score.alias("score")))
     # paths[i] is the best way to end at i: its score, then the earlier start (ties go to the longer piece), then its piece.
     node = "struct<score:double,earlier:int,id:int>"
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("earlier"), F.lit(None).cast("int").alias("id"))).cast(f"array<{node}>")
@@ -122,93 +158,97 @@ def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int) -> DataFr
 
     def back(acc, i):
         here = F.element_at(acc["paths"], i + 1)
-        ids = F.when(here["id"].isNull(), _byte_ids(_char(i), first_byte)).otherwise(F.array(here["id"]))
+        ids = F.when(here["id"].isNull(), _byte_ids(_char(i), pieces.first_byte)).otherwise(F.array(here["id"]))
         step = F.struct((-here["earlier"]).alias("at"), F.concat(ids, acc["ids"]).alias("ids"), acc["paths"].alias("paths")).cast(state)
         return F.when(acc["at"] == i, step).otherwise(acc)
 
     whole = F.struct(F.char_length("word").alias("at"), F.array().cast("array<int>").alias("ids"), F.aggregate("edges", start, extend).alias("paths")).cast(state)
     ids = F.aggregate(F.sequence(F.char_length("word"), F.lit(1), F.lit(-1)), whole, back, lambda acc: acc["ids"])
-    return lattice.select("word", "n", ids.alias("ids"))
-
-
-def merge_words(words: DataFrame, pieces: DataFrame, first_byte: int) -> DataFrame:
-    """encode_words for a table of merges and words of at most LONGEST characters. The fold's state is the set of piece
-    ends as bits. Each step takes the best-scored edge (the leftmost of equals) that joins just two present pieces, and
-    removes the end between them; after as many steps as there are characters, nothing is left to join."""
-    lattice = _lattice(words, pieces, F.lit(0.0))
-    one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    inner = lambda e: (bit(e["end"]) - 1).bitwiseAND(F.bitwise_not(bit(e["start"] + 1) - 1))
-    edge = lambda e: F.struct(
-        (-e["score"]).alias("rank"), e["start"].alias("start"), e["id"].alias("id"), bit(e["start"]).bitwiseOR(bit(e["end"])).alias("ends"), inner(e).alias("inner")
-    )
-    edges = F.transform("edges", edge)
-    joins = F.array_sort(F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), edge))
+    return lattice.select(*keys, F.when(F.char_length("word") > 0, ids).alias("ids"))
+
+
+def merge_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
+    """The merges of each word: a fold over its edges in order of score, the leftmost of equals first. An edge that spans
+    just two symbols joins them: as no edge before it is open, it is the best. Only joining a `late` piece may open an
+    edge that has passed; if one is, the word is folded again (`slowly`), looking for the best open edge at each step.
+
+    The symbols are kept as the set of their ends, in the bits of a long for words of up to BITS characters and in an
+    array for longer ones."""
+    # Edges of one character come first, by start; the others by score. rank holds both score and start.
+    one = F.col("len") == 1
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(i, F.lit(BITS + 1)))
+    end = F.col("start") + F.col("len")
+    ends, inner = bit(F.col("start")).bitwiseOR(bit(end)), (bit(end) - 1).bitwiseAND(F.bitwise_not(bit(F.col("start") + 1) - 1))
+    rank = F.call_function("shiftleft", F.when(one, F.lit(0)).otherwise(F.col("rank") + 1).cast("long"), F.lit(32)) + F.col("start")
+    edge = F.struct(
+        rank.alias("rank"), "start", end.alias("end"), ends.alias("ends"), inner.alias("inner"),
+        F.coalesce("id", -1 - F.col("start")).alias("id"), (F.coalesce("late", F.lit(False)) & ~one).alias("late"),
+    )
+    size = F.char_length("word")
+    lattice = _lattice(words, keys, pieces, edge)
+    lattice = lattice.select(*keys, "edges", F.slice("edges", size + 1, F.size("edges")).alias("joins"))
+    ids = F.when(size <= BITS, _joined_as_bits(size)).otherwise(_joined_as_array(size))
+    left = lattice.select(*keys, F.when(size > 0, ids).alias("left"))
+    spelled = F.flatten(F.transform("left", lambda i: F.when(i < 0, _byte_ids(_char(-i), pieces.first_byte)).otherwise(F.array(i))))
+    return left.select(*keys, F.when(F.exists("left", lambda i: i < 0), spelled).otherwise(F.col("left")).alias("ids"))
 
-    # The edges are carried in the state: captured in the function, they would be made again at each step.
-    def join(acc, _):
-        ends = acc["ends"]
-        open_ = F.filter(acc["joins"], lambda e: (ends.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(ends.bitwiseAND(e["inner"])) == 1))
-        left = ends.bitwiseAND(F.bitwise_not(F.get(open_, F.lit(0))["inner"]))
-        step = F.struct(F.coalesce(left, ends).alias("ends"), left.isNull().alias("done"), acc["joins"].alias("joins"), acc["edges"].alias("edges"))
-        return F.when(acc["done"], acc).otherwise(step)
 
-    def spell(acc):
-        ends = acc["ends"]
-        present = F.filter(acc["edges"], lambda e: (ends.bitwiseAND(e["ends"]) == e["ends"]) & (ends.bitwiseAND(e["inner"]) == 0))
-        placed = F.array_sort(F.transform(present, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-        return F.flatten(F.transform(placed, lambda e: F.when(e["id"].isNull(), _byte_ids(_char(e["start"] + 1), first_byte)).otherwise(F.array(e["id"]))))
+def _fold_in_order(begin: Column, opened, joined) -> Column:
+    """The fold over joins, in one pass if that is exact, and once more from the start if not. begin: the symbols of one
+    character each; opened(symbols, edge): does the edge span just two; joined(symbols, edge): the symbols then."""
 
-    every = F.struct((bit(F.char_length("word") + 1) - 1).alias("ends"), F.lit(False).alias("done"), joins.alias("joins"), edges.alias("edges"))
-    ids = F.aggregate(F.sequence(F.lit(1), F.char_length("word")), every, join, spell)
-    return lattice.select("word", "n", ids.alias("ids"))
+    def join(acc, e):
+        def step(at):
+            passed = F.exists("joins", lambda x: (x["rank"] < e["rank"]) & ((x["start"] == e["start"]) | (x["end"] == e["end"])) & opened(at, x))
+            return F.struct(at.alias("at"), (e["late"] & passed).alias("again"))
 
+        new = F.get(F.transform(F.array(joined(acc["at"], e)), step), F.lit(0))
+        return F.when(acc["again"], acc).when(opened(acc["at"], e), new).otherwise(acc)
 
-def long_words(words: DataFrame, model: str) -> DataFrame:
-    """(word, n, ids) of words with more ends than a fold's state has bits, by the library."""
+    def slowly(at, _):
+        best = F.slice(F.filter("joins", lambda e: opened(at, e)), 1, 1)
+        return F.coalesce(F.get(F.transform(best, lambda e: joined(at, e)), F.lit(0)), at)
 
-    def encode(batches):
-        import pyarrow as pa
-        import sentencepiece
+    once = F.aggregate("joins", F.struct(begin.alias("at"), F.lit(False).alias("again")), join)
+    again = F.aggregate("joins", begin, slowly)
+    return F.get(F.transform(F.array(once), lambda x: F.when(x["again"], again).otherwise(x["at"])), F.lit(0))
 
-        m = sentencepiece.SentencePieceProcessor(model_file=model)
 
-        def encode(word: str) -> list[int]:
-            if word[0] == SPACE:
-                return m.encode(word[1:].replace(SPACE, " "))
-            # The library puts a space before a text: after a line end, which no piece holds, it stays apart.
-            return m.encode("\n" + word)[len(m.encode("\n")) :]
+def _joined_as_bits(size: Column) -> Column:
+    def opened(at, e):
+        return (at.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(at.bitwiseAND(e["inner"])) == 1)
 
-        for batch in batches:
-            ids = [encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+    at = _fold_in_order(F.call_function("shiftleft", F.lit(1).cast("long"), size + 1) - 1, opened, lambda at, e: at.bitwiseAND(F.bitwise_not(e["inner"])))
+
+    def ids(at):
+        left = F.filter("edges", lambda e: (at.bitwiseAND(e["ends"]) == e["ends"]) & (at.bitwiseAND(e["inner"]) == 0))
+        return F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
 
-    return words.select("word", "n").mapInArrow(encode, "word string, n long, ids array<int>")
+    return F.get(F.transform(F.array(at), ids), F.lit(0))
 
 
-def decode_words(encoded: DataFrame, pieces: DataFrame, first_byte: int) -> DataFrame:
-    """encoded (word, n, ids) with decoded: the ids' pieces joined, byte pieces read as UTF-8."""
-    known = F.broadcast(pieces.select("id", F.hex(F.encode("piece", "UTF-8")).alias("code")))
-    parts = encoded.select("word", "n", F.posexplode_outer("ids").alias("at", "id")).join(known, "id", "left")
-    code = F.coalesce("code", F.lpad(F.hex(F.col("id") - first_byte), 2, "0"))
-    whole = parts.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("at", "id", code.alias("code")))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["code"]), "")), "UTF-8")
-    return whole.select("word", "n", F.transform("parts", lambda p: p["id"]).alias("ids"), text.alias("decoded"))
+def _joined_as_array(size: Column) -> Column:
+    """For each character the symbol that starts there: its end, 0 if none does, and its id."""
+    symbol = lambda end, id_: F.struct(end.alias("end"), id_.alias("id"))
+    end_at = lambda at, i: F.get(at, i)["end"]
 
+    def opened(at, e):
+        middle = end_at(at, e["start"])
+        return (middle > 0) & (middle < e["end"]) & (end_at(at, middle) == e["end"])
 
-@contextmanager
-def _grouping_in_memory(spark: SparkSession):
-    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(2 * WORDS_A_PART))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    def joined(at, e):
+        middle = end_at(at, e["start"])
+        return F.concat(
+            F.slice(at, F.lit(1), e["start"]), F.array(symbol(e["end"], e["id"])), F.slice(at, e["start"] + 2, middle - e["start"] - 1),
+            F.array(symbol(F.lit(0), F.lit(0))), F.slice(at, middle + 2, F.size(at)),
+        )
 
+    begin = F.transform(F.slice("edges", F.lit(1), size), lambda e: symbol(e["end"], e["id"]))
+    return F.transform(F.filter(_fold_in_order(begin, opened, joined), lambda x: x["end"] > 0), lambda x: x["id"])
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of every distinct word of the texts; counted in each task before the shuffle."""
+
+def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
+    """(word, n) of the words that tasks have met at least LOCALLY_FREQUENT times, counted in each task before the shuffle."""
 
     def count(batches):
         import pyarrow as pa
@@ -216,136 +256,221 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for chunk, n in counts.items():
+                for word in cutter(chunk):
+                    words[word] += n
             counts.clear()
-            return batch
+            often = {w: n for w, n in words.items() if n >= LOCALLY_FREQUENT}
+            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["word", "n"])
 
+        chars = 0
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                counts.update(cut_words(text))
-                if len(counts) > 400_000:
+                counts.update(chunks_of(text))
+                chars += len(text)
+                if len(counts) > CHUNKS_HELD or chars > CHARS_HELD and sum(map(len, counts)) > CHARS_HELD:
                     yield out()
+                    chars = 0
+                elif chars > CHARS_HELD:
+                    chars = 0
         yield out()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary_of(docs: DataFrame, model: str, scratch: Scratch) -> DataFrame:
-    """(word, n, ids, decoded) of every distinct word of the texts."""
-    pieces, first_byte = piece_table(docs.sparkSession, model)
-    counted = word_counts(docs)
-    if is_unigram(model):
-        return scratch.write(decode_words(encode_words(counted, pieces, first_byte), pieces, first_byte), "dictionary")
-    counted = scratch.write(counted, "counted")
-    short = F.char_length("word") <= LONGEST
-    # Partitioned by word once, in parts whose edges fit into memory: the lattice and its groups need no further shuffle.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() // WORDS_A_PART))
-    short_words = decode_words(merge_words(counted.where(short).repartition(parts, "word"), pieces, first_byte), pieces, first_byte)
-    rest = decode_words(long_words(counted.where(~short), model), pieces, first_byte)
-    with _grouping_in_memory(docs.sparkSession):
-        return scratch.write(short_words.unionByName(rest), "dictionary")
-
-
-def frequent_words(dictionary: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
-    """The words that occur at least as often as some power of two, which is chosen by exact counts so that they are `most`
-    at most."""
-    often = F.floor(F.log2("n"))
-    held, least = 0, 64
-    for r in dictionary.groupBy(often.alias("b")).agg(F.count("*").alias("k")).orderBy(F.desc("b")).collect():
+def _hashes(word: Column) -> list[Column]:
+    first = F.xxhash64(word)
+    return [first.alias("h1"), F.xxhash64(word, word).alias("h2")]
+
+
+def frequent_words(counted: DataFrame, most: int) -> DataFrame:
+    """The words of counted (word, n) with n over a limit chosen by counts, so that they are `most` at most."""
+    tiers = F.least("n", F.lit(1000))
+    held, least = 0, 1001
+    for r in counted.groupBy(tiers.alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
         held += r["k"]
         if held > most:
             break
-        least = r["b"]
-    return dictionary.where(often >= least)
+        least = r["n"]
+    return counted.where(tiers >= least).select("word")
 
 
-def word_rows(docs: DataFrame, known: list[str]) -> DataFrame:
-    """(doc_id, of, at, word) of each word of each text that known doesn't hold. of tells repeated doc_ids apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(known))
+class Known:
+    """The ids of frequent words by two 64-bit hashes. gap: the greatest number of the ids' type, which is no id."""
 
-    def rows(batches):
-        import pyarrow as pa
+    def __init__(self, h1, h2, offsets, ids) -> None:
+        import numpy as np
 
-        for batch in batches:
-            out = []
-            for doc_id, of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
-                out += [(doc_id, of, at, w) for at, w in enumerate(cut_words(text)) if w not in shared.value]
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "of", "at", "word"])
+        self.h1, self.h2, self.offsets, self.ids = h1, h2, offsets, ids
+        self.gap = int(np.iinfo(ids.dtype).max)
 
-    return _identified(docs).mapInArrow(rows, "doc_id long, of long, at long, word string")
+    def codes(self, words: list[str]) -> list[bytes | None]:
+        import numpy as np
+        import xxhash
 
+        raw, of = [w.encode("utf-8", "surrogatepass") for w in words], xxhash.xxh64_intdigest
+        first = [of(w, 42) for w in raw]
+        h1, h2 = np.array(first, np.uint64), np.array([of(w, h) for w, h in zip(raw, first)], np.uint64)
+        if not len(self.h1):
+            return [None] * len(words)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        found = (self.h1[at] == h1) & (self.h2[at] == h2)
+        a, b = self.offsets[at].tolist(), self.offsets[at + 1].tolist()
+        return [self.ids[x:y].tobytes() if f else None for f, x, y in zip(found.tolist(), a, b)]
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
 
+def known_words(docs: DataFrame, pieces: Pieces, most: int) -> Known:
+    """The frequent words' ids, encoded once. The driver gets `most` rows of some 30 bytes at most."""
+    import numpy as np
 
-def encode_documents(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(doc_id, of, ids): the ids of each text in order."""
-    rows = word_rows(docs, []).join(dictionary.select("word", "ids"), "word")
-    return rows.groupBy("doc_id", "of").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    scratch = Scratch(docs.sparkSession, "lattice")
+    counted = scratch.write(word_counts(docs, pieces.cutter), "counted")
+    words = frequent_words(counted, most)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(most, counted.count()) // WORDS_A_PART))
+    encoded = pieces.encode(words.repartition(parts, "word"), ["word"]).select(*_hashes(F.col("word")), "ids")
+    table = encoded.toArrow()
+    scratch.remove()
+    h1 = table.column("h1").to_numpy().view(np.uint64)
+    order = np.argsort(h1, kind="stable")
+    lists = table.column("ids").combine_chunks().take(order)
+    kind = np.dtype("<u2" if len(pieces.spelling) < (1 << 16) - 1 else "<u4")
+    return Known(h1[order], table.column("h2").to_numpy().view(np.uint64)[order], lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(kind))
 
 
-SUMS = ("copies", "words", "tokens", "ids", "digest", "exact")
+def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
+    """(row, doc_id, sign, codes, rare): the ids of a row's known words, with a gap (the mark and two halves of a place in
+    rare) for each other one, null first among the rare words; sign: a hash of the text."""
+    shared, cutter = docs.sparkSession.sparkContext.broadcast(known), pieces.cutter
 
+    def code(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        known = shared.value
+        kind = known.ids.dtype
+        # chunk -> its codes; None where some word isn't known: its codes and words then stand in opened.
+        memo: dict[str, bytes | None] = {}
+        opened: dict[str, list[bytes | str]] = {}
+        chars = 0
+
+        def learn(chunks: set[str]) -> None:
+            nonlocal chars
+            new = chunks - memo.keys()
+            chars += sum(map(len, new))
+            if len(memo) + len(new) > CHUNKS_HELD or chars > CHARS_HELD:
+                memo.clear()
+                opened.clear()
+                new, chars = chunks, sum(map(len, chunks))
+            cut = {c: cutter(c) for c in new}
+            words = list({w for found in cut.values() for w in found})
+            codes = dict(zip(words, known.codes(words)))
+            for c, found in cut.items():
+                got = [codes[w] for w in found]
+                if None in got:
+                    memo[c], opened[c] = None, [w if code is None else code for w, code in zip(found, got)]
+                else:
+                    memo[c] = b"".join(got)
+
+        def codes_of(chunks: list[str]) -> tuple[bytes, list[str | None]]:
+            got = [memo[c] for c in chunks]
+            if None not in got:
+                return b"".join(got), [None]
+            out, rare = [], {}
+            for chunk, codes in zip(chunks, got):
+                if codes is not None:
+                    out.append(codes)
+                    continue
+                for x in opened[chunk]:
+                    if isinstance(x, bytes):
+                        out.append(x)
+                    else:
+                        k = rare.setdefault(x, len(rare))
+                        out.append(np.array([known.gap, k & 0x7FFF, k >> 15], kind).tobytes())
+            return b"".join(out), [None, *rare]
 
-def _frequent_sums(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """SUMS per row of docs over the words that frequent holds: a bounded table that every task gets."""
-    entries = frequent.select("word", "tokens", "ids", "digest", "exact").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((dict(zip(entries["word"], range(1, len(entries) + 1))), entries[["tokens", "ids", "digest", "exact"]].to_numpy("int64")))
+        for batch in batches:
+            rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS_AT_ONCE):
+                    chars += len(texts[end])
+                    end += 1
+                chunks = [chunks_of(t) for t in texts[at:end]]
+                learn(set().union(*chunks))
+                codes, rare = zip(*map(codes_of, chunks))
+                signs = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts[at:end]]
+                yield pa.RecordBatch.from_arrays(
+                    [rows[at:end], ids[at:end], pa.array(signs, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
+                    names=["row", "doc_id", "sign", "codes", "rare"],
+                )
+                at = end
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return numbered.mapInArrow(code, "row long, doc_id long, sign long, codes binary, rare array<string>")
+
+
+def encode_documents(docs: DataFrame, model: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, round_trip) of every row of docs, in any order. round_trip: decoding ids gives
+    the text."""
+    pieces = Pieces(docs.sparkSession, model)
+    known = known_words(docs, pieces, most_frequent)
+    kind, gap, spelling = known.ids.dtype, known.gap, pieces.spelling
+    # Dealt out once; the row's own codes pass along at the place of the null word.
+    dealt = _coded(docs, pieces, known).repartition("row")
+    words = dealt.select("row", F.posexplode("rare").alias("at", "word"), F.struct("doc_id", "sign", "codes").alias("own"))
+    words = words.select("row", "at", "word", F.when(F.col("at") == 0, F.col("own")).alias("own"))
+    encoded = pieces.encode(words, ["row", "at", "word", "own"])
+    found = encoded.groupBy("row").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.collect_list(F.when(F.col("at") > 0, F.struct("at", "ids"))).alias("rare")
+    )
 
-    def sums(batches):
+    def assemble(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        place, values = shared.value
-        values = np.vstack([np.zeros((1, 4), np.int64), values])
-        values = np.hstack([values, (np.arange(len(values)) > 0).astype(np.int64)[:, None]])
-        of = place.get
         for batch in batches:
-            out = []
-            for text in texts_of(batch.column(2)):
-                words = cut_words(text)
-                got = values[np.fromiter((of(w, 0) for w in words), np.int64, len(words))]
-                digest = got[:, 2] @ np.arange(1, len(words) + 1)
-                tokens, ids, _, exact, n = got.sum(axis=0).tolist() if len(words) else (0,) * 5
-                out.append((1, n, tokens, ids, int(digest), exact))
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "of", *SUMS])
-
-    return _identified(docs).mapInArrow(sums, "doc_id long, of long, " + ", ".join(f"{c} long" for c in SUMS))
-
-
-def encode_digest(docs: DataFrame, model: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """(doc_id, n_words, n_tokens, ids_sum, ids_digest, round_trip), one row per distinct (doc_id, text). ids_digest adds
-    up (place of the word) * sum of (place in the word) * id, so that it depends on the order. round_trip: decoding all
-    its words gives the text."""
-    docs = docs.select("doc_id", "text")
-    scratch = Scratch(docs.sparkSession, "lattice")
-    inner = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    dictionary = dictionary_of(docs, model, scratch)
-    # What a text's digest needs of a word is worked out once per word.
-    dictionary = scratch.write(
-        dictionary.select("word", "n", F.size("ids").alias("tokens"), total.alias("ids"), inner.alias("digest"), F.expr("if(decoded = word, 1, 0)").alias("exact")), "digests"
-    )
-    scratch.remove("dictionary")
-    frequent = frequent_words(dictionary, most_frequent)
-    known = [r["word"] for r in frequent.select("word").toLocalIterator()]
-    others = word_rows(docs, known).join(dictionary.select("word", "tokens", "ids", "digest", "exact"), "word")
-    rare = others.groupBy("doc_id", "of").agg(
-        F.lit(0).cast("long").alias("copies"), F.count("*").alias("words"), F.sum("tokens").alias("tokens"), F.sum("ids").alias("ids"),
-        F.sum((F.col("at") + 1) * F.col("digest")).alias("digest"), F.sum("exact").alias("exact"),
-    )
-    sums = _frequent_sums(docs, frequent).unionByName(rare)
-    out = sums.groupBy("doc_id", "of").agg(*(F.sum(c).alias(c) for c in SUMS))
-    per = lambda c: F.expr(f"{c} div copies")
-    out = settled(
-        out.select(
-            "doc_id", per("words").alias("n_words"), per("tokens").alias("n_tokens"), per("ids").alias("ids_sum"), per("digest").alias("ids_digest"),
-            (F.col("exact") == F.col("words")).alias("round_trip"),
-        )
-    )
-    scratch.remove()
-    return out
+            doc_id, sign, raw, rare = batch.columns
+            out, same = [], []
+            for codes, mark, more in zip(raw.to_pylist(), sign.to_pylist(), rare.to_pylist()):
+                coded = np.frombuffer(codes, kind)
+                ids = coded.astype(np.int32)
+                if more:
+                    of = {r["at"] - 1: r["ids"] for r in more}
+                    parts, start = [], 0
+                    for i in np.flatnonzero(coded == gap).tolist():
+                        parts += [ids[start:i], np.array(of[int(ids[i + 1]) | int(ids[i + 2]) << 15], np.int32)]
+                        start = i + 3
+                    ids = np.concatenate([*parts, ids[start:]])
+                out.append(ids)
+                same.append(xxhash.xxh3_64_intdigest(decoded(ids.tolist(), spelling)) >> 1 == mark)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            flat = np.concatenate(out) if out else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [doc_id, pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(same, pa.bool_())],
+                names=["doc_id", "n_tokens", "ids", "round_trip"],
+            )
+
+    return found.select("own.doc_id", "own.sign", "own.codes", "rare").mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
+def decoded(ids: list[int], spelling: list[bytes]) -> bytes:
+    """The pieces of ids joined, without the space before the text."""
+    return b"".join([spelling[i] for i in ids])[1:]
+
+
+def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, text) of encoded (doc_id, ids); bytes that are no UTF-8 are read as U+FFFD, null ids as an empty text."""
+    spelling = Pieces(encoded.sparkSession, model).spelling
+
+    def decode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [decoded(ids or [], spelling).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")

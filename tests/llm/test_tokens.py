@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from attestra.llm import queries, sentencepiece_lattice, token_counts, token_files
-from attestra.llm.shared import Scratch
 from tests.llm.conftest import BYTE_BPE, PIECES
 
 
@@ -32,7 +31,7 @@ def library(path):
     return sentencepiece.SentencePieceProcessor(model_file=path).encode
 
 
-TEXTS = [" a  b\n\tc ", "x" * 100, "", "日本語 ñandú  🙂", "   ", "aaa aaaa aaaaa \xa0 x", "hello world, unbelievable tokenization", None]
+TEXTS = [" a  b\n\tc ", "x" * 100, "", "日本語 ñandú  🙂", "   ", "aaa aaaa aaaaa \xa0 x", "hello world, unbelievable tokenization", None, "trailing ", "\n\nlines\n", "the" * 700 + "ing" * 40]
 
 
 @pytest.mark.parametrize("kind", ["merges", "unigram"])
@@ -41,26 +40,43 @@ def test_encoding_is_the_librarys(spark, documents, unigram, kind):
     encode = library(path)
     texts = TEXTS + [r.text for r in documents.orderBy("doc_id").limit(25).collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scratch = Scratch(spark, "test")
-    entries = sentencepiece_lattice.dictionary_of(docs, path, scratch)
-    got = {r.doc_id: list(r.ids) for r in sentencepiece_lattice.encode_documents(docs, entries).collect()}
-    want = {i: encode(t) for i, t in enumerate(texts) if t}
-    assert got == want
+    want = {i: encode(t or "") for i, t in enumerate(texts)}
+    for most in (1_000_000, 50, 0):  # which words count as frequent changes nothing
+        rows = sentencepiece_lattice.encode_documents(docs, path, most_frequent=most).collect()
+        assert {r.doc_id: list(r.ids) for r in rows} == want
+        assert all(r.n_tokens == len(r.ids) and r.round_trip for r in rows)
+    encoded = spark.createDataFrame([(i, ids) for i, ids in want.items()], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sentencepiece_lattice.decode_documents(encoded, path).collect()} == {i: t or "" for i, t in enumerate(texts)}
     counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
-    assert counts == {i: len(want.get(i, [])) for i in range(len(texts))}
-    digest = {r.doc_id: r for r in sentencepiece_lattice.encode_digest(docs, path).collect()}
-    assert all(digest[i].n_tokens == len(w) and digest[i].ids_sum == sum(w) and digest[i].round_trip for i, w in want.items())
-    few = {r.doc_id: r for r in sentencepiece_lattice.encode_digest(docs, path, most_frequent=50).collect()}
-    assert few == digest
+    assert counts == {i: len(w) for i, w in want.items()}
+
+
+def test_merges_out_of_order(spark):
+    """Words of random pieces, long and short: joins that open earlier ones must give the library's merges."""
+    import random
+
+    import sentencepiece
+
+    m, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(4)
+    known = [m.id_to_piece(i) for i in range(300, 3000)]
+    known = [p for p in known if p.isascii() and p.isalpha()]
+    texts = [" ".join("".join(rng.choices(known, k=rng.randint(1, 40 if k % 9 == 0 else 6))) for _ in range(12)) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in sentencepiece_lattice.encode_documents(docs, PIECES, most_frequent=100).collect()}
+    assert got == dict(enumerate(m.encode(texts)))
 
 
 def test_odd_tables(spark, odd, none):
-    rows = sentencepiece_lattice.encode_digest(odd, PIECES).collect()
-    assert len(rows) == odd.select("doc_id", "text").distinct().count() and all(r.round_trip for r in rows)
-    assert sentencepiece_lattice.encode_digest(none, PIECES).count() == 0 == token_counts.count_tokens(none, PIECES).count()
     encode = library(PIECES)
+    want = sorted((str(r.doc_id), encode(r.text or "")) for r in odd.collect())
+    rows = sentencepiece_lattice.encode_documents(odd, PIECES).collect()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == want and all(r.round_trip for r in rows)
+    mark = spark.createDataFrame([(1, "a▁b"), (2, "▁▁")], "doc_id long, text string")
+    assert {r.doc_id: (list(r.ids), r.round_trip) for r in sentencepiece_lattice.encode_documents(mark, PIECES).collect()} == {1: (encode("a▁b"), False), 2: (encode("▁▁"), False)}
+    assert sentencepiece_lattice.encode_documents(none, PIECES).count() == 0 == token_counts.count_tokens(none, PIECES).count()
+    assert sentencepiece_lattice.decode_documents(none.selectExpr("doc_id", "array(1) as ids"), PIECES).count() == 0
     got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(odd, PIECES).collect())
-    assert got == sorted((str(r.doc_id), len(encode(r.text or ""))) for r in odd.collect())
+    assert got == sorted((str(i), len(ids)) for i, ids in want)
 
 
 def digest_by_hand(rows):
