@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import decontaminate, jaccard_join, line_dedup, sentencepiece_lattice, toxicity
 from attestra.llm.queries import PIECE_MODEL, toxic_training_rows
-from attestra.llm.shared import Scratch, sent_if_few, table
+from attestra.llm.shared import Scratch, sent_if_few, settled, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_lattice.encode_digest(docs, PIECE_MODEL)
+    """The token ids of each document, and whether they decode to its text."""
+    return sentencepiece_lattice.encode_documents(docs, PIECE_MODEL)
 
 
 STAGES = [
@@ -63,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    out = STAGES[-1][1](spark, docs, sf_dir)  # settled, so that the stages' tables may go
+    out = settled(STAGES[-1][1](spark, docs, sf_dir))  # so that the stages' tables may go
     scratch.remove()
     return out
