@@ -31,20 +31,19 @@ from attestra.llm.shared import Scratch, texts_of
 from attestra.llm.token_counts import is_unigram
 
 #: More pieces than this are joined by shuffle. Frequent words are sent as two hashes and ids, some 30 bytes each.
-MOST_PIECES, MOST_FREQUENT = 500_000, 1_000_000
+MOST_PIECES, MOST_FREQUENT = 500_000, 2_000_000
 UNKNOWN_PENALTY = 10.0
 #: Characters of a word whose ends fit into the bits of a long.
 BITS = 61
 SPACE = "▁"
 #: Words of the table of frequent words that one task encodes; distinct chunks, and characters of them, that a task counts
 #: or remembers at once.
-WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 150_000, 10_000_000
+WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 400_000, 10_000_000
 #: A task reports what it has met so often; only a hint of which words are frequent.
 LOCALLY_FREQUENT = 2
 #: Characters of the texts that a task looks at together.
 CHARS_AT_ONCE = 1_000_000
 
-_WORD = re.compile("▁*[^▁\n]+|▁+|\n")
 _CHUNK = re.compile("(?:^| )( *[^ ]*)")
 
 
@@ -58,22 +57,43 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Cutter:
-    """chunk -> the words that are encoded apart: a run of spaces (each as SPACE, one more before the chunk) and what
-    follows, line ends by themselves, and all that cut wherever two characters stand side by side in no piece. No piece
-    reaches over these cuts (see `Pieces`)."""
-
-    def __init__(self, neighbours: frozenset[str]) -> None:
-        self.neighbours = neighbours
-
-    def __call__(self, chunk: str) -> list[str]:
-        near, out = self.neighbours, []
-        for word in _WORD.findall(SPACE + chunk.replace(" ", SPACE)):
-            start = 0
-            for i in range(1, len(word)):
-                if word[i - 1 : i + 1] not in near:
-                    out.append(word[start:i])
-                    start = i
-            out.append(word[start:])
+    """Chunks -> the words of each that are encoded apart: the chunk with a space (as SPACE) before it, cut wherever two
+    characters stand side by side in no piece. No piece reaches over these cuts, nor over those between chunks."""
+
+    #: Characters below stand in a table, the others in a sorted array.
+    FIRST = 1024
+
+    def __init__(self, neighbours: set[str]) -> None:
+        import numpy as np
+
+        codes = [(ord(a), ord(b)) for a, b in neighbours]
+        self.table = np.zeros((self.FIRST, self.FIRST), bool)
+        for a, b in codes:
+            if max(a, b) < self.FIRST:
+                self.table[a, b] = True
+        self.others = np.array(sorted((a << 32) + b for a, b in codes if max(a, b) >= self.FIRST), np.int64)
+
+    def __call__(self, chunks: list[str]) -> list[list[str]]:
+        import numpy as np
+
+        if not chunks:
+            return []
+        text = "".join([SPACE + c for c in chunks]).replace(" ", SPACE)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        a, b = codes[:-1], codes[1:]
+        low = (a < self.FIRST) & (b < self.FIRST)
+        near = np.zeros(len(a), bool)
+        near[low] = self.table[a[low], b[low]]
+        near[~low] = np.isin((a[~low] << 32) + b[~low], self.others)
+        ends = np.cumsum([len(c) + 1 for c in chunks])
+        near[ends[:-1] - 1] = False
+        cuts = np.append(np.flatnonzero(~near) + 1, len(text))
+        n = np.diff(np.searchsorted(cuts, ends, "right"), prepend=0).tolist()
+        words = [text[x:y] for x, y in zip([0, *cuts.tolist()], cuts.tolist())]
+        out, at = [], 0
+        for k in n:
+            out.append(words[at : at + k])
+            at += k
         return out
 
 
@@ -108,7 +128,7 @@ class Pieces:
                 for part, rest in ((piece[:k], piece[k:]), (piece[k:], piece[:k])):
                     if len(part) > 1 and part in scores and scores[part][1] < score and (len(rest) == 1 or rest in scores):
                         late.add(part)
-        self.cutter = Cutter(frozenset(p[i : i + 2] for p in scores for i in range(len(p) - 1)))
+        self.cutter = Cutter({p[i : i + 2] for p in scores for i in range(len(p) - 1)})
         self.longest, self.least = max(map(len, scores), default=1), min((s for _, s in scores.values()), default=0.0)
         names = [("piece", T.StringType()), ("id", T.IntegerType()), ("score", T.DoubleType()), ("rank", T.IntegerType()), ("late", T.BooleanType())]
         ranks = {s: k for k, s in enumerate(sorted({s for _, s in scores.values()}, reverse=True))}
@@ -116,7 +136,8 @@ class Pieces:
         self.table = F.broadcast(table) if len(scores) <= MOST_PIECES else table
 
     def encode(self, words: DataFrame, keys: list[str]) -> DataFrame:
-        """keys and ids of words (keys, among them word). A null word has null ids."""
+        """words (keys, word and more), of which keys tell the rows apart, with ids. A null word has null ids. If words are
+        partitioned by keys or some of them, nothing is shuffled."""
         return (viterbi_words if self.unigram else merge_words)(words, keys, self)
 
 
@@ -126,14 +147,15 @@ def _byte_ids(char: Column, first: int) -> Column:
 
 
 def _lattice(words: DataFrame, keys: list[str], pieces: Pieces, edge: Column) -> DataFrame:
-    """keys and edges: the sorted array of edge, which is made of start, len and a piece's columns; these are null
-    for a character without a piece."""
-    size = F.char_length("word")
-    start = words.select(*keys, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("start"))
+    """words with edges: the sorted array of edge, which is made of start, len and a piece's columns; these are null for a
+    character without a piece."""
+    size, given = F.char_length("word"), words.columns
+    start = words.select(*given, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("start"))
     length = F.when(size > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start"))))
-    cut = start.select(*keys, "start", F.explode_outer(length).alias("len")).withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("len")))
+    cut = start.select(*given, "start", F.explode_outer(length).alias("len")).withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("len")))
     found = cut.join(pieces.table, "piece", "left").where(F.col("id").isNotNull() | F.coalesce(F.col("len") == 1, F.lit(True)))
-    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("len").isNotNull(), edge))).alias("edges"))
+    edges = F.sort_array(F.collect_list(F.when(F.col("len").isNotNull(), edge))).alias("edges")
+    return found.groupBy(*keys).agg(*[F.first(c).alias(c) for c in given if c not in keys], edges)
 
 
 def _char(i: Column) -> Column:
@@ -164,7 +186,7 @@ def viterbi_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFram
 
     whole = F.struct(F.char_length("word").alias("at"), F.array().cast("array<int>").alias("ids"), F.aggregate("edges", start, extend).alias("paths")).cast(state)
     ids = F.aggregate(F.sequence(F.char_length("word"), F.lit(1), F.lit(-1)), whole, back, lambda acc: acc["ids"])
-    return lattice.select(*keys, F.when(F.char_length("word") > 0, ids).alias("ids"))
+    return lattice.select(*words.columns, F.when(F.char_length("word") > 0, ids).alias("ids"))
 
 
 def merge_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
@@ -186,11 +208,11 @@ def merge_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     )
     size = F.char_length("word")
     lattice = _lattice(words, keys, pieces, edge)
-    lattice = lattice.select(*keys, "edges", F.slice("edges", size + 1, F.size("edges")).alias("joins"))
+    lattice = lattice.withColumn("joins", F.slice("edges", size + 1, F.size("edges")))
     ids = F.when(size <= BITS, _joined_as_bits(size)).otherwise(_joined_as_array(size))
-    left = lattice.select(*keys, F.when(size > 0, ids).alias("left"))
+    left = lattice.select(*words.columns, F.when(size > 0, ids).alias("left"))
     spelled = F.flatten(F.transform("left", lambda i: F.when(i < 0, _byte_ids(_char(-i), pieces.first_byte)).otherwise(F.array(i))))
-    return left.select(*keys, F.when(F.exists("left", lambda i: i < 0), spelled).otherwise(F.col("left")).alias("ids"))
+    return left.select(*words.columns, F.when(F.exists("left", lambda i: i < 0), spelled).otherwise(F.col("left")).alias("ids"))
 
 
 def _fold_in_order(begin: Column, opened, joined) -> Column:
@@ -257,9 +279,12 @@ def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
 
         def out():
             words: Counter = Counter()
-            for chunk, n in counts.items():
-                for word in cutter(chunk):
-                    words[word] += n
+            chunks = list(counts)
+            for at in range(0, len(chunks), 100_000):
+                part = chunks[at : at + 100_000]
+                for chunk, found in zip(part, cutter(part)):
+                    for word in found:
+                        words[word] += counts[chunk]
             counts.clear()
             often = {w: n for w, n in words.items() if n >= LOCALLY_FREQUENT}
             return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["word", "n"])
@@ -328,8 +353,8 @@ def known_words(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     counted = scratch.write(word_counts(docs, pieces.cutter), "counted")
     words = frequent_words(counted, most)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(most, counted.count()) // WORDS_A_PART))
-    encoded = pieces.encode(words.repartition(parts, "word"), ["word"]).select(*_hashes(F.col("word")), "ids")
-    table = encoded.toArrow()
+    words = words.select("word", *_hashes(F.col("word"))).repartition(parts, "h1", "h2")
+    table = pieces.encode(words, ["h1", "h2"]).select("h1", "h2", "ids").toArrow()
     scratch.remove()
     h1 = table.column("h1").to_numpy().view(np.uint64)
     order = np.argsort(h1, kind="stable")
@@ -356,20 +381,20 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
         chars = 0
 
         def learn(chunks: set[str]) -> None:
-            nonlocal chars
-            new = chunks - memo.keys()
+            nonlocal chars, memo, opened
+            new = list(chunks - memo.keys())
             chars += sum(map(len, new))
             if len(memo) + len(new) > CHUNKS_HELD or chars > CHARS_HELD:
-                memo.clear()
-                opened.clear()
-                new, chars = chunks, sum(map(len, chunks))
-            cut = {c: cutter(c) for c in new}
-            words = list({w for found in cut.values() for w in found})
+                memo = {c: memo[c] for c in chunks if c in memo}
+                opened = {c: opened[c] for c in memo if c in opened}
+                chars = sum(map(len, chunks))
+            found = cutter(new)
+            words = list({w for cut in found for w in cut})
             codes = dict(zip(words, known.codes(words)))
-            for c, found in cut.items():
-                got = [codes[w] for w in found]
+            for c, cut in zip(new, found):
+                got = [codes[w] for w in cut]
                 if None in got:
-                    memo[c], opened[c] = None, [w if code is None else code for w, code in zip(found, got)]
+                    memo[c], opened[c] = None, [w if code is None else code for w, code in zip(cut, got)]
                 else:
                     memo[c] = b"".join(got)
 
@@ -422,7 +447,7 @@ def encode_documents(docs: DataFrame, model: str, most_frequent: int = MOST_FREQ
     dealt = _coded(docs, pieces, known).repartition("row")
     words = dealt.select("row", F.posexplode("rare").alias("at", "word"), F.struct("doc_id", "sign", "codes").alias("own"))
     words = words.select("row", "at", "word", F.when(F.col("at") == 0, F.col("own")).alias("own"))
-    encoded = pieces.encode(words, ["row", "at", "word", "own"])
+    encoded = pieces.encode(words, ["row", "at"])
     found = encoded.groupBy("row").agg(
         F.first("own", ignorenulls=True).alias("own"), F.collect_list(F.when(F.col("at") > 0, F.struct("at", "ids"))).alias("rare")
     )
