@@ -33,14 +33,13 @@ from attestra.llm.token_counts import is_unigram
 #: More pieces than this are joined by shuffle. Frequent words are sent as two hashes and ids, some 30 bytes each.
 MOST_PIECES, MOST_FREQUENT = 500_000, 2_000_000
 UNKNOWN_PENALTY = 10.0
+PREFIX = 3
 #: Characters of a word whose ends fit into the bits of a long.
 BITS = 61
 SPACE = "▁"
 #: Words of the table of frequent words that one task encodes; distinct chunks, and characters of them, that a task counts
 #: or remembers at once.
 WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 400_000, 10_000_000
-#: A task reports what it has met so often; only a hint of which words are frequent.
-LOCALLY_FREQUENT = 2
 #: Characters of the texts that a task looks at together.
 CHARS_AT_ONCE = 1_000_000
 
@@ -129,11 +128,18 @@ class Pieces:
                     if len(part) > 1 and part in scores and scores[part][1] < score and (len(rest) == 1 or rest in scores):
                         late.add(part)
         self.cutter = Cutter({p[i : i + 2] for p in scores for i in range(len(p) - 1)})
-        self.longest, self.least = max(map(len, scores), default=1), min((s for _, s in scores.values()), default=0.0)
+        self.least = min((s for _, s in scores.values()), default=0.0)
         names = [("piece", T.StringType()), ("id", T.IntegerType()), ("score", T.DoubleType()), ("rank", T.IntegerType()), ("late", T.BooleanType())]
         ranks = {s: k for k, s in enumerate(sorted({s for _, s in scores.values()}, reverse=True))}
         table = spark.createDataFrame([(p, i, s, ranks[s], p in late) for p, (i, s) in scores.items()], T.StructType([T.StructField(*x) for x in names]))
         self.table = F.broadcast(table) if len(scores) <= MOST_PIECES else table
+        longest: dict[str, int] = {}
+        for piece in scores:
+            if len(piece) >= PREFIX:
+                longest[piece[:PREFIX]] = max(len(piece), longest.get(piece[:PREFIX], 0))
+        reach = spark.createDataFrame(list(longest.items()), "prefix string, reach int")
+        #: (prefix, reach): how long a piece can be that begins with so many characters.
+        self.reach = F.broadcast(reach) if len(longest) <= MOST_PIECES else reach
 
     def encode(self, words: DataFrame, keys: list[str]) -> DataFrame:
         """words (keys, word and more), of which keys tell the rows apart, with ids. A null word has null ids. If words are
@@ -151,7 +157,8 @@ def _lattice(words: DataFrame, keys: list[str], pieces: Pieces, edge: Column) ->
     character without a piece."""
     size, given = F.char_length("word"), words.columns
     start = words.select(*given, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("start"))
-    length = F.when(size > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start"))))
+    start = start.withColumn("prefix", F.substring(F.col("word"), F.col("start") + 1, F.lit(PREFIX))).join(pieces.reach, "prefix", "left")
+    length = F.when(size > 0, F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(PREFIX - 1)), size - F.col("start"))))
     cut = start.select(*given, "start", F.explode_outer(length).alias("len")).withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("len")))
     found = cut.join(pieces.table, "piece", "left").where(F.col("id").isNotNull() | F.coalesce(F.col("len") == 1, F.lit(True)))
     edges = F.sort_array(F.collect_list(F.when(F.col("len").isNotNull(), edge))).alias("edges")
@@ -270,7 +277,7 @@ def _joined_as_array(size: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
-    """(word, n) of the words that tasks have met at least LOCALLY_FREQUENT times, counted in each task before the shuffle."""
+    """(word, n) of every distinct word, counted in each task before the shuffle."""
 
     def count(batches):
         import pyarrow as pa
@@ -286,8 +293,7 @@ def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
                     for word in found:
                         words[word] += counts[chunk]
             counts.clear()
-            often = {w: n for w, n in words.items() if n >= LOCALLY_FREQUENT}
-            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         chars = 0
         for batch in batches:
@@ -369,12 +375,12 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
     shared, cutter = docs.sparkSession.sparkContext.broadcast(known), pieces.cutter
 
     def code(batches):
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
         known = shared.value
-        kind = known.ids.dtype
+        width = known.ids.dtype.itemsize
+        gap = known.gap.to_bytes(width, "little")
         # chunk -> its codes; None where some word isn't known: its codes and words then stand in opened.
         memo: dict[str, bytes | None] = {}
         opened: dict[str, list[bytes | str]] = {}
@@ -402,18 +408,16 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
             got = [memo[c] for c in chunks]
             if None not in got:
                 return b"".join(got), [None]
-            out, rare = [], {}
-            for chunk, codes in zip(chunks, got):
-                if codes is not None:
-                    out.append(codes)
-                    continue
-                for x in opened[chunk]:
-                    if isinstance(x, bytes):
-                        out.append(x)
-                    else:
+            rare: dict[str, int] = {}
+            for i in [i for i, codes in enumerate(got) if codes is None]:
+                out = []
+                for x in opened[chunks[i]]:
+                    if isinstance(x, str):
                         k = rare.setdefault(x, len(rare))
-                        out.append(np.array([known.gap, k & 0x7FFF, k >> 15], kind).tobytes())
-            return b"".join(out), [None, *rare]
+                        x = gap + (k & 0x7FFF).to_bytes(width, "little") + (k >> 15).to_bytes(width, "little")
+                    out.append(x)
+                got[i] = b"".join(out)
+            return b"".join(got), [None, *rare]
 
         for batch in batches:
             rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
