@@ -21,13 +21,15 @@ a space. Only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from itertools import chain, filterfalse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.shared import Scratch, texts_of
+from attestra.llm.shared import Scratch, in_slices, texts_of
 from attestra.llm.token_counts import is_unigram
 
 #: More pieces than this are joined by shuffle. Frequent words are sent as two hashes and ids, some 30 bytes each.
@@ -39,7 +41,7 @@ BITS = 61
 SPACE = "▁"
 #: Words of the table of frequent words that one task encodes; distinct chunks, and characters of them, that a task counts
 #: or remembers at once.
-WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 400_000, 10_000_000
+WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 300_000, 10_000_000
 #: Characters of the texts that a task looks at together.
 CHARS_AT_ONCE = 1_000_000
 
@@ -296,7 +298,7 @@ def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         chars = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in texts_of(batch.column(0)):
                 counts.update(chunks_of(text))
                 chars += len(text)
@@ -311,24 +313,24 @@ def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
 
 
 def _hashes(word: Column) -> list[Column]:
-    first = F.xxhash64(word)
-    return [first.alias("h1"), F.xxhash64(word, word).alias("h2")]
+    return [F.xxhash64(word).alias("h1"), F.crc32(F.encode(word, "UTF-8")).alias("h2")]
 
 
 def frequent_words(counted: DataFrame, most: int) -> DataFrame:
-    """The words of counted (word, n) with n over a limit chosen by counts, so that they are `most` at most."""
+    """The words of counted (word, n) that are met again, or those with n over a higher limit chosen by counts, so that they
+    are `most` at most."""
     tiers = F.least("n", F.lit(1000))
     held, least = 0, 1001
     for r in counted.groupBy(tiers.alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
         held += r["k"]
-        if held > most:
+        if held > most or r["n"] < 2:
             break
         least = r["n"]
     return counted.where(tiers >= least).select("word")
 
 
 class Known:
-    """The ids of frequent words by two 64-bit hashes. gap: the greatest number of the ids' type, which is no id."""
+    """The ids of frequent words by two hashes of 64 and 32 bits. gap: the greatest number of the ids' type, which is no id."""
 
     def __init__(self, h1, h2, offsets, ids) -> None:
         import numpy as np
@@ -341,8 +343,7 @@ class Known:
         import xxhash
 
         raw, of = [w.encode("utf-8", "surrogatepass") for w in words], xxhash.xxh64_intdigest
-        first = [of(w, 42) for w in raw]
-        h1, h2 = np.array(first, np.uint64), np.array([of(w, h) for w, h in zip(raw, first)], np.uint64)
+        h1, h2 = np.array([of(w, 42) for w in raw], np.uint64), np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
         if not len(self.h1):
             return [None] * len(words)
         at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
@@ -366,7 +367,7 @@ def known_words(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     order = np.argsort(h1, kind="stable")
     lists = table.column("ids").combine_chunks().take(order)
     kind = np.dtype("<u2" if len(pieces.spelling) < (1 << 16) - 1 else "<u4")
-    return Known(h1[order], table.column("h2").to_numpy().view(np.uint64)[order], lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(kind))
+    return Known(h1[order], table.column("h2").to_numpy()[order], lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(kind))
 
 
 def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
@@ -387,25 +388,21 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
         chars = 0
 
         def learn(chunks: set[str]) -> None:
-            nonlocal chars, memo, opened
-            new = list(chunks - memo.keys())
+            nonlocal chars
+            new = list(chunks)
             chars += sum(map(len, new))
-            if len(memo) + len(new) > CHUNKS_HELD or chars > CHARS_HELD:
-                memo = {c: memo[c] for c in chunks if c in memo}
-                opened = {c: opened[c] for c in memo if c in opened}
-                chars = sum(map(len, chunks))
             found = cutter(new)
             words = list({w for cut in found for w in cut})
             codes = dict(zip(words, known.codes(words)))
             for c, cut in zip(new, found):
-                got = [codes[w] for w in cut]
+                got = [codes[w] for w in cut] if len(cut) > 1 else [codes[cut[0]]]
                 if None in got:
                     memo[c], opened[c] = None, [w if code is None else code for w, code in zip(cut, got)]
                 else:
                     memo[c] = b"".join(got)
 
         def codes_of(chunks: list[str]) -> tuple[bytes, list[str | None]]:
-            got = [memo[c] for c in chunks]
+            got = list(map(memo.__getitem__, chunks))
             if None not in got:
                 return b"".join(got), [None]
             rare: dict[str, int] = {}
@@ -419,7 +416,7 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
                 got[i] = b"".join(out)
             return b"".join(got), [None, *rare]
 
-        for batch in batches:
+        for batch in in_slices(batches):
             rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
             at = 0
             while at < len(texts):
@@ -428,7 +425,11 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
                     chars += len(texts[end])
                     end += 1
                 chunks = [chunks_of(t) for t in texts[at:end]]
-                learn(set().union(*chunks))
+                if len(memo) > CHUNKS_HELD or chars > CHARS_HELD:
+                    at_hand = set().union(*chunks) & memo.keys()
+                    memo, opened = {c: memo[c] for c in at_hand}, {c: opened[c] for c in at_hand & opened.keys()}
+                    chars = sum(map(len, at_hand))
+                learn(set(filterfalse(memo.__contains__, chain.from_iterable(chunks))))
                 codes, rare = zip(*map(codes_of, chunks))
                 signs = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts[at:end]]
                 yield pa.RecordBatch.from_arrays(
@@ -461,7 +462,7 @@ def encode_documents(docs: DataFrame, model: str, most_frequent: int = MOST_FREQ
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in in_slices(batches):
             doc_id, sign, raw, rare = batch.columns
             out, same = [], []
             for codes, mark, more in zip(raw.to_pylist(), sign.to_pylist(), rare.to_pylist()):
@@ -498,7 +499,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     def decode(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [decoded(ids or [], spelling).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
