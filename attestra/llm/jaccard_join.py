@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.components import least_reachable
-from attestra.llm.shared import Scratch, sent_if_few, settled
+from attestra.llm.shared import Scratch, in_slices, sent_if_few, settled
 
 WORDS, PERCENT = 5, 80
 #: Match counts that a prefix may ask for.
@@ -48,7 +48,7 @@ class Shingler:
         import xxhash
 
         np, memo, of = self.np, self.memo, xxhash.xxh3_64_intdigest
-        if len(memo) > 400_000:
+        if len(memo) > 200_000:
             memo.clear()
         words = text.encode("utf-8", "surrogatepass").lower().split()
         for w in words:
@@ -94,7 +94,7 @@ def frequent_shingles(docs: DataFrame, most: int = MOST_FREQUENT) -> list[int]:
                 counts = np.bincount(at, np.concatenate([total[1], counts])).astype(np.int64)
             return values, counts
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 key = hash(s.tobytes())
@@ -129,7 +129,7 @@ def prefixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
         order = np.array(shared.value, np.int64).view(np.uint64)
         sorter = np.argsort(order)
         values = order[sorter]
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -162,7 +162,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         import xxhash
 
         shingles = Shingler()
-        for batch in batches:
+        for batch in in_slices(batches):
             held, found = [], []
             for doc_id, text, s1 in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text)
@@ -181,7 +181,7 @@ def _enough(n) -> F.Column:
 
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shingle, id, n, m, common, pos, place, before, after): the postings that another class shares, with each class's adaptive
+    """(shingle, id, n, m, common, pos, place, after): the postings that another class shares, with each class's adaptive
     match count. pos: the place in the global order. common: how much of the class others share, greatest for the least altered of a group of copies. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
     places = classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).select(
         "shingle", "id", "n", "pos", F.greatest(F.lit(0), F.col("pos") - (F.col("n") - _enough(F.col("n")))).cast("int").alias("place")
@@ -197,10 +197,8 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _ranked(postings: DataFrame) -> DataFrame:
-    """With before and after: how many of these postings the class has before and after each one."""
-    own = Window.partitionBy("id")
-    before = F.row_number().over(own.orderBy("pos")) - 1
-    return postings.withColumn("before", before).withColumn("after", F.count("*").over(own).cast("int") - 1 - F.col("before"))
+    """With after: how many of these postings the class has after each one."""
+    return postings.withColumn("after", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("pos"))) - 1)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -218,26 +216,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Sc
     return found
 
 
-def _candidates(meetings: DataFrame) -> DataFrame:
-    """Pairs that share enough of their prefixes of match count m, the lesser of the two. meetings: one row for each shared
-    posting, with n, m, place, before and after of both. Of two sets, the prefix that ends first in the global order holds all that they share
-    up to there; beyond it they share no more than its set has left, the needed overlap less m. So what both need
-    together, less that, must be shared in the prefixes; that is m at least. What they share of the prefixes stands before, at
-    or after each shared shingle in both, so meetings that leave too few postings for that are not paired."""
+def _needs() -> F.Column:
+    """How many shingles the prefixes of a pair (an, am, bn, bm) must share. Of two sets, the prefix of match count m, the
+    lesser of the two, that ends first in the global order holds all that they share up to there; beyond it they share no
+    more than its set has left, the needed overlap less m. So what both need together, less that, must be shared in the
+    prefixes; that is m at least."""
     least = F.ceil(F.lit(PERCENT) * (F.col("an") + F.col("bn")) / (100 + PERCENT) - 1e-9)
-    needs = least - F.greatest(_enough(F.col("an")), _enough(F.col("bn"))) + F.least("am", "bm")
-    room = F.least("ab", "bb") + 1 + F.least("af", "bf")
-    return (
-        meetings.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT) & (F.greatest("ap", "bp") < F.least("am", "bm")) & (room >= needs))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.first(needs).alias("needs"))
-        .where("shared >= needs")
-        .select("a", "b")
-    )
+    return least - F.greatest(_enough(F.col("an")), _enough(F.col("bn"))) + F.least("am", "bm")
+
+
+def _candidates(meetings: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs that share enough of their prefixes. meetings: one row for each shared posting, with n, m, place and after of
+    both. The first shingle that a candidate pair shares has enough postings after it in both sets for the others, so pairs
+    meet in the early postings alone, not in all; then what their prefixes share is counted."""
+    near = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT
+    early = (F.greatest("ap", "bp") < F.least("am", "bm")) & (F.least("af", "bf") + 1 >= _needs())
+    met = scratch.write(meetings.where(near & early).select("a", "b", "an", "bn", "am", "bm").distinct(), f"{name}_met")
+    prefix = lambda side: classes.select(F.col("id").alias(side), F.col("prefix").alias(f"{side}x"))
+    part = lambda side: F.slice(f"{side}x", F.lit(1), (F.col(f"{side}n") - _enough(F.col(f"{side}n"))).cast("int") + F.least("am", "bm"))
+    shared = F.size(F.array_intersect(part("a"), part("b")))
+    return met.join(prefix("a"), "a").join(prefix("b"), "b").where(shared >= _needs()).select("a", "b")
 
 
 def _side(postings: DataFrame, side: str):
-    return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("m").alias(f"{side}m"), F.col("place").alias(f"{side}p"), F.col("before").alias(f"{side}b"), F.col("after").alias(f"{side}f")]
+    return [F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("m").alias(f"{side}m"), F.col("place").alias(f"{side}p"), F.col("after").alias(f"{side}f")]
 
 
 def _open_postings(postings: DataFrame, parts: DataFrame) -> DataFrame:
@@ -264,25 +266,31 @@ def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> D
 
     # Each posting list's most common member is most like the others: a copy that few edits have touched.
     side = F.struct("common", (-F.col("id")).alias("later"), *_side(postings, "a"))
-    stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select("p.a", "p.an", "p.am", "p.ap", "p.ab", "p.af", *_side(postings, "b"))
-    links = _verified(_candidates(stars.where("a <> b")), docs, classes, scratch, "links_1")
+    star = ["p.a", "p.an", "p.am", "p.ap", "p.af", *_side(postings, "b")]
+
+    def verified(meetings: DataFrame, name: str) -> DataFrame:
+        return _verified(_candidates(meetings, classes, scratch, name), docs, classes, scratch, name)
+
+    stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select(*star)
+    links = verified(stars.where("a <> b"), "links_1")
     parts = least_reachable(links, scratch, "first")
 
     # Then the members outside a list's largest component meet its most common member.
     joined = _open_postings(postings, parts).select("*", F.when(F.col("component") == F.col("main"), side).alias("side"))
     inner = joined.groupBy("shingle").agg(F.max("side").alias("p"))
-    stars = joined.where("component <> main").join(inner, "shingle").select("p.a", "p.an", "p.am", "p.ap", "p.ab", "p.af", *_side(postings, "b"))
-    links = links.unionByName(_verified(_candidates(stars), docs, classes, scratch, "links_2"))
+    links = links.unionByName(verified(joined.where("component <> main").join(inner, "shingle").select(*star), "links_2"))
     parts = least_reachable(links, scratch, "second")
 
-    # Two components share nothing but open postings, so these alone count as before and after.
-    open_ = scratch.write(_ranked(_open_postings(postings.drop("before", "after"), parts)), "open")
+    # Two components share nothing but open postings, so these alone count as after.
+    open_ = scratch.write(_ranked(_open_postings(postings.drop("after"), parts)), "open")
     outside = open_.where("component <> main").select("shingle", F.col("component").alias("ac"), *_side(open_, "a"))
     others = open_.select("shingle", F.col("component").alias("bc"), F.col("main"), *_side(open_, "b"))
     # Pairs of two outside members are met once, with the lesser id first.
     met = outside.join(others, "shingle").where("ac <> bc and (bc = main or a < b)")
-    ordered = met.select(F.least("a", "b").alias("a_"), F.greatest("a", "b").alias("b_"), "an", "am", "ap", "ab", "af", "bn", "bm", "bp", "bb", "bf")
-    rest = _verified(_candidates(ordered.withColumnsRenamed({"a_": "a", "b_": "b"})), docs, classes, scratch, "links_3")
+    one, other = (F.struct(*[F.col(f"{x}{c}").alias(c or "id") for c in ("", "n", "m", "p", "f")]) for x in "ab")
+    met = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+    met = met.select(*[F.col(x)[c or "id"].alias(f"{x}{c}") for x in "ab" for c in ("", "n", "m", "p", "f")])
+    rest = verified(met, "links_3")
     components = least_reachable(links.unionByName(rest), scratch, "third")
 
     class_of = classes.join(components.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(

@@ -15,9 +15,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session, as in tests, may name none and gets
+    a temporary one; on a cluster that would be a folder of one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -64,6 +67,13 @@ def sent_if_few(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def in_slices(batches, rows: int = 1000):
+    """The record batches in slices, so that a worker makes Python objects of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Whole texts; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
