@@ -5,15 +5,20 @@ term's BM25 weight in the item as a share of the weight that the item itself wou
 (`share`) fits items of any length. Every passage of every training text is a query: windows of twice the longest item's
 words, one item's length apart, so that any copy of an item lies within one window. Terms whose greatest impacts add up
 to less than the threshold can't bring an item over it alone; only postings of the others (essential) propose
-candidates, a candidate is scored if its blocks' greatest impacts reach the threshold, and all items above are retrieved.
+candidates. Their cursors move together in item order to the least item that any proposes (the pivot); if the greatest
+impacts of its block can't reach the threshold, all cursors skip to the next block, else the pivot is scored. All items
+above are retrieved.
 A retrieved item counts as leaked if the passage also holds `overlap` of the word trigrams of its question (all but the
 last sentence) and of its answer (the last sentence; without one, the last third). In a part of under SHORT words one
 changed word may take most trigrams away, so it may also be held by `overlap` of its words in order in one place, and so
 may an item of FEW to SHORT words as a whole. Words are runs of letters and digits, folded by Unicode, in items and texts.
 
 Defined cases: null or empty items are not indexed, and equal items are each reported; null or empty texts hold nothing;
-an item of under three words must occur as a whole, and so must one without letters or digits; texts are read whole; extra columns pass through unread; an empty
-table or benchmark finds nothing. An index of over `most_terms` postings is searched in blocks of items, all of them.
+an item of under three words must occur as a whole, and so must one without letters or digits; texts are read whole; rows
+that repeat a doc_id count as one document that holds what any of them holds (`find_leaks`; rows with a null doc_id are
+one such document) or are judged each (`drop_leaks`); ties in score are all retrieved; extra columns pass through unread;
+an empty table or benchmark finds nothing. A benchmark of over `most_terms` words is searched in several passes, by parts
+of its items; statistics are those of all items, so that this changes no result.
 """
 
 from __future__ import annotations
@@ -21,12 +26,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.shared import in_slices
+
 K1, B, BLOCK = 1.2, 0.75, 64
 #: From 10 words on, one changed word leaves at least 5 of 8 trigrams.
 SHORT = 10
@@ -78,8 +87,26 @@ def aligned(part: list[bytes], words: list[bytes]) -> float:
     return best / len(part)
 
 
+class Statistics:
+    """Of all items: in how many each word occurs, how many have words, their mean and greatest length."""
+
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        self.held: Counter = Counter()
+        self.n = self.longest = total = 0
+        for text in texts:
+            if words := words_of(text or ""):
+                self.held.update(set(words))
+                self.n, self.longest, total = self.n + 1, max(self.longest, len(words)), total + len(words)
+        self.mean = total / max(1, self.n)
+
+    def idf(self, term: bytes) -> float:
+        return math.log(1 + (self.n - self.held[term] + 0.5) / (self.held[term] + 0.5))
+
+
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], share: float, of: Statistics | None = None) -> None:
+        """of: the statistics of all items, of which these may be a part."""
+        of = of or Statistics(t for _, t in items)
         #: (id, signs) of the items without words.
         self.signs = [(i, signs_of(t)) for i, t in items if t and not words_of(t) and t.strip()]
         items = [(i, t, w) for i, t in items if (w := words_of(t or ""))]
@@ -88,13 +115,10 @@ class BlockMaxIndex:
         self.ids = [i for i, _, _ in items] + [i for i, _ in self.signs]
         self.words = [w for _, _, w in items]
         self.parts = [[(p, trigrams(p)) for p in question_and_answer(t)] for _, t, _ in items]
-        self.longest = max((len(w) for _, _, w in items), default=0)
-        mean = sum(len(w) for _, _, w in items) / max(1, len(items))
-        held = Counter(t for _, _, w in items for t in set(w))
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in held.items()}
+        self.longest = of.longest
         self.terms: list[dict[bytes, float]] = []
         for _, _, words in items:
-            weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in Counter(words).items()}
+            weight = {t: of.idf(t) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / of.mean)) for t, f in Counter(words).items()}
             own = sum(weight.values())
             self.terms.append({t: w / own for t, w in weight.items()})
         #: Per term: the greatest impact of each block of items.
@@ -107,7 +131,7 @@ class BlockMaxIndex:
         self.essential: dict[bytes, list[int]] = defaultdict(list)
         for i, terms in enumerate(self.terms):
             free = 0.0
-            for t, w in sorted(terms.items(), key=lambda x: (-held[x[0]], x[0])):
+            for t, w in sorted(terms.items(), key=lambda x: (-of.held[x[0]], x[0])):
                 free += w
                 if free >= share - 1e-9:
                     self.essential[t].append(i)
@@ -115,16 +139,28 @@ class BlockMaxIndex:
 
     def retrieve(self, query: set[bytes], rare: set[bytes]) -> list[tuple[int, float]]:
         """All items whose impacts in the query reach the share, ascending. rare: the query's essential terms."""
-        found, bounds = [], {}
-        for i in sorted({i for t in rare for i in self.essential[t]}):
-            block = i // BLOCK
-            if block not in bounds:
-                bounds[block] = sum(self.block_max[t].get(block, 0.0) for t in query if t in self.block_max)
-            if bounds[block] >= self.share - 1e-9:
-                terms = self.terms[i]
+        found = []
+        lists = [self.essential[t] for t in rare]
+        at = [0] * len(lists)
+        pivot, bounded = min((x[0] for x in lists), default=None), None
+        while pivot is not None:
+            block = pivot // BLOCK
+            if block != bounded:
+                bounded, bound = block, sum(self.block_max[t].get(block, 0.0) for t in query if t in self.block_max)
+            if bound < self.share - 1e-9:
+                least = (block + 1) * BLOCK
+            else:
+                terms, least = self.terms[pivot], pivot + 1
                 score = sum(w for t, w in terms.items() if t in query) if len(terms) < len(query) else sum(terms.get(t, 0.0) for t in query)
                 if score >= self.share - 1e-9:
-                    found.append((i, score))
+                    found.append((pivot, score))
+            pivot = None
+            for k, items in enumerate(lists):
+                i = at[k]
+                if i < len(items) and items[i] < least:
+                    i = at[k] = bisect_left(items, least, i)
+                if i < len(items) and (pivot is None or items[i] < pivot):
+                    pivot = items[i]
         return found
 
     def search(self, text: str, overlap: float) -> dict[int, tuple[float, float, float]]:
@@ -173,30 +209,33 @@ def _contains(words: list[bytes], few: tuple) -> bool:
     return any(tuple(words[i : i + len(few)]) == few for i in range(len(words) - len(few) + 1))
 
 
-def index_blocks(benchmark: DataFrame, share: float, most_terms: int) -> list[BlockMaxIndex]:
-    """The items' index in blocks of at most most_terms words (an item at least). Benchmarks are small beside a corpus;
-    a block is what every task gets at once."""
-    blocks, items, size = [], [], 0
-    for r in benchmark.where("item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+def index_parts(benchmark: DataFrame, share: float, most_terms: int) -> Iterable[BlockMaxIndex]:
+    """The items' index in parts of at most most_terms words (an item at least), one after the other; a part is what every
+    task gets at once."""
+    items = benchmark.where("item_id is not null").select("item_id", "text").orderBy("item_id", "text")
+    of = Statistics(r["text"] for r in items.toLocalIterator())
+    part, size = [], 0
+    for r in items.toLocalIterator():
         n = len((r["text"] or "").split())
-        if items and size + n > most_terms:
-            blocks.append(BlockMaxIndex(items, share))
-            items, size = [], 0
-        items.append((r["item_id"], r["text"]))
+        if part and size + n > most_terms:
+            yield BlockMaxIndex(part, share, of)
+            part, size = [], 0
+        part.append((r["item_id"], r["text"]))
         size += n
-    return [*blocks, BlockMaxIndex(items, share)] if items else blocks
+    if part:
+        yield BlockMaxIndex(part, share, of)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, overlap: float = 0.6, most_terms: int = 500_000) -> DataFrame:
     """HITS: one row for each leaked item of each doc_id."""
     spark = docs.sparkSession
     hits = None
-    for index in index_blocks(benchmark, share, most_terms):
+    for index in index_parts(benchmark, share, most_terms):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for i, (score, q, a) in index.search(text or "", overlap).items():
@@ -216,12 +255,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, overla
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, overlap: float = 0.6, most_terms: int = 500_000) -> DataFrame:
     """The documents that hold no item, with all their columns; narrow, without a shuffle."""
-    for index in index_blocks(benchmark, share, most_terms):
+    for index in index_parts(benchmark, share, most_terms):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 at = batch.schema.get_field_index("text")
                 yield batch.filter(pa.array([not index.search(t or "", overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
 

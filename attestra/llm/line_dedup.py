@@ -8,7 +8,7 @@ and its keeper; lines of keys in `min_docs` documents or more go, except in the
 
 Defined cases: a null or empty text is one empty line; rows with a null doc_id are returned whole and count for no key;
 rows that repeat a doc_id are one document for counting and are each filtered; lines of a key inside its keeper all stay;
-an empty table gives an empty result. Output columns replace input columns of the same name.
+texts and lines of any length are read whole; an empty table gives an empty result. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from attestra.llm.shared import SPACES, Scratch, ascii_lower, settled
 
 KEY = ("_ld_h1", "_ld_h2")
+HOT = 1000
 
 
 def lines_of(text: Column) -> Column:
@@ -94,6 +95,21 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
+def _dropped(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """(_ld_id, _ld_of, _ld_at): the places of the lines that go. A key in over one of HOT lines is sent to all tasks, of
+    which keys there are HOT at most, so that its lines need not meet; the others are joined by shuffle."""
+    hot = F.col("n_docs") * HOT > lines.count()
+    frequent = F.broadcast(common.where(hot).select(*KEY, "keeper"))
+    others = lines.join(frequent, list(KEY), "left_anti").join(common.where(~hot).select(*KEY, "keeper"), list(KEY))
+    return (
+        lines.join(frequent, list(KEY))
+        .unionByName(others)
+        .where(F.col("doc_id") != F.col("keeper"))
+        .groupBy(F.col("doc_id").alias("_ld_id"), F.col("of").alias("_ld_of"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("_ld_at"))
+    )
+
+
 def dedup_lines(
     docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
@@ -116,20 +132,17 @@ def dedup_lines(
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "of", "batch", "pos", F.xxhash64("key").alias(KEY[0]), F.xxhash64(F.lit("line"), "key").alias(KEY[1]))
     )
-    lines = scratch.write(lines, "lines", partition_by="batch")
     runs = LineRuns(scratch, buckets, fanout)
-    for i in range(len(bounds) + 1):
-        docs_of_key = lines.where(F.col("batch") == i).select("doc_id", *KEY).distinct()
-        runs.add(docs_of_key.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
-    drops = settled(
-        lines.join(common, list(KEY))
-        .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("_ld_id"), F.col("of").alias("_ld_of"))
-        .agg(F.array_sort(F.collect_set("pos")).alias("_ld_at"))
-    )
-    runs.close()
-    scratch.remove()
+    try:
+        lines = scratch.write(lines, "lines", partition_by="batch")
+        for i in range(len(bounds) + 1):
+            docs_of_key = lines.where(F.col("batch") == i).select("doc_id", *KEY).distinct()
+            runs.add(docs_of_key.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
+        common = scratch.write(runs.merged().where(F.col("n_docs") >= min_docs), "common")
+        drops = settled(_dropped(lines, common))
+    finally:
+        runs.close()
+        scratch.remove()
     # The input row goes along as one column, so that none of its names can clash with those used here. What stays is the
     # slices between dropped lines, which is linear in the number of lines.
     text = F.col("row.text")

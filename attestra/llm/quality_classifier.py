@@ -1,13 +1,16 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of n-grams (one to three) over token shapes: case, trailing symbols, whether a token
-repeats the one before or one shortly before, and whether a line repeats. Each n-gram is hashed to 2^BITS places. Class log-count
-ratios are counted over every training row in Spark; the indicators are scaled by them and a linear hinge-loss model is
-fitted by dual coordinate descent to a bounded sample of the training rows (`sample_rows`, chosen by a hash of doc_id).
-A logistic curve on the margin gives the score.
-
-Defined cases: a null or empty text has the bias feature alone and gets its score; null labels teach nothing; with one class only, the
-score is that class's share; texts are read whole; repeated rows are scored each; an empty table gives an empty result.
+A text's features are indicators of n-grams of one to three words, lower-cased, and of one to three token shapes: case,
+letters, digits and signs in order, whether a token repeats the one before or one shortly before, and whether a line
+repeats. Words and shapes are taken whole, and each n-gram is hashed to one of 2^BITS places. Class log-count ratios are
+counted over every training row in Spark; the indicators are scaled by them and a linear hinge-loss model is fitted by dual
+coordinate descent to a bounded sample of the training rows: `sample_rows` at most, half of them of either class if there
+are as many, the first by a hash of doc_id. A logistic curve on the margin gives the score.
+
+Defined cases: a null or empty text has the length feature alone and gets its score; a null doc_id is scored and stays
+null; null labels teach nothing, and a doc_id with several labels is good if one says so; with one class only, the score is
+that class's share, without labels 0.5; texts of any length are read whole; repeated rows are scored each, alike; extra
+columns pass unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import Scratch, settled, texts_of
+from attestra.llm.shared import Scratch, in_slices, settled, texts_of
 from attestra.llm.toxicity import labels_of
 
-BITS = 16
+BITS = 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
@@ -31,10 +34,10 @@ def _shape(word: str) -> str:
     case = "u" if len(word) > 2 and word.isupper() else "t" if word[:1].isupper() else "l"
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return case + word[:6]
+    return case + word
 
 
-class ShapeFeatures:
+class Features:
     """text -> sorted distinct feature places."""
 
     def __init__(self) -> None:
@@ -68,7 +71,10 @@ class ShapeFeatures:
             grams.update(zip(row))
             grams.update(zip(row, row[1:]))
             grams.update(zip(row, row[1:], row[2:]))
-        found = set()
+        words = text.lower().encode("utf-8", "surrogatepass").split()
+        pairs = list(map(b" ".join, zip(words, words[1:])))
+        texts = {*words, *pairs, *map(b" ".join, zip(pairs, words[2:]))}
+        found = {x % (1 << BITS) for x in map(zlib.crc32, texts)}
         for gram in grams:
             place = places.get(gram)
             if place is None:
@@ -83,8 +89,8 @@ def extract_features(docs: DataFrame) -> DataFrame:
     """(doc_id, places): one narrow pass over the texts."""
 
     def extract(batches):
-        features = ShapeFeatures()
-        for batch in batches:
+        features = Features()
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in texts_of(batch.column(1))], pa.list_(pa.int32()))], names=["doc_id", "places"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(extract, "doc_id long, places array<int>")
@@ -98,12 +104,11 @@ def log_count_ratios(rows: DataFrame, smooth: float = 1.0):
         rows.select("label", F.explode("places").alias("place"))
         .groupBy("place")
         .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-        .collect()
+        .toPandas()
     )
     p, q = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
-    for r in counts:
-        p[r["place"]] += r["p"]
-        q[r["place"]] += r["q"]
+    p[counts["place"].to_numpy("int64")] += counts["p"].to_numpy("float64")
+    q[counts["place"].to_numpy("int64")] += counts["q"].to_numpy("float64")
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -157,6 +162,13 @@ def curve_of(margins: list[float], labels: list[int]) -> tuple[float, float]:
     return max(float(a), 0.01), float(b)
 
 
+def sample_by_class(rows: DataFrame, good: int, n: int, most: int) -> DataFrame:
+    """At most `most` rows (label, places), the same at each run: half of either class, or more of one if the other has fewer."""
+    n_good = min(good, max(most // 2, most - (n - good)))
+    first = lambda label, k: rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(k).select("label", "places")
+    return first(1, n_good).unionByName(first(0, min(n - good, most - n_good)))
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4000) -> DataFrame:
     """(doc_id, score). train: which rows of labels may be learned from."""
     spark = docs.sparkSession
@@ -169,11 +181,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_r
         scored = features.select("doc_id", F.lit(good / n if n else 0.5).alias("score"))
     else:
         ratios = log_count_ratios(rows)
-        part = min(1.0, sample_rows / n)
-        picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("label", "places").orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = picked.collect()
-        if len({r["label"] for r in sample}) < 2:
-            sample = rows.select("label", "places").limit(sample_rows).collect()
+        sample = sample_by_class(rows, good, n, sample_rows).collect()
         places, marks = [r["places"] for r in sample], [r["label"] for r in sample]
         weights = dual_coordinate_descent(places, marks, ratios)
         a, b = curve_of(margins_of(places, ratios, weights), marks)
@@ -181,7 +189,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_r
 
         def score(batches):
             ratios, weights = model.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins_of(batch.column(1).to_pylist(), ratios, weights)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 

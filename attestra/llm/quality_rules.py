@@ -5,8 +5,9 @@ texts can't be compressed much, long ones always can. The same holds for every f
 repetitive or random part can't hide in a long document. A rest too short for a chunk is judged within the text's last
 CHUNK bytes, and from TAIL_LEAST bytes on also by the limits of a text of its length. Base counts (symbols, repeated lines and windows) come with it.
 
-Defined cases: a null or empty text has no words, fails the base rule and is rejected; texts of any length are read whole,
-chunk by chunk; repeated rows are judged alike; an empty table gives an empty result.
+Defined cases: a null or empty text has no words, fails the base rule and is rejected; a null doc_id is judged and stays
+null; texts of any length are read whole, chunk by chunk; a ratio that equals a limit is within it; repeated rows are
+judged each, alike; extra columns, of whatever names, pass unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attestra.llm.shared import texts_of
+from attestra.llm.shared import in_slices, texts_of
 
 #: Bytes from which a band holds, and its least and greatest ratio at zstandard level 3.
 DOCUMENT_BANDS = (
@@ -85,7 +86,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 n, chars, symbols, dup, repeat = base_counts(text)

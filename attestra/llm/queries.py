@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +20,9 @@ from attestra.llm import (
 )
 from attestra.llm.shared import Scratch, table
 
-#: Where the vocabulary files lie; each operator takes its file's path as a parameter.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary files; each operator takes its file's path as a parameter.
+PIECE_MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ Nothing is shuffled, and a lost task is simply run again.
 For a unigram model the forward step is the unigram forward score; for a model of merges, whose encoding is not the
 best sum of scores, it is the prefix's last piece (MergeCounter). Either gives the counts of the model's own encoding.
 Characters without a piece count as their UTF-8 bytes.
-Defined cases: a null or empty text has no tokens; long texts and pre-tokens are counted whole; an empty table gives an
-empty result; repeated rows are counted each.
+Defined cases: a null or empty text has no tokens; a null doc_id is counted and stays null; long texts and pre-tokens are
+counted whole; of pieces with equal scores the leftmost join comes first, as in the library; repeated rows are counted
+each; extra columns, of whatever names, pass unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from attestra.llm.shared import texts_of
 
 #: A pre-token is a run of spaces with what follows it up to the next space; the first one has a dummy space before it.
 _PRE = re.compile("▁*[^▁\n]+|▁+|\n")
-BATCH_CHARS, MEMO_WORDS = 8_000_000, 500_000
+BATCH_CHARS, MEMO_WORDS = 4_000_000, 400_000
 _worker: dict = {}
 
 

@@ -5,10 +5,11 @@ encoding of the ids, a row index and a Bloom filter on doc_id in every stripe, s
 parallel and lookups by doc_id skip stripes by their metadata. `lookup` relies on that.
 
 Encoding works on chunks (an optional space and the text up to the next white space), over which the byte-level split
-never reaches; each distinct chunk is encoded once per worker by the tokenizers library, within a bounded memo.
+never reaches; each distinct chunk is encoded once per worker by the tokenizers library, within a bounded memo. Ids are
+the library's own for whole texts, its added tokens included.
 
-Defined cases: a null or empty text has the end id alone; repeated doc_ids are each written, in text order; a null doc_id
-sorts first; an empty table writes no documents. Only doc_id and text are read from the input.
+Defined cases: a null or empty text has the end id alone; a text of any length is encoded whole, as one row; repeated
+doc_ids are each written, in text order; a null doc_id sorts first; an empty table writes no documents. Only doc_id and text are read from the input.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import settled, texts_of
+from attestra.llm.shared import in_slices, settled, texts_of
 
 #: Unicode white space, as the pre-tokenizer's \s has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 400_000
+#: Bytes of text that go to one file, where there are many.
+PART_BYTES = 128 << 20
 #: place: the row in its file, from 0.
 FILE_SCHEMA = "doc_id long, place long, ids array<int>"
 _worker: dict = {}
@@ -58,16 +61,33 @@ class _Memo(dict):
         return ids
 
 
-def encoder(path: str):
-    """text -> bytes of ids. Kept per worker process."""
-    if path not in _worker:
+class Encoder:
+    """text -> bytes of ids, as the library gives them for the whole text. Added tokens are taken out of a text first, as the
+    library does; what stands between them is cut into chunks."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _worker[path] = _Memo(tokenizer)
-    memo = _worker[path].__getitem__
-    return lambda text: b"".join(map(memo, _CHUNK.findall(text)))
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if odd := [c for c, (_, t) in added.items() if t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"added tokens that reach beyond themselves: {odd}")
+        self.memo = _Memo(tokenizer)
+        self.added = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def __call__(self, text: str) -> bytes:
+        memo = self.memo.__getitem__
+        if self.split is None or not any(map(text.__contains__, self.added)):
+            return b"".join(map(memo, _CHUNK.findall(text)))
+        return b"".join(self.added[x] if k % 2 else b"".join(map(memo, _CHUNK.findall(x))) for k, x in enumerate(self.split.split(text)))
+
+
+def encoder(path: str) -> Encoder:
+    """Kept per worker process."""
+    if path not in _worker:
+        _worker[path] = Encoder(path)
+    return _worker[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -79,7 +99,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         of = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         row = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = [of(t) + end for t in texts_of(batch.column(1))]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4"))
@@ -87,7 +107,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             row += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), place, pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "place", "ids"])
 
-    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    # The bounds of the ranges are sampled on the driver: short keys, of which rows of one doc_id have several.
+    ordered = docs.repartitionByRange(parts, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(encode, FILE_SCHEMA)
 
 
@@ -120,7 +144,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 def token_digest(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read_token_files gives. start adds the totals of the files before (one
-    row a file) and a running sum inside the file, whose size is bounded. Only counts are shuffled, never ids."""
+    row a file) and a running sum inside the file, over rows of four numbers. Only counts are shuffled, never ids."""
 
     def sums(batches):
         import numpy as np

@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause's tokens and are composed left to right:
+A text becomes a sequence of symbols, one for each token: insults (words and word stems with weights learned from labelled
+texts, see `learn_insults`), harms, intents, targets, negations, words of report, quotation marks and ends of clauses and
+lines. Small weighted transducers (`transducers`) are composed into two, one that reads forwards and one that reads
+backwards:
 
-* insult: words and word stems, each arc with a weight learned from labelled texts (see `learn_insults`);
-* threat: fixed patterns of intent and harm ("will ... hurt", first person to second person);
-* target: second-person words and the like; an insult or threat near one weighs more;
-* negation: a negated insult or threat weighs little;
-* reported speech: what is said to have been said, or stands in quotes, weighs less.
+* threat: a harm shortly after an intent becomes a threat, which is a hit as an insult is;
+* target: a hit near a target, before or after it, weighs more, once;
+* negation: a hit near a negation, before or after it, weighs less, once;
+* reported speech: a hit after a word of report in its clause weighs less, and so does one between quotation marks that
+  open and close within its line.
 
-A clause scores the sum of its matched arcs after these factors, a text the saturated sum over its matched clauses;
-words outside matched clauses count for nothing. A logistic curve fitted to labelled texts gives the score of 0 to 1.
+A clause, which ends where a sentence does, scores the sum of its hits' weights, a text the sum over its matched clauses;
+what stands outside matched clauses counts for nothing. A logistic curve in the logarithm of the sum, fitted to labelled
+texts, gives the score of 0 to 1.
 
 Learning: every feature of the labelled toxic texts is weighed, and its purity compares the number of toxic texts that
 hold it with that of all texts. Both count distinct texts, and a feature must occur in `least` neighbourhoods (estimated
@@ -17,9 +21,10 @@ from a 64-bit sketch), so that copies of one toxic text teach no accidental word
 than chance explains (SIGNIFICANT). None of these limits depends on the number of texts. The learned arcs are added to
 the seed words. Only doc_id joins texts with labels.
 
-Defined cases: a null or empty text matches nothing and gets the curve's lowest score; labels that are null or without
-text teach nothing, a text with several labels is toxic if one says so; without toxic labels the grammar keeps its seed
-words; texts are read whole; repeated rows are scored each; an empty table gives an empty result.
+Defined cases: a null or empty text matches nothing and gets the curve's lowest score; a null doc_id is scored and stays
+null; labels that are null or without text teach nothing, a text with several labels is toxic if one says so; without
+toxic labels the grammar keeps its seed words; texts of any length are read whole; repeated rows are scored each, alike;
+extra columns pass unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,24 +37,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import sent_if_few, settled, texts_of
+from attestra.llm.shared import in_slices, sent_if_few, settled, texts_of
+from attestra.llm.transducers import Transducer, between, compose, read, within
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
-_BREAK = frozenset(".!?;:\n")
-_QUOTE = frozenset("\"“”«»")
+_LETTERS = r"[^\W\d_]"
+#: Words, with a short ending after an apostrophe; ends; quotation marks before a word and after one.
+_TOKEN = re.compile(rf"{_LETTERS}+(?:['’](?:re|s|ve|ll|d|m|t)\b)?|[.!?;:\n]|[\"“”„«»]")
+_WORD_TOKEN = re.compile(rf"{_LETTERS}+")
+_MARK = re.compile(r"[\"“”„«»]")
+_OPENING, _CLOSING = "«„", "»”"
 #: Fixed word lists (English, German, French, Spanish).
 SEED_INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "worthless", "pathetic", "disgusting", "loser", "clown")
-TARGETS = frozenset("you your yours you're u they them he she him du dich dir ihr euch tu toi vous ustedes usted te eres".split())
-NEGATIONS = frozenset("not never neither nor isn aren wasn don doesn nicht kein keine nie pas jamais ni nunca jamás".split())
+TARGETS = frozenset("you your yours you're you’re u they them he she him du dich dir ihr euch tu toi vous ustedes usted te eres".split())
+NEGATIONS = frozenset("not never neither nor isn isn't isn’t aren aren't aren’t wasn wasn't wasn’t don don't don’t doesn doesn't doesn’t nicht kein keine nie pas jamais ni nunca jamás".split())
 REPORTS = frozenset("said says called calls quoted wrote claimed alleged sagte nannte schrieb behauptete appelé écrit dijo llamó escribió".split())
 INTENTS = frozenset("will gonna going shall werde werden vais voy".split())
 HARMS = frozenset("kill hurt beat destroy shoot stab burn töten schlagen verletzen tuer frapper blesser matar golpear herir".split())
-NEGATED, REPORTED, TARGETED, THREAT, SPAN, SATURATION = 0.5, 0.6, 1.25, 3.0, 3, 20.0
+NEGATED, REPORTED, TARGETED, THREAT, SPAN = 0.5, 0.6, 1.25, 3.0, 3
 STEMS = range(3, 7)
 #: Least exponent of Chernoff's bound on the chance of so many toxic texts: exp(-9) at most.
 SIGNIFICANT = 9.0
 SEEDS = {f"={w}": 4.0 for w in SEED_INSULTS}
 
+#: Symbols. A hit carries what has been found out about it, so that no factor is applied twice.
+WORD, HARM, INTENT, TARGET, NEGATION, REPORT, OPEN, CLOSE, END, LINE = "word harm intent target negation report open close end line".split()
+HITS = {(t, n, q): f"hit{'T' * t}{'N' * n}{'Q' * q}" for t in (0, 1) for n in (0, 1) for q in (0, 1)}
+HIT = HITS[0, 0, 0]
+ALPHABET = (WORD, HARM, INTENT, TARGET, NEGATION, REPORT, OPEN, CLOSE, END, LINE, *HITS.values())
+_KINDS = {w: kind for kind, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (INTENT, INTENTS), (TARGET, TARGETS), (HARM, HARMS)) for w in words}
+_HIT_SYMBOLS = frozenset(HITS.values())
+
+
+def _marking(at: int, weight: float) -> dict:
+    """The rules that set mark `at` of a hit that doesn't have it."""
+    return {symbol: (HITS[tuple(1 if k == at else x for k, x in enumerate(marks))], weight) for marks, symbol in HITS.items() if not marks[at]}
+
+
+def forward_grammar() -> Transducer:
+    ends = (END, LINE)
+    return compose(
+        within(SPAN, [INTENT], {HARM: (HIT, THREAT)}, ends, ALPHABET),
+        within(SPAN, [TARGET], _marking(0, TARGETED), ends, ALPHABET),
+        within(SPAN, [NEGATION], _marking(1, NEGATED), ends, ALPHABET),
+        between([REPORT], [], _marking(2, REPORTED), ends),
+    )
+
+
+def backward_grammar() -> Transducer:
+    ends = (END, LINE)
+    return compose(
+        within(SPAN, [TARGET], _marking(0, TARGETED), ends, ALPHABET),
+        within(SPAN, [NEGATION], _marking(1, NEGATED), ends, ALPHABET),
+        between([CLOSE], [OPEN], _marking(2, REPORTED), [LINE]),
+    )
+
 
 class Grammar:
     """arcs: feature -> weight, where a feature is "=word" or "^stem"."""
@@ -57,6 +98,7 @@ class Grammar:
     def __init__(self, arcs: dict[str, float]) -> None:
         self.arcs = arcs
         self.memo: dict[str, float] = {}
+        self.forward, self.backward = forward_grammar(), backward_grammar()
 
     def insult(self, word: str) -> float:
         get = self.arcs.get
@@ -64,44 +106,76 @@ class Grammar:
         for n in STEMS:
             if len(word) > n:
                 found = max(found, get("^" + word[:n], 0.0))
-        if len(self.memo) > 300_000:
+        if len(self.memo) > 100_000:
             self.memo.clear()
         self.memo[word] = found
         return found
 
+    def symbols(self, text: str) -> tuple[list[str], list[float]]:
+        """The symbol of each token and the weight of each insult (1 for other tokens)."""
+        found, memo = list(_TOKEN.finditer(text)), self.memo
+        symbols, weights = [], []
+        for m in found:
+            token = m[0]
+            word = _WORD_TOKEN.match(token)[0] if token[0].isalpha() else token
+            insult = memo[word] if word in memo else self.insult(word)
+            if insult:
+                symbols.append(HIT)
+            elif token == "\n":
+                symbols.append(LINE)
+            elif token in ".!?;:":
+                symbols.append(END)
+            elif _MARK.match(token):
+                symbols.append(_quotation(token, text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]))
+            else:
+                symbols.append(_KINDS.get(token, WORD))
+            weights.append(insult or 1.0)
+        return _paired(symbols), weights
+
     def match(self, text: str) -> tuple[float, int]:
         """The text's clause sum and its number of matched clauses."""
-        tokens = _TOKEN.findall(text.lower())
+        text = text.lower()
+        words = set(_WORD_TOKEN.findall(text))
         memo = self.memo
-        weights = [memo[t] if t in memo else self.insult(t) for t in tokens]
-        if not any(weights) and HARMS.isdisjoint(tokens):
+        if HARMS.isdisjoint(words) and not any(memo[w] if w in memo else self.insult(w) for w in words):
             return 0.0, 0
-        total, clauses, clause = 0.0, 0, 0.0
-        negated = targeted = intent = -SPAN - 1  # where each state was last entered
-        reported = quoted = False
-        for i, (token, weight) in enumerate(zip(tokens, weights)):
-            if token in _BREAK:
-                clauses += clause > 0
-                total, clause = total + clause, 0.0
-                negated = targeted = intent = -SPAN - 1
-                reported = False
-            elif token in _QUOTE:
-                quoted = not quoted
-            elif token in NEGATIONS:
-                negated = i
-            elif token in REPORTS:
-                reported = True
-            elif token in INTENTS:
-                intent = i
-            if token in TARGETS:
-                targeted = i
-            if token in HARMS and i - intent <= SPAN:
-                weight = max(weight, THREAT)
-            if weight > 0:
-                near = i - targeted <= SPAN or any(t in TARGETS for t in tokens[i + 1 : i + 1 + SPAN])
-                clause += weight * (TARGETED if near else 1) * (NEGATED if i - negated <= SPAN else 1) * (REPORTED if reported or quoted else 1)
-        clauses += clause > 0
-        return min(total + clause, SATURATION), clauses
+        symbols, weights = self.symbols(text)
+        symbols = read(self.backward, read(self.forward, symbols, weights), weights, backwards=True)
+        total, clauses, matched = 0.0, 0, False
+        for symbol, weight in zip(symbols, weights):
+            if symbol in _HIT_SYMBOLS:
+                total, matched = total + weight, True
+            elif symbol == END or symbol == LINE:
+                clauses, matched = clauses + matched, False
+        return total, clauses + matched
+
+
+def _quotation(mark: str, before: str, after: str) -> str:
+    """Does a mark open, close or neither, by its kind and the characters around it."""
+    if mark in _OPENING or mark in _CLOSING:
+        return OPEN if mark in _OPENING else CLOSE
+    if before.isalnum() and after.isalnum():
+        return WORD
+    return OPEN if after.isalnum() or not before.strip() else CLOSE
+
+
+def _paired(symbols: list[str]) -> list[str]:
+    """Quotation marks that don't open and close within a line are taken for words."""
+    opened = None
+    for i, symbol in enumerate(symbols):
+        if symbol == OPEN:
+            if opened is not None:
+                symbols[opened] = WORD
+            opened = i
+        elif symbol == CLOSE:
+            if opened is None:
+                symbols[i] = WORD
+            opened = None
+        elif symbol == LINE and opened is not None:
+            symbols[opened], opened = WORD, None
+    if opened is not None:
+        symbols[opened] = WORD
+    return symbols
 
 
 def _features(word: str):
@@ -116,9 +190,9 @@ def _support(batches):
     import xxhash
 
     texts, sketches = Counter(), {}
-    for batch in batches:
+    for batch in in_slices(batches):
         for text in texts_of(batch.column(0)):
-            words = [t for t in _TOKEN.findall(text.lower()) if t not in _BREAK and t not in _QUOTE]
+            words = _WORD_TOKEN.findall(text.lower())
             held = set()
             for before, word, after in zip(["", *words], words, [*words[1:], ""]):
                 bit = 1 << (xxhash.xxh3_64_intdigest(f"{before} {after}".encode("utf-8", "surrogatepass")) & 63)
@@ -150,11 +224,11 @@ def _background(wanted):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(counts[f]) for f in names], pa.float64())], names=["feature", "n"])
 
     def background(batches):
-        words_kept, memo, counts = 300_000 if wanted else 30_000, {}, Counter()
-        for batch in batches:
+        words_kept, memo, counts = 150_000 if wanted else 30_000, {}, Counter()
+        for batch in in_slices(batches):
             for text, copies in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 held = set()
-                for word in set(_TOKEN.findall(text.lower())):
+                for word in set(_WORD_TOKEN.findall(text.lower())):
                     own = memo.get(word)
                     if own is None:
                         if len(memo) > words_kept:
@@ -222,19 +296,23 @@ def match_texts(docs: DataFrame, arcs: dict[str, float]) -> DataFrame:
 
     def match(batches):
         grammar = Grammar(arcs)
-        for batch in batches:
+        for batch in in_slices(batches):
             got = [grammar.match(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "clause_sum", "n_clauses"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(match, "doc_id long, clause_sum double, n_clauses long")
 
 
+def _strength(clause_sum: Column) -> Column:
+    return F.log1p(clause_sum)
+
+
 def fit_curve(matched: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve, by Newton's method on counts per tenth of the clause sum (a few hundred
-    rows however many texts are labelled)."""
+    """Slope and intercept of the logistic curve in the strength of a text, by Newton's method on counts per fiftieth of
+    it (under 2,000 rows, as no sum of hits exceeds exp(40))."""
     bins = (
         matched.join(labels, "doc_id")
-        .groupBy((F.floor(F.col("clause_sum") * 10) / 10).alias("x"))
+        .groupBy((F.floor(_strength(F.col("clause_sum")) * 50) / 50).alias("x"))
         .agg(F.count("*").alias("n"), F.sum("label").alias("k"))
         .orderBy("x")
         .collect()
@@ -254,28 +332,31 @@ def fit_curve(matched: DataFrame, labels: DataFrame) -> tuple[float, float]:
     return max(a, 0.01), b
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[dict[str, float], float, float, DataFrame]:
-    """(arcs, slope, intercept) and match_texts of all docs. train: which rows of labels may be learned from."""
+def learn_arcs(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[dict[str, float], DataFrame]:
+    """The arcs, and the labels (doc_id, label) that they were learned from. train: which rows of labels may be learned from."""
     known = settled(labels_of(labels, "toxic", train))
-    arcs = {**SEEDS, **learn_insults(docs, known)}
-    matched = settled(match_texts(docs, arcs))
-    return arcs, *fit_curve(matched, known), matched
+    return {**SEEDS, **learn_insults(docs, known)}, known
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """(doc_id, score, clause_sum, n_clauses). train: which rows of labels may be learned from."""
-    _, a, b, matched = learn(docs, labels, train)
-    return matched.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * F.col("clause_sum") + F.lit(b)))))
+    arcs, known = learn_arcs(docs, labels, train)
+    matched = settled(match_texts(docs, arcs))
+    a, b = fit_curve(matched, known)
+    return matched.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * _strength(F.col("clause_sum")) + F.lit(b)))))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.5) -> DataFrame:
-    """The documents that score less than threshold, with all their columns. The texts are scored where they are."""
-    arcs, a, b, _ = learn(docs, labels, train)
+    """The documents that score less than threshold, with all their columns. Only labelled texts are scored for the curve;
+    then all are, where they are."""
+    arcs, known = learn_arcs(docs, labels, train)
+    labelled = docs.select("doc_id", "text").join(sent_if_few(known.select("doc_id")), "doc_id")
+    a, b = fit_curve(match_texts(labelled, arcs), known)
 
     def clean(batches):
         grammar = Grammar(arcs)
-        for batch in batches:
+        for batch in in_slices(batches):
             sums = (grammar.match(t)[0] for t in texts_of(batch.column(batch.schema.get_field_index("text"))))
-            yield batch.filter(pa.array([1 / (1 + math.exp(-(a * x + b))) < threshold for x in sums], pa.bool_()))
+            yield batch.filter(pa.array([1 / (1 + math.exp(-max(-500.0, a * math.log1p(x) + b))) < threshold for x in sums], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

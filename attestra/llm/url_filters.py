@@ -7,8 +7,9 @@ fetch time; it blocks if it is an "add". So every capture is judged by the lists
 
 Entries of one (list, domain) and date: the last by action, "remove" after "add", holds. Defined cases: a null or hostless
 url and a null fetch time match nothing and are kept as not blocked; entries with a null domain or date are ignored;
-domains compare in lower case without a leading "www."; repeated captures are judged each; an empty table gives an
-empty result. Extra columns of captures are kept; output columns replace those of the same name.
+domains compare in lower case without a leading "www."; every domain of two labels or more counts as a parent, public
+suffixes such as co.uk included; urls of any length are read whole; repeated captures are judged each; an empty table
+gives an empty result. Extra columns of captures are kept; output columns replace those of the same name.
 """
 
 from __future__ import annotations

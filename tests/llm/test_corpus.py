@@ -42,9 +42,34 @@ def test_search_equals_brute_force(spark):
     filler = " ".join(rng.choices(words, k=900))
     rows = spark.createDataFrame([(1, filler + " " + items[3][1] + " " + filler), (2, filler + " " + " ".join(near)), (3, filler)], "doc_id long, text string")
     table = spark.createDataFrame(items, "item_id long, text string")
-    for most in (500_000, 100):  # one block of items or many
-        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, table, most_terms=most).collect()}
+    texts = [r.text for r in rows.collect()] + [filler + " " + " ".join(rng.choices(items[i][1].split(), k=40)) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    found = []
+    for most in (500_000, 100, 1):  # one part of items or many: no column changes
+        found.append(sorted(map(tuple, decontaminate.find_leaks(rows, table, most_terms=most).collect())))
+        got = {(d, i) for d, i, *_ in found[-1]}
         assert {(1, 3), (2, 3)} <= got and not any(d == 3 for d, _ in got)
+    assert found[0] == found[1] == found[2]
+
+
+def test_retrieval_skips_blocks_and_loses_nothing():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(4, 25)))) for i in range(700)]  # eleven blocks
+    index = decontaminate.BlockMaxIndex(items, 0.5)
+    for _ in range(300):
+        query = set(rng.choice(list(index.terms))) | set(rng.choice(list(index.terms))) | {w.encode() for w in rng.choices(words, k=30)}
+        want = [i for i, terms in enumerate(index.terms) if sum(w for t, w in terms.items() if t in query) >= 0.5 - 1e-9]
+        assert [i for i, _ in index.retrieve(query, query & index.vocabulary)] == want
+
+
+def test_leaks_of_repeated_and_null_ids(spark):
+    item = "Which river runs through the old town of Marbeck and turns its nine mills? The wide Elster river."
+    filler = " ".join(f"filler{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"{filler} {item}"), (1, filler), (None, f"{item} {filler}"), (None, None), (2, "")], "doc_id long, text string")
+    table = spark.createDataFrame([(5, item), (6, item), (None, item)], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.find_leaks(docs, table).collect()) == [("1", 5), ("1", 6), ("None", 5), ("None", 6)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in decontaminate.drop_leaks(docs, table).collect()))) == sorted(map(str, [(1, filler), (None, None), (2, "")]))
 
 
 def test_url_filters(spark, sf):
@@ -182,3 +207,19 @@ def test_no_verbatim_item_is_lost(spark):
     want = {(d.doc_id, i) for d in docs.collect() for i, t in texts if t in (d.text or "")}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
     assert {(786, 6), (9587, 6), (1281, 37), (8811, 115), (9757, 115)} <= want <= got
+
+
+def test_components(spark):
+    from attestra.llm.components import least_reachable
+    from attestra.llm.shared import Scratch
+
+    def got(rows):
+        scratch = Scratch(spark, "test")
+        return sorted(map(tuple, least_reachable(spark.createDataFrame(rows, "a long, b long"), scratch, "t").collect()))
+
+    assert got([]) == []
+    assert got([(3, 3), (5, 4), (4, 5), (5, 4), (None, 1), (2, None)]) == [(3, 3), (4, 4), (5, 4)]
+    chain = [(i, i + 1) for i in range(40)]
+    random.Random(3).shuffle(chain)
+    star = [(100, 100 + i) for i in range(1, 60)]
+    assert got(chain + star) == [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 160)]

@@ -82,8 +82,7 @@ def test_odd_tables(spark, odd, none):
 def digest_by_hand(rows):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(BYTE_BPE)  # as it is: '<|endoftext|>' in a text is the added token
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
@@ -108,5 +107,5 @@ def test_chunks_are_encoded_as_whole_texts():
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     of = token_files.encoder(BYTE_BPE)
-    for t in ["it's  a\n\n b,c. d.,", " \t x　y", "ÀÉ ñ. 日本語 12ab", "end  ", "<b>x</b> ...,", "a.\x1cb"]:
+    for t in ["it's  a\n\n b,c. d.,", " \t x　y", "ÀÉ ñ. 日本語 12ab", "end  ", "<b>x</b> ...,", "a.\x1cb", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x <|endoftext|>", "a  <|endoftext|>\n b <|endoftext"]:
         assert np.frombuffer(of(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
