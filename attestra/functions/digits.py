@@ -47,12 +47,12 @@ def account_problem(c: Column) -> Column:
     country = F.substring(v, 1, 2)
     length = iban_length(country)
     return (
-        F.when(~v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "not shaped like an IBAN: two letters, two digits, then 11 to 30 letters or digits")
+        F.when(~v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "not shaped as country, two digits and 11 to 30 characters")
         .when(
             length.isNotNull() & (F.char_length(v) != length),
-            F.concat(country, F.lit(" IBANs have "), length.cast("string"), F.lit(" characters, this one has "), F.char_length(v).cast("string")),
+            F.concat(F.lit("numbers of "), country, F.lit(" have "), length.cast("string"), F.lit(" characters, not "), F.char_length(v).cast("string")),
         )
-        .when(mod97(F.concat(F.substr(v, F.lit(5)), F.substring(v, 1, 4))) != 1, "mod-97 check failed, so at least one character is wrong")
+        .when(mod97(F.concat(F.substr(v, F.lit(5)), F.substring(v, 1, 4))) != 1, "mod-97 remainder is not 1")
     )
 
 

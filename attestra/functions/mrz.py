@@ -25,8 +25,8 @@ def zone_problem(lines: Column) -> Column:
     card = (F.size(lines) == 3) & F.forall(sizes, lambda n: n == CARD)
     passport = (F.size(lines) == 2) & F.forall(sizes, lambda n: n == PASSPORT)
     shape = F.array_join(F.transform(sizes, lambda n: n.cast("string")), ", ")
-    return F.when(F.size(odd) > 0, F.concat(F.lit("line '"), F.get(odd, F.lit(0)), F.lit("' contains characters outside A-Z, 0-9 and <"))).when(
-        ~(card | passport), F.concat(F.lit("expected 3 lines of 30 (TD1) or 2 lines of 44 (TD3), got "), F.size(lines).cast("string"), F.lit(" ("), shape, F.lit(")"))
+    return F.when(F.size(odd) > 0, F.concat(F.lit("characters outside the zone's alphabet: "), F.get(odd, F.lit(0)))).when(
+        ~(card | passport), F.concat(F.lit("neither 3 x 30 nor 2 x 44 characters: got "), F.size(lines).cast("string"), F.lit(" ("), shape, F.lit(")"))
     )
 
 

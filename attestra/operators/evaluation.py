@@ -14,8 +14,13 @@ def label_of(live: bool) -> Column:
 
 
 def judged_cases(decisions: DataFrame, labels: DataFrame, live: bool = False) -> DataFrame:
-    """(case_id, scenario, hard, want, got)."""
-    return labels.join(decisions, "case_id").select("case_id", "scenario", "hard", label_of(live).alias("want"), F.col("outcome").alias("got"))
+    """(case_id, scenario, hard, want, got), one row a label; got is null for a case without a decision."""
+    return labels.join(decisions, "case_id", "left").select("case_id", "scenario", "hard", label_of(live).alias("want"), F.col("outcome").alias("got"))
+
+
+def differing(judged: DataFrame) -> DataFrame:
+    """The cases that were not decided as wanted, as rows."""
+    return judged.where(~F.col("want").eqNullSafe(F.col("got"))).select("case_id", "scenario", "want", "got")
 
 
 def confusion(judged: DataFrame) -> DataFrame:
@@ -32,7 +37,6 @@ def percent(n: Column, total: Column) -> Column:
 def summary(judged: DataFrame) -> DataFrame:
     """One row of counts and rates."""
     wrong_way = lambda o: (F.col("got") == o) & (F.col("want") != o)
-    label = F.concat("case_id", F.lit(" ("), "scenario", F.lit(")"))
     sums = judged.agg(
         F.count("*").alias("cases"),
         *[F.count_if(F.col("got") == o).alias(o) for o in OUTCOMES],
@@ -42,14 +46,15 @@ def summary(judged: DataFrame) -> DataFrame:
         F.count_if(wrong_way("approved") & F.col("hard")).alias("hard_false_approvals"),
         F.count_if(wrong_way("rejected")).alias("false_rejections"),
         F.count_if(F.col("got") != F.col("want")).alias("mismatches"),
-        F.array_sort(F.collect_list(F.when(F.col("got") != F.col("want"), F.concat(label, F.lit(": expected "), "want", F.lit(", got "), "got")))).alias("differing"),
+        F.count_if(F.col("got").isNull()).alias("undecided"),
     )
     rates = [percent(F.col(o), F.col("cases")).alias(f"{o}_rate") for o in OUTCOMES]
     return sums.select("*", *rates)
 
 
 def gate(report: DataFrame, live: bool = False) -> DataFrame:
-    failed = (F.col("false_approvals") > 0) | (F.lit(not live) & (F.col("mismatches") > 0))
+    """A lost case fails as a false approval does."""
+    failed = (F.col("false_approvals") + F.col("undecided") > 0) | (F.lit(not live) & (F.col("mismatches") > 0))
     return report.select(failed.alias("failed"))
 
 
@@ -89,24 +94,33 @@ def retried(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("documents"), F.count_if(F.col("reading.attempts") > 1).alias("retried"), F.sum("reading.attempts").alias("calls"))
 
 
+def report_json(report: DataFrame, cells: DataFrame, fields: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row, one text: all figures as a JSON object. Every input is aggregated already and of fixed size."""
+    one = lambda df, name: df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("text"))
+    many = lambda df, name: df.agg(F.lit(name).alias("name"), F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias("text"))
+    parts = one(report, "totals").unionByName(one(calls, "reading")).unionByName(many(cells, "confusion")).unionByName(many(fields, "fields"))
+    members = F.transform(F.sort_array(F.collect_list(F.struct("name", "text"))), lambda p: F.concat(F.lit('"'), p["name"], F.lit('":'), p["text"]))
+    return parts.agg(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("report"))
+
+
 def markdown(report: DataFrame, cells: DataFrame, fields: DataFrame, calls: DataFrame, title: str) -> str:
     """The report as text; every input is aggregated already and of fixed size."""
     r, c = report.first(), calls.first()
-    rows = [
-        ("False approvals (must be 0)", f"{r['false_approvals']} of {r['not_approvable']} cases that should not be approved"),
-        (f"False approvals on the {r['hard_cases']} hard cases", r["hard_false_approvals"]),
-        ("Decisions matching the expected outcome", f"{r['cases'] - r['mismatches']} of {r['cases']}"),
-        ("Straight-through (auto-approved)", f"{r['approved']} ({r['approved_rate']})"),
-        ("Sent to human review", f"{r['in_review']} ({r['in_review_rate']})"),
-        ("Rejected automatically", f"{r['rejected']} ({r['rejected_rate']})"),
-        ("Wrongly rejected", r["false_rejections"]),
-        ("Documents that needed a retry", c["retried"]),
+    bad = r["not_approvable"]
+    measures = {
+        "approved though they should not be": f"{r['false_approvals']} out of {bad}",
+        "of these, hard cases": f"{r['hard_false_approvals']} out of {r['hard_cases']}",
+        "decided as labelled": f"{r['cases'] - r['mismatches'] - r['undecided']} out of {r['cases']}",
+        "without a decision": r["undecided"],
+        "rejected though they should not be": r["false_rejections"],
+        **{o: f"{r[o]} = {r[f'{o}_rate']}" for o in OUTCOMES},
+        "documents asked for more than once": f"{c['retried']} out of {c['documents']}",
+    }
+    grid = lambda head, rows: ["| " + " | ".join(map(str, x)) + " |" for x in (head, ["---"] * len(head), *rows)]
+    parts = [
+        [f"# {title}"],
+        grid(("cases", "number"), measures.items()),
+        grid(("label", *OUTCOMES), [(x["want"], *(x[o] for o in OUTCOMES)) for x in cells.collect()]),
+        grid(("field", "readings", "same", "same but for writing"), [(x["field"], x["total"], x["exact_rate"], x["normalised_rate"]) for x in fields.orderBy("field").collect()]),
     ]
-    out = [f"## {title}", "", f"{r['cases']} cases, {c['documents']} documents.", "", "| Measure | Value |", "|---|---|"]
-    out += [f"| {k} | {v} |" for k, v in rows]
-    out += ["", "| expected \\ actual | " + " | ".join(OUTCOMES) + " |", "|---|---|---|---|"]
-    out += [f"| {x['want']} | " + " | ".join(str(x[o]) for o in OUTCOMES) + " |" for x in cells.collect()]
-    out += ["", "| Field | Documents | Exact | Normalised |", "|---|---|---|---|"]
-    out += [f"| {x['field']} | {x['total']} | {x['exact_rate']} | {x['normalised_rate']} |" for x in fields.orderBy("field").collect()]
-    out += [f"- {m}" for m in r["differing"]]
-    return "\n".join(out) + "\n"
+    return "\n\n".join("\n".join(p) for p in parts) + "\n"

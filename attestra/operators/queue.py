@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ROWS, ROWS = 100, 20
@@ -21,6 +21,25 @@ def queue_page(cases: DataFrame, limit: int = ROWS, after: tuple | None = None,
     return rows.orderBy("created_at", "id").limit(limit + 1)
 
 
+def queue_page_with_cursor(cases: DataFrame, limit: int = ROWS, after: tuple | None = None, status: str = "in_review") -> DataFrame:
+    """The page alone, its rows with next: the cursor of the page after it, null if there is none."""
+    page = queue_page(cases, limit, after, status)
+    whole = Window.orderBy("created_at", "id")  # of limit + 1 rows
+    ranked = page.withColumn("_place", F.row_number().over(whole))
+    everything = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max(F.when(F.col("_place") == limit, encode_cursor(F.col("created_at"), F.col("id")))).over(everything)
+    ranked = ranked.withColumn("next", F.when(F.max("_place").over(everything) > limit, last))
+    return ranked.where(F.col("_place") <= limit).drop("_place")
+
+
+def find_case(cases: DataFrame, case_id, key: str = "case_id") -> DataFrame:
+    """The case; an unknown one is an error."""
+    found = cases.where(F.col(key) == case_id).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no case {case_id}")
+    return found
+
+
 def encode_cursor(created_at: Column, key: Column) -> Column:
     return F.translate(F.base64(F.encode(F.concat(created_at.cast("string"), F.lit("|"), key.cast("string")), "UTF-8")), *_URLSAFE)
 
@@ -42,6 +61,11 @@ def audit_trail(events: DataFrame, case_id: str) -> DataFrame:
     return found.orderBy("seq")
 
 
+def audit_trails(events: DataFrame) -> DataFrame:
+    """Every case's events with their place in its trail, from 1."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("seq")))
+
+
 def version_of(if_match: Column) -> Column:
     """The version of an entity tag "n", null if it is none."""
     return F.regexp_extract(if_match, r'^"(\d{1,9})"$', 1).try_cast("int")

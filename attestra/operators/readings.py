@@ -121,24 +121,23 @@ def validate_reply(text: Column, kind: Column) -> Column:
 def read_documents(documents: DataFrame, reader: Reader) -> DataFrame:
     """documents with reading: struct(ok, attempts, failure, errors, identity, proof_of_address, company_extract).
 
-    A reader's first valid reply of MOST_ATTEMPTS counts; a refusal ends the attempts. The distinct attempts (a script is
-    as long as it is) are validated side by side, so a retry is data, not a loop."""
+    A reader's first valid reply of MOST_ATTEMPTS counts; a refusal ends the attempts. A script's replies are validated
+    side by side as one array (its last reply, which repeats, once), so a retry is data, not a loop."""
     asked = reader.replies(documents)
-    n = F.size("replies")
-    for i in range(1, MOST_ATTEMPTS + 1):
-        asked = asked.withColumn(f"_reply{i}", F.element_at("replies", F.least(F.lit(i), n)))
-        asked = asked.withColumn(f"_got{i}", validate_reply(F.col(f"_reply{i}"), F.col("kind")))
-    empty = {g: F.lit(None).cast(asked.schema["_got1"].dataType[g].dataType.simpleString()) for g in schemas.FIELDS}
-
-    def result(ok, attempt: int, failure: str | None, errors: Column, source: str | None) -> Column:
-        return F.struct(
-            F.lit(ok).alias("ok"), F.lit(attempt).alias("attempts"), F.lit(failure).cast("string").alias("failure"), errors.alias("errors"),
-            *[(F.col(f"{source}.{g}") if source else empty[g]).alias(g) for g in schemas.FIELDS],
-        )
-
+    tried = F.transform(F.slice("replies", 1, MOST_ATTEMPTS), lambda r: F.struct((r == REFUSAL).alias("refused"), validate_reply(r, F.col("kind")).alias("got")))
+    asked = asked.withColumn("_tried", tried).drop("replies")
+    ends = F.transform("_tried", lambda x: x["refused"] | (F.size(x["got"]["errors"]) == 0))
+    asked = asked.withColumn("_end", F.array_position(ends, True)).withColumn(
+        "_last", F.element_at("_tried", F.when(F.col("_end") > 0, F.col("_end").cast("int")).otherwise(-1))
+    )
+    ended, refused = F.col("_end") > 0, F.col("_last.refused")
+    ok = ended & ~refused
     none = F.array().cast("array<string>")
-    reading = result(False, MOST_ATTEMPTS, "invalid_after_retries", F.col(f"_got{MOST_ATTEMPTS}.errors"), None)
-    for i in range(MOST_ATTEMPTS, 0, -1):
-        refused = result(False, i, "refused", F.array(F.lit("the model declined to read this document")), None)
-        reading = F.when(F.col(f"_reply{i}") == REFUSAL, refused).when(F.size(f"_got{i}.errors") == 0, result(True, i, None, none, f"_got{i}")).otherwise(reading)
-    return asked.withColumn("reading", reading).drop("replies", *(f"_reply{i}" for i in range(1, 4)), *(f"_got{i}" for i in range(1, 4)))
+    reading = F.struct(
+        ok.alias("ok"),
+        F.when(ended, F.col("_end").cast("int")).otherwise(MOST_ATTEMPTS).alias("attempts"),
+        F.when(~ended, "invalid_after_retries").when(refused, "refused").alias("failure"),
+        F.when(ok, none).when(ended, F.array(F.lit("reader refused"))).otherwise(F.col("_last.got.errors")).alias("errors"),
+        *[F.when(ok, F.col(f"_last.got.{g}")).alias(g) for g in schemas.FIELDS],
+    )
+    return asked.withColumn("reading", reading).drop("_tried", "_end", "_last")

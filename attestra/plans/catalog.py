@@ -15,6 +15,8 @@ from attestra.functions.digits import account_number, account_problem, check_dig
 from attestra.functions.mrz import compose_zone, parse_zone, wrong_digits
 from attestra.functions.text import INSTRUCTIONS, alnum, instruction_hits, name_outcomes, plain_words
 from attestra.operators import evaluation, queue, readings, routing
+from attestra.operators.checks import document_checks
+from attestra.plans import evidence
 from attestra.plans.verification import verify
 from attestra.sources import specimens
 from attestra.sources.intake import strict_base64
@@ -98,11 +100,11 @@ def mrz_compose_parse(spark, sf_dir):
     s AS (SELECT o_orderkey, strftime(day, '%y%m%d') AS raw FROM d),
     c AS (SELECT o_orderkey, raw, strptime('20' || raw, '%Y%m%d')::DATE AS this FROM s)
     SELECT o_orderkey, raw, CAST(CASE WHEN this > DATE '{TODAY}' THEN try_strptime('19' || raw, '%Y%m%d')::DATE ELSE this END AS VARCHAR) AS birth, CAST(this AS VARCHAR) AS expiry
-    FROM c WHERE right(raw, 4) <> '0229'"""
+    FROM c"""
 )
 def yymmdd_century(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") * 37 % 20000).cast("int")).alias("day"))
-    raw = o.select("o_orderkey", F.date_format("day", "yyMMdd").alias("raw")).where(F.right("raw", F.lit(4)) != "0229")
+    raw = o.select("o_orderkey", F.date_format("day", "yyMMdd").alias("raw"))
     return raw.select("o_orderkey", "raw", short_date(F.col("raw"), _today(), False).cast("string").alias("birth"), short_date(F.col("raw"), _today(), True).cast("string").alias("expiry"))
 
 
@@ -324,6 +326,61 @@ def route_truth_table(spark, sf_dir):
     return routing.route(cases, checks).join(cases, "case_id").select("first", "second", "rejects", "outcome")
 
 
+# --- the registered checks over whole tables ---------------------------------------------------------------------
+
+
+def _statuses(rows: DataFrame) -> DataFrame:
+    return document_checks(rows, _today()).select("case_id", "name", "status", F.col("rejects").cast("int").alias("rejects"))
+
+
+@query(evidence.identity_sql(TODAY))
+def identity_checks(spark, sf_dir):
+    return _statuses(evidence.identity_evidence(table(spark, sf_dir, "customer"), _today()))
+
+
+@query(evidence.ADDRESS_SQL)
+def address_checks(spark, sf_dir):
+    return _statuses(evidence.address_evidence(table(spark, sf_dir, "customer"), _today()))
+
+
+@query(evidence.COMPANY_SQL)
+def company_checks(spark, sf_dir):
+    return _statuses(evidence.company_evidence(table(spark, sf_dir, "customer")))
+
+
+@query(
+    f"""SELECT c_custkey AS case_id, CAST([0, 1, 1, 2, 1, 1, 1, 1][CAST(c_custkey % 8 AS INTEGER) + 1] AS INTEGER) AS n_errors,
+    ['', 'extra', 'country', 'company_name,directors', '{readings.NOT_JSON}', 'document', 'status', 'status'][CAST(c_custkey % 8 AS INTEGER) + 1] AS fields FROM customer"""
+)
+def reply_validation(spark, sf_dir):
+    """Replies with faults planted by key: how many errors, and of which fields."""
+    key = F.col("c_custkey")
+    replies = table(spark, sf_dir, "customer").select(key.alias("case_id"), evidence.company_reply(key, key % 8).alias("reply"))
+    got = replies.select("case_id", readings.validate_reply(F.col("reply"), F.lit("company_extract"))["errors"].alias("errors"))
+    names = F.array_join(F.array_sort(F.transform("errors", lambda e: F.get(F.split(e, ":"), F.lit(0)))), ",")
+    return got.select("case_id", F.size("errors").alias("n_errors"), names.alias("fields"))
+
+
+@query(
+    """SELECT c_custkey AS case_id, CAST(c_custkey % 6 < 3 AS INTEGER) AS ok, CAST([1, 2, 3, 3, 2, 3][CAST(c_custkey % 6 AS INTEGER) + 1] AS INTEGER) AS attempts,
+    ['', '', '', 'invalid_after_retries', 'refused', 'invalid_after_retries'][CAST(c_custkey % 6 AS INTEGER) + 1] AS failure,
+    CASE WHEN c_custkey % 6 < 3 THEN 'Firm ' || c_custkey ELSE '' END AS company FROM customer"""
+)
+def bounded_retry(spark, sf_dir):
+    """Scripts by key: valid at once, at the second and third attempt, never, refused at the second, and no script."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    good, bad = evidence.company_reply(key, F.lit(0)), evidence.company_reply(key, F.lit(2))
+    scripts = [F.array(good), F.array(bad, good), F.array(bad, bad, good), F.array(bad), F.array(bad, F.lit(readings.REFUSAL), good)]
+    digest = F.sha2(key.cast("string"), 256)
+    script = F.get(F.array(*scripts), (key % 6).cast("int"))
+    docs = customers.select(key.alias("case_id"), F.lit(0).alias("doc_index"), F.lit("company_extract").alias("kind"), digest.alias("sha256"))
+    read = readings.read_documents(docs, readings.ReplayReader(customers.where(key % 6 < 5).select(digest.alias("sha256"), script.alias("replies"))))
+    r = F.col("reading")
+    company = F.coalesce(r["company_extract"]["company_name"]["value"], F.lit(""))
+    return read.select("case_id", r["ok"].cast("int").alias("ok"), r["attempts"].alias("attempts"), F.coalesce(r["failure"], F.lit("")).alias("failure"), company.alias("company"))
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------
 
 
@@ -331,7 +388,8 @@ def _judged(spark, sf_dir) -> DataFrame:
     """labels as wanted outcomes (toxic: rejected, good: approved, else in_review), compared with the customers' outcomes."""
     want = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("in_review")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.lit("s").alias("scenario"), want.alias("expected"), F.lit(None).cast("string").alias("expected_live"), (F.col("toxic") == 1).alias("hard"))
-    return evaluation.judged_cases(route_decision(spark, sf_dir).select("case_id", "outcome"), labels)
+    decided = route_decision(spark, sf_dir).select("case_id", "outcome")
+    return evaluation.judged_cases(decided, labels.join(decided.select("case_id"), "case_id", "left_semi"))
 
 
 _JUDGED_CTE = f"""{_CHECKS_CTE}, judged AS (SELECT case_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'in_review' END AS want, outcome AS got, toxic = 1 AS hard
@@ -354,7 +412,7 @@ def confusion_matrix(spark, sf_dir):
     CASE WHEN count(*) = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * count(*) FILTER (WHERE got = 'approved') / count(*)) END AS approved_rate FROM judged"""
 )
 def false_approvals(spark, sf_dir):
-    return evaluation.summary(_judged(spark, sf_dir)).drop("differing", "in_review_rate", "rejected_rate")
+    return evaluation.summary(_judged(spark, sf_dir)).drop("undecided", "in_review_rate", "rejected_rate")
 
 
 @query(
@@ -386,7 +444,13 @@ def field_accuracy(spark, sf_dir):
     return evaluation.field_scores(docs, known).select("field", "total", "exact", "normalised")
 
 
-@query()
+_SPECIMENS = ", ".join(f"('{name}', {n}, '{expected}', {hard})" for name, n, expected, _, hard in specimens.SCENARIOS)
+
+
+@query(
+    f"""SELECT scenario || '-' || lpad(CAST(i AS VARCHAR), 6, '0') AS case_id, scenario, hard, expected AS want, expected AS got
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (VALUES {_SPECIMENS}) s(scenario, n, expected, hard))"""
+)
 def specimen_report(spark, sf_dir):
     """The 56 labelled specimen cases through the whole engine: scenario, wanted and actual outcome."""
     cases = specimens.specimen_cases(spark)
@@ -424,10 +488,10 @@ def review_queue_keyset(spark, sf_dir):
     return queue.queue_page(_order_cases(spark, sf_dir), 100, (at, 500), "F").select("id", "created_at")
 
 
-@query("SELECT event_id AS seq, event_type AS event, ts AS at FROM events WHERE user_id = 7 ORDER BY event_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS place, event_id AS seq, event_type AS event, ts AS at FROM events")
 def audit_trail(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("event"), F.col("ts").alias("at"))
-    return queue.audit_trail(e, "7").select("seq", "event", "at")
+    return queue.audit_trails(e)
 
 
 @query("SELECT user_id AS case_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event FROM events GROUP BY user_id")
@@ -441,10 +505,12 @@ def stuck_processing(spark, sf_dir):
     return latest_state(spark, sf_dir).where("event = 'error'").agg(F.count("*").alias("stuck"))
 
 
-@query("SELECT event_id AS seq, user_id AS case_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 2 = 0)")
+@query("WITH e AS (SELECT event_id AS seq, user_id + CASE WHEN event_id % 97 = 0 THEN 100000000 ELSE 0 END AS case_id FROM events) SELECT seq, case_id FROM e WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = case_id)")
 def orphan_audit(spark, sf_dir):
-    cases = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("case_id"))
-    return lifecycle.orphans(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("case_id")), cases)
+    """Some events' cases are moved to keys that no customer has."""
+    moved = F.col("user_id") + F.when(F.col("event_id") % 97 == 0, 100_000_000).otherwise(0)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), moved.alias("case_id"))
+    return lifecycle.orphans(events, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id")))
 
 
 def _commands(spark, sf_dir) -> DataFrame:

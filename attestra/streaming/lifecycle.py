@@ -7,10 +7,12 @@ version is the current one). A command that doesn't fit is refused and changes n
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,12 +41,13 @@ def step(state: tuple[str, int] | None, event: str, to_status: str | None, expec
     return state, "unknown_event"
 
 
-def _apply(key: str, state: tuple[str, int] | None, rows: pd.DataFrame) -> tuple[tuple[str, int] | None, list[tuple]]:
+def _apply(state: tuple[str, int] | None, case_id: str, rows: pd.DataFrame) -> tuple[tuple[str, int] | None, list[tuple]]:
+    """The state after a case's rows, which stand in order, and their RESULTS."""
     out = []
-    for r in rows.sort_values("seq", kind="stable").itertuples():
+    for r in rows.itertuples():
         expected = None if pd.isna(r.expected_version) else int(r.expected_version)
         new, refusal = step(state, r.event, r.to_status, expected)
-        out.append((key, r.seq, r.event, state[0] if state else None, new[0] if new else None, new[1] if new else None, refusal))
+        out.append((case_id, r.seq, r.event, state[0] if state else None, new[0] if new else None, new[1] if new else None, refusal))
         state = new
     return state, out
 
@@ -57,12 +60,21 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def fold(commands: DataFrame) -> DataFrame:
-    """RESULTS of every command. A group is one case's commands, a handful."""
+    """RESULTS of every command. Partitioned by case and sorted, commands pass one by one beside the state of the case at
+    hand, so that a case of any length needs no memory of its own."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_apply(key[0], None, rows)[1])
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        case, state = None, None
+        for batch in batches:
+            out = []
+            for case_id, rows in batch.groupby("case_id", sort=False, dropna=False):
+                state, done = _apply(state if case_id == case else None, case_id, rows)
+                case, out = case_id, out + done
+            yield _frame(out)
 
-    return commands.groupBy("case_id").applyInPandas(one, RESULTS)
+    columns = [x.split()[0] for x in COMMANDS.split(", ")]
+    known = commands.select(*columns).where("case_id is not null")
+    return known.repartition("case_id").sortWithinPartitions("case_id", "seq").mapInPandas(pass_by, RESULTS)
 
 
 class CaseProcessor(StatefulProcessor):
@@ -73,7 +85,8 @@ class CaseProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.state.get() if self.state.exists() else None
-        now, out = _apply(key[0], tuple(state) if state else None, pd.concat(list(rows)))
+        ordered = pd.concat(list(rows)).sort_values("seq", kind="stable")  # of one trigger
+        now, out = _apply(tuple(state) if state else None, key[0], ordered)
         if now is not None:
             self.state.update(now)
         yield _frame(out)
@@ -103,14 +116,32 @@ def interrupted(states: DataFrame) -> DataFrame:
 
 
 def append_events(new: DataFrame, path: str) -> None:
-    """Add events to the log at path. The log only grows: a seq that it holds already, or that new holds twice, refuses all."""
+    """Add events to the log at path. The log only grows: a seq that it holds already, or that new holds twice, refuses all.
+
+    The batch is written once, to a folder that readers pass over, judged there, and put in place by one rename. Of two
+    writers at a time with the same seq both may pass; `read_events` then shows the event of the first batch only."""
     spark = new.sparkSession
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    doubled = new.groupBy("seq").count().where("count > 1").select("seq")
-    if there:
-        doubled = doubled.unionByName(new.select("seq").join(spark.read.parquet(path).select("seq"), "seq", "left_semi"))
-    if not doubled.isEmpty():
-        raise ValueError("the log is append-only: an event with this seq exists")
-    new.write.mode("append").parquet(path)
+    folder = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+    files = folder("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    there = files.exists(folder(""))
+    new.write.parquet(f"{path}/_{name}")
+    try:
+        batch = spark.read.parquet(f"{path}/_{name}").select("seq")
+        doubled = batch.groupBy("seq").count().where("count > 1").select("seq")
+        if there:
+            doubled = doubled.unionByName(batch.join(spark.read.parquet(path).select("seq"), "seq", "left_semi"))
+        if not doubled.isEmpty():
+            raise ValueError("the log is append-only: an event with this seq exists")
+        if not files.rename(folder(f"_{name}"), folder(f"batch={name}")):
+            raise OSError(f"could not add the batch to {path}")
+    finally:
+        files.delete(folder(f"_{name}"), True)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The log's events, one for each seq: that of the batch that came first."""
+    log = spark.read.parquet(path)
+    rest = [c for c in log.columns if c not in ("seq", "batch")]
+    return log.groupBy("seq").agg(F.min_by(F.struct(*rest), F.col("batch").cast("string")).alias("first")).select("seq", "first.*")

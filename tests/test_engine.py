@@ -23,8 +23,23 @@ def run(spark):
 def test_every_case_is_decided_as_labelled(run):
     report = evaluation.summary(run[4]).first()
     assert (report.cases, report.approved, report.in_review, report.rejected) == (56, 25, 25, 6)
-    assert (report.false_approvals, report.false_rejections, report.mismatches, report.differing) == (0, 0, 0, [])
-    assert not evaluation.gate(evaluation.summary(run[4])).first().failed
+    assert (report.false_approvals, report.false_rejections, report.mismatches, report.undecided) == (0, 0, 0, 0)
+    assert evaluation.differing(run[4]).isEmpty() and not evaluation.gate(evaluation.summary(run[4])).first().failed
+
+
+def test_a_lost_case_fails_the_gate(run):
+    lost = evaluation.judged_cases(run[4].select("case_id", F.col("got").alias("outcome")).limit(55), specimens.labels(run[0]))
+    report = evaluation.summary(lost)
+    assert report.first().cases == 56 and report.first().undecided == 1 and evaluation.differing(lost).count() == 1
+    assert evaluation.gate(report).first().failed and evaluation.gate(report, live=True).first().failed
+
+
+def test_reports(run):
+    report, cells = evaluation.summary(run[4]), evaluation.confusion(run[4])
+    fields, calls = evaluation.field_scores(run[2], specimens.truth(run[1])), evaluation.retried(run[2])
+    got = json.loads(evaluation.report_json(report, cells, fields, calls).first().report)
+    assert got["totals"]["cases"] == 56 and got["reading"]["documents"] == 117 and len(got["confusion"]) == 3 and len(got["fields"]) == fields.count()
+    assert "25 = 44.6%" in evaluation.markdown(report, cells, fields, calls, "Specimens")
 
 
 def test_the_planted_fault_is_what_fails(run):

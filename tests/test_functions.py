@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import codes, dates, digits, mrz, text
 
-TODAY = F.lit("2026-10-01").cast("date")
+TODAY = "2026-10-01"
 
 
 def value(spark, column):
@@ -50,7 +50,7 @@ def test_bad_zones(spark):
 
 @pytest.mark.parametrize("raw, future, want", [("740812", False, dt.date(1974, 8, 12)), ("100101", False, dt.date(2010, 1, 1)), ("261215", False, dt.date(1926, 12, 15)), ("310831", True, dt.date(2031, 8, 31)), ("991399", True, None), ("<<<<<<", False, None)])
 def test_century(spark, raw, future, want):
-    assert value(spark, dates.short_date(F.lit(raw), TODAY, future)) == want
+    assert value(spark, dates.short_date(F.lit(raw), F.lit(TODAY).cast("date"), future)) == want
 
 
 @pytest.mark.parametrize("passport", [True, False])
@@ -103,7 +103,7 @@ def test_iso_date(spark):
     [("Müller", "MUELLER", "match"), ("Müller", "Muller", "match"), ("ışık", "ISIK", "match"), ("Søren Berg", "BERG SOEREN", "match"), ("Søren", "SOREN", "near"), ("Jan Smit", "Jen Smit", "near"), ("Anna", "Bertold", "mismatch"), ("", "Anna", "mismatch"), ("李", "Li", "mismatch")],
 )
 def test_names(spark, a, b, outcome):
-    assert value(spark, text.name_outcomes(F.array(F.lit(a)), F.array(F.lit(b))))[0].outcome == outcome == text.name_outcome(a, b)[0]
+    assert value(spark, text.name_outcomes(F.array(F.lit(a)), F.array(F.lit(b))))[0].outcome == outcome
 
 
 @pytest.mark.parametrize("line, plain", [("Musterstraße 7", "musterstrasse 7"), ("Musterstr. 7", "musterstrasse 7"), ("Örnek Sok. No: 5", "ornek sokak no 5"), ("12 High St", "12 high street")])

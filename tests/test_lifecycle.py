@@ -51,6 +51,17 @@ def test_the_log_only_grows(spark, tmp_path):
     assert spark.read.parquet(path).count() == len(ROWS) + 1
 
 
+def test_of_two_writers_the_first_batch_counts(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lifecycle.append_events(commands(spark), path)
+    late = spark.createDataFrame([(1, "late", "case_submitted", None, None), (100, "n", "case_submitted", None, None)], lifecycle.COMMANDS)
+    late.write.parquet(f"{path}/batch=99999999999999999999-late")  # passed its check before the other was in place
+    got = {r.seq: r.case_id for r in lifecycle.read_events(spark, path).collect()}
+    assert got == {r[0]: r[1] for r in ROWS} | {100: "n"}
+    with pytest.raises(ValueError):
+        lifecycle.append_events(late.unionByName(late), str(tmp_path / "other"))
+
+
 def test_latest_orphans_interrupted(spark):
     last = {r.case_id: r.seq for r in lifecycle.latest(commands(spark)).collect()}
     assert last == {"a": 17, "b": 6, "c": 5}
@@ -77,6 +88,19 @@ def test_pages_cover_the_queue_once(spark):
         queue.audit_trail(spark.createDataFrame([(1, "a")], "seq long, case_id string"), "b")
 
 
+def test_a_page_knows_the_next(spark):
+    cases = spark.createDataFrame([(f"c{i:02}", dt.datetime(2026, 1, 1 + i), "in_review") for i in range(7)], "id string, created_at timestamp, status string")
+    page = queue.queue_page_with_cursor(cases, 4)
+    rows = page.collect()
+    key = page.select(queue.decode_cursor(F.col("next")).alias("c")).first().c
+    assert [r.id for r in rows] == ["c00", "c01", "c02", "c03"] and len({r.next for r in rows}) == 1 and (key.id, key.created_at) == ("c03", rows[3].created_at)
+    last = queue.queue_page_with_cursor(cases, 4, (key.created_at, key.id)).collect()
+    assert [r.id for r in last] == ["c04", "c05", "c06"] and all(r.next is None for r in last)
+    assert queue.find_case(cases, "c05", "id").first().id == "c05"
+    with pytest.raises(LookupError):
+        queue.find_case(cases, "nobody", "id")
+
+
 def test_cursor(spark):
     row = spark.range(1).select(F.lit("2026-01-02 03:04:05.000006").cast("timestamp").alias("t"), F.lit("k?>~").alias("k"))
     back = row.select(queue.decode_cursor(queue.encode_cursor(F.col("t"), F.col("k"))).alias("c"), "t").first()
