@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents: doc_id, text, lang, source, n_chars.
+documents: doc_id, text, lang, source, n_chars. Null and empty texts stay in every filtering stage, and so do rows with a
+null doc_id and rows that repeat one, unless another of their texts makes their doc_id go; texts of any length are read
+whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays; documents without shingles stay."""
+    """Of each group the document with the least doc_id stays, with all its rows; documents without shingles stay, and so do
+    rows with a null doc_id."""
     groups = jaccard_join.jaccard_components(docs)
     extra = sent_if_few(groups.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
