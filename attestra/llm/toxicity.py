@@ -55,6 +55,8 @@ INTENTS = frozenset("will gonna going shall werde werden vais voy".split())
 HARMS = frozenset("kill hurt beat destroy shoot stab burn töten schlagen verletzen tuer frapper blesser matar golpear herir".split())
 NEGATED, REPORTED, TARGETED, THREAT, SPAN = 0.5, 0.6, 1.25, 3.0, 3
 STEMS = range(3, 7)
+#: Words that a worker remembers to have looked up.
+WORDS_SEEN = 400_000
 #: Least exponent of Chernoff's bound on the chance of so many toxic texts: exp(-9) at most.
 SIGNIFICANT = 9.0
 SEEDS = {f"={w}": 4.0 for w in SEED_INSULTS}
@@ -97,7 +99,9 @@ class Grammar:
 
     def __init__(self, arcs: dict[str, float]) -> None:
         self.arcs = arcs
-        self.memo: dict[str, float] = {}
+        #: Words that have been looked up, and the weights of those that are insults.
+        self.seen: set[str] = set()
+        self.weights: dict[str, float] = {}
         self.forward, self.backward = forward_grammar(), backward_grammar()
 
     def insult(self, word: str) -> float:
@@ -106,19 +110,24 @@ class Grammar:
         for n in STEMS:
             if len(word) > n:
                 found = max(found, get("^" + word[:n], 0.0))
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[word] = found
         return found
 
+    def look_up(self, words: set[str]) -> None:
+        new = words - self.seen
+        if len(self.seen) + len(new) > WORDS_SEEN:
+            self.seen.clear()
+            self.weights.clear()
+            new = words
+        self.seen |= new
+        self.weights.update((w, weight) for w in new if (weight := self.insult(w)))
+
     def symbols(self, text: str) -> tuple[list[str], list[float]]:
         """The symbol of each token and the weight of each insult (1 for other tokens)."""
-        found, memo = list(_TOKEN.finditer(text)), self.memo
         symbols, weights = [], []
-        for m in found:
+        for m in _TOKEN.finditer(text):
             token = m[0]
             word = _WORD_TOKEN.match(token)[0] if token[0].isalpha() else token
-            insult = memo[word] if word in memo else self.insult(word)
+            insult = self.weights.get(word, 0.0)
             if insult:
                 symbols.append(HIT)
             elif token == "\n":
@@ -136,8 +145,8 @@ class Grammar:
         """The text's clause sum and its number of matched clauses."""
         text = text.lower()
         words = set(_WORD_TOKEN.findall(text))
-        memo = self.memo
-        if HARMS.isdisjoint(words) and not any(memo[w] if w in memo else self.insult(w) for w in words):
+        self.look_up(words)
+        if HARMS.isdisjoint(words) and self.weights.keys().isdisjoint(words):
             return 0.0, 0
         symbols, weights = self.symbols(text)
         symbols = read(self.backward, read(self.forward, symbols, weights), weights, backwards=True)
@@ -224,17 +233,22 @@ def _background(wanted):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(counts[f]) for f in names], pa.float64())], names=["feature", "n"])
 
     def background(batches):
-        words_kept, memo, counts = 300_000 if wanted else 30_000, {}, Counter()
+        # word -> the features of it that are counted; seen holds those without any.
+        words_kept, memo, seen, counts = WORDS_SEEN if wanted else 30_000, {}, set(), Counter()
         for batch in in_slices(batches):
             for text, copies in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                held = set()
-                for word in set(_WORD_TOKEN.findall(text.lower())):
-                    own = memo.get(word)
-                    if own is None:
-                        if len(memo) > words_kept:
-                            memo.clear()
-                        own = memo[word] = tuple(f for f in _features(word) if not wanted or f in wanted.value)
-                    held.update(own)
+                words = set(_WORD_TOKEN.findall(text.lower()))
+                new = {w for w in words - seen if w not in memo}
+                if len(seen) + len(memo) + len(new) > words_kept:
+                    seen.clear()
+                    memo.clear()
+                    new = words
+                for word in new:
+                    if own := tuple(f for f in _features(word) if not wanted or f in wanted.value):
+                        memo[word] = own
+                    else:
+                        seen.add(word)
+                held = set().union(*[memo[w] for w in words if w in memo])
                 if copies == 1:
                     counts.update(held)
                 else:
