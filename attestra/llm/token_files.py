@@ -27,7 +27,7 @@ from attestra.llm.shared import in_slices, settled, texts_of
 #: Unicode white space, as the pre-tokenizer's \s has it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 800_000
 #: Bytes of text that go to one file, where there are many.
 PART_BYTES = 128 << 20
 #: place: the row in its file, from 0.
