@@ -3,8 +3,9 @@
 Documents arrive in batches, largest doc_ids first. A run is a table of line keys, bucketed and sorted by key hash, so
 that the merge join with it needs no shuffle of the run. Each batch merge-anti-joins the runs: keys that no run holds are
 added with the batch's largest doc_id as their keeper; keys already there are added as counts only. When a level holds
-`fanout` runs they are compacted into one run of the next level. The last compaction gives each key's number of documents
-and its keeper; lines of keys in `min_docs` documents or more go, except in the keeper.
+`fanout` runs they are compacted into one run of the next level by full outer merge joins, two runs at a time: a run has
+one row for each key, and so has their join. The last compaction, of all levels, gives each key's number of documents and
+its keeper; lines of keys in `min_docs` documents or more go, except in the keeper. Buckets follow the number of lines.
 
 Defined cases: a null or empty text is one empty line; rows with a null doc_id are returned whole and count for no key;
 rows that repeat a doc_id are one document for counting and are each filtered; lines of a key inside its keeper all stay;
@@ -22,6 +23,8 @@ from attestra.llm.shared import SPACES, Scratch, ascii_lower, settled
 
 KEY = ("_ld_h1", "_ld_h2")
 HOT = 1000
+#: Lines in a bucket of a run, about.
+BUCKET_LINES = 4_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -82,6 +85,7 @@ class LineRuns:
         self._drop(names)
 
     def merged(self) -> DataFrame:
+        """One row for each key of all runs."""
         return _merged(self.tables())
 
     def close(self) -> None:
@@ -89,16 +93,20 @@ class LineRuns:
 
 
 def _merged(runs: list[DataFrame]) -> DataFrame:
+    """The runs merged in turn. Two runs stand in the same buckets, so the join needs no shuffle of them; a union of theirs
+    would be taken to be bucketed as well, which its partitions are not."""
     rows = runs[0]
     for run in runs[1:]:
-        rows = rows.unionByName(run)
-    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        other = run.select(*KEY, F.col("n_docs").alias("_n"), F.col("keeper").alias("_k"))
+        total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))
+        rows = rows.join(other, list(KEY), "full_outer").select(*KEY, total.alias("n_docs"), F.greatest("keeper", "_k").alias("keeper"))
+    return rows
 
 
-def _dropped(lines: DataFrame, common: DataFrame) -> DataFrame:
+def _dropped(lines: DataFrame, n_lines: int, common: DataFrame) -> DataFrame:
     """(_ld_id, _ld_of, _ld_at): the places of the lines that go. A key in over one of HOT lines is sent to all tasks, of
     which keys there are HOT at most, so that its lines need not meet; the others are joined by shuffle."""
-    hot = F.col("n_docs") * HOT > lines.count()
+    hot = F.col("n_docs") * HOT > n_lines
     frequent = F.broadcast(common.where(hot).select(*KEY, "keeper"))
     others = lines.join(frequent, list(KEY), "left_anti").join(common.where(~hot).select(*KEY, "keeper"), list(KEY))
     return (
@@ -116,7 +124,6 @@ def dedup_lines(
     """docs (doc_id, text, ...) with kept_text, n_lines and n_dropped added."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = (
         docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000).alias("at")).first()["at"]
         or []
@@ -132,16 +139,20 @@ def dedup_lines(
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "of", "batch", "pos", F.xxhash64("key").alias(KEY[0]), F.xxhash64(F.lit("line"), "key").alias(KEY[1]))
     )
-    runs = LineRuns(scratch, buckets, fanout)
+    runs = None
     try:
         lines = scratch.write(lines, "lines", partition_by="batch")
+        n_lines = lines.count()
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines // (BUCKET_LINES * batches)))
+        runs = LineRuns(scratch, buckets, fanout)
         for i in range(len(bounds) + 1):
             docs_of_key = lines.where(F.col("batch") == i).select("doc_id", *KEY).distinct()
             runs.add(docs_of_key.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
         common = scratch.write(runs.merged().where(F.col("n_docs") >= min_docs), "common")
-        drops = settled(_dropped(lines, common))
+        drops = settled(_dropped(lines, n_lines, common))
     finally:
-        runs.close()
+        if runs is not None:
+            runs.close()
         scratch.remove()
     # The input row goes along as one column, so that none of its names can clash with those used here. What stays is the
     # slices between dropped lines, which is linear in the number of lines.
