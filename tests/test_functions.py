@@ -106,6 +106,12 @@ def test_names(spark, a, b, outcome):
     assert value(spark, text.name_outcomes(F.array(F.lit(a)), F.array(F.lit(b))))[0].outcome == outcome
 
 
+@pytest.mark.parametrize("a, b, ratio", [("Karl Peter Sundmark", "Karl Sundmark", 0.812), ("Nils Falkengren", "Nilo Falkengren", 0.933), ("Vera", "Vera", 1.0), ("", "Vera", 0.0)])
+def test_similarity_is_rounded_half_to_even(spark, a, b, ratio):
+    """26 / 32 is 0.8125 and no place above it."""
+    assert value(spark, text.name_outcomes(F.array(F.lit(a)), F.array(F.lit(b))))[0].similarity == ratio
+
+
 @pytest.mark.parametrize("line, plain", [("Musterstraße 7", "musterstrasse 7"), ("Musterstr. 7", "musterstrasse 7"), ("Örnek Sok. No: 5", "ornek sokak no 5"), ("12 High St", "12 high street")])
 def test_plain_words(spark, line, plain):
     assert value(spark, text.plain_words(F.array(F.lit(line)))) == [plain]
