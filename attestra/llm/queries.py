@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
+    byte_bpe,
+    collocations,
     decontaminate,
     jaccard_join,
+    lexical_search,
     line_dedup,
     quality_classifier,
     quality_rules,
@@ -18,11 +21,12 @@ from attestra.llm import (
     toxicity,
     url_filters,
 )
-from attestra.llm.shared import Scratch, table
+from attestra.llm.shared import Scratch, settled, table
 
 #: The vocabulary files; each operator takes its file's path as a parameter.
 PIECE_MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+BYTE_RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +169,85 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "byte-bpe") as scratch:
+        encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, scratch)
+        decoded = byte_bpe.decode_documents(encoded, BYTE_RANKS)
+        decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+        return settled(decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "collocations") as scratch:
+        return collocations.collocations(table(spark, sf_dir, "documents"), scratch)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS x FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), sequences AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), words AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM sequences GROUP BY lang
+), places AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM sequences, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k
+), frequent AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS j FROM frequent WHERE k > 1
+), scores AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.j, l.f AS l, r.f AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts c JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(p[1:j], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(p[j + 1:c.k], ' ') JOIN words ON words.lang = c.lang
+), weakest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), within AS (
+  SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, max(a) AS g FROM (
+    SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, k, string_split(phrase, ' ') AS p, unnest(range(2, k)) AS m FROM weakest)
+  ) GROUP BY ALL
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM weakest w LEFT JOIN within h ON h.lang = w.lang AND h.phrase = w.phrase WHERE coalesce(g, 0) < a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    with Scratch(spark, "lexical-search") as scratch:
+        index = lexical_search.build_index(table(spark, sf_dir, "documents"), scratch, lexical_search.terms_to_index(items))
+        found = lexical_search.search(index, items, scratch)
+        return settled(found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score"))
+
+
+OP13_SQL = rf"""
+WITH occurrences AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM occurrences GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), frequencies AS (
+  SELECT term, count(*) AS df FROM counts GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN frequencies USING (term), totals
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM weights JOIN counts USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_toxicity,
@@ -176,6 +259,9 @@ OPERATORS = (
     op8_token_files,
     op9_token_counts,
     op10_ngram_jaccard,
+    op11_byte_bpe,
+    op12_collocations,
+    op13_lexical_search,
 )
 
 
@@ -184,4 +270,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_url_filters": OP7_SQL, "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}

@@ -24,16 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
+    if not getattr(spark.sparkContext, "_settled_go_at_exit", False):  # the folder in it that is this application's own
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
+        spark.sparkContext._settled_go_at_exit = True
     return path.rstrip("/")
 
 
 class Scratch:
     """A folder of intermediate tables inside the shared folder. Nothing that a returned DataFrame still reads is kept
-    here: such results are `settled` with checkpoint(), which Spark cleans up itself."""
+    here: such results are `settled` with checkpoint(), whose files go when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd")
@@ -45,7 +56,19 @@ class Scratch:
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def write_bucketed(self, df: DataFrame, name: str, buckets: int, key: str, partition_by: str) -> DataFrame:
+        """A table whose rows of one key lie in one bucket: work by that key needs no shuffle of them."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        (
+            df.write.partitionBy(partition_by).bucketBy(buckets, key)
+            .option("path", f"{self.path}/{table}").option("compression", "zstd").saveAsTable(table)
+        )
+        return self.spark.table(table)
+
     def remove(self, name: str = "") -> None:
+        while self.tables and not name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
