@@ -171,8 +171,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark, "byte-bpe") as scratch:
-        encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, scratch)
-        decoded = byte_bpe.decode_documents(encoded, BYTE_RANKS)
+        decoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, scratch, decoded=True)
         decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
         return settled(decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 

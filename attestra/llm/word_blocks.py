@@ -9,7 +9,6 @@ are numbered by task and written before anything reads them, so that a task that
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 
@@ -29,12 +28,13 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def packed(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype("<i4").tobytes(), 3)
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit integers, compressed byte by byte of equal weight."""
+    return zstandard.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def unpacked(codes: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(codes), "<i4")
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def block_numbers():
@@ -52,20 +52,8 @@ def word_rows(words: list[bytes]):
         yield at, words[at : at + ROW_WORDS]
 
 
-def by_code(codes: pa.ChunkedArray, values: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, all) of binary values of fixed-width items: those of code c are all[start[c] : start[c] + length[c]]."""
-    data = pa.concat_arrays([pa.array([], pa.binary()), *values.chunks])
-    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
-    width = np.dtype(dtype).itemsize
-    flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype) if len(data) else np.zeros(0, dtype)
-    places = codes.to_numpy()
-    start, length = np.zeros(places.max() + 1 if len(places) else 0, np.int64), np.zeros(places.max() + 1 if len(places) else 0, np.int64)
-    start[places], length[places] = (offsets[:-1] - offsets[0]) // width, np.diff(offsets) // width
-    return start, length, flat
-
-
 def spread(start: np.ndarray, length: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the values of all codes one after another, the end of each)."""
+    """(the values of all codes one after another, the end of each); those of c are flat[start[c] : start[c] + length[c]]."""
     n = length[codes]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
