@@ -93,7 +93,7 @@ def _read_blocks(least: int, bits: int):
         seq, words = np.concatenate(parts), list(codes)
         counts = np.bincount(seq, minlength=len(words))
         counts[BREAK] = 0
-        yield _row(block=block, lang=lang, seq=packed(seq), proposed=packed(seq), words=[], kind=BLOCK_ROW)
+        yield _row(block=block, lang=lang, seq=packed(seq), words=[], kind=BLOCK_ROW)  # every word is proposed
         yield from _phrase_rows(block, lang, words, counts)
         at = np.flatnonzero((seq[:-1] > BREAK) & (seq[1:] > BREAK))
         yield from _bucket_rows(buckets_at(word_hashes(words, lang), seq, at, 2, bits), least)
@@ -133,7 +133,8 @@ def _next_pass(k: int, longest: int, least: int, bits: int, bitmap: bytes):
         return pa.Table.from_batches(rows)
 
     def _passed(row: dict, kept: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, lang, seq, proposed, words = row["block"], row["lang"], unpacked(row["seq"]), unpacked(row["proposed"]), row["words"]
+        block, lang, seq, words = row["block"], row["lang"], unpacked(row["seq"]), row["words"]
+        proposed = seq if k == 1 else unpacked(row["proposed"])
         if not kept.num_rows:
             return
         codes = kept["code"].to_numpy()
