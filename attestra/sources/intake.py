@@ -30,9 +30,9 @@ def upload_problem(content: Column, media_type: Column) -> Column:
     for kind, magic in MAGIC.items():
         starts = starts | ((media_type == kind) & F.startswith(F.hex(F.substring(raw, 1, 8)), F.lit(magic)))
     return (
-        F.when(~strict_base64(content) | raw.isNull(), "content is not valid base64")
-        .when(F.octet_length(raw) > MOST_BYTES, "the document is larger than 10 MiB")
-        .when(~starts, F.concat(F.lit("the content is not "), media_type))
+        F.when(~strict_base64(content) | raw.isNull(), "no strict base64")
+        .when(F.octet_length(raw) > MOST_BYTES, "over 10 MiB")
+        .when(~starts, F.concat(F.lit("does not begin like "), media_type))
     )
 
 
@@ -52,21 +52,21 @@ def application_errors(a: Column) -> Column:
         for part in field.split("."):
             value = value[part]
         bad = ~F.char_length(value).between(least, most)
-        return F.when((value.isNull() if needed else F.lit(False)) | bad, f"{field}: must have {least} to {most} characters")
+        return F.when((value.isNull() if needed else F.lit(False)) | bad, f"{field}: {least} to {most} characters are needed")
 
     company = a["company"].isNotNull()
     checks = [
         sized("full_name", 200),
-        F.when(a["date_of_birth"].isNull(), "date_of_birth: must be a date"),
-        F.when(~F.coalesce(is_alpha3(a["nationality"]), F.lit(False)), "nationality: not an ISO 3166-1 alpha-3 country code"),
+        F.when(a["date_of_birth"].isNull(), "date_of_birth: needs a day that exists"),
+        F.when(~F.coalesce(is_alpha3(a["nationality"]), F.lit(False)), "nationality: no country code of three letters"),
         sized("address.line", 200),
         sized("address.postcode", 20),
         sized("address.city", 100),
-        F.when(~F.coalesce(is_alpha2(a["address"]["country"]), F.lit(False)), "address.country: not an ISO 3166-1 alpha-2 country code"),
+        F.when(~F.coalesce(is_alpha2(a["address"]["country"]), F.lit(False)), "address.country: no country code of two letters"),
         sized("iban", 42, 0, needed=False),
         F.when(company, sized("company.name", 200)),
         F.when(company, sized("company.registration_number", 50)),
-        F.when(company & ~F.coalesce(is_alpha2(a["company"]["country"]), F.lit(False)), "company.country: not an ISO 3166-1 alpha-2 country code"),
+        F.when(company & ~F.coalesce(is_alpha2(a["company"]["country"]), F.lit(False)), "company.country: no country code of two letters"),
     ]
     return F.array_compact(F.array(*checks))
 
@@ -74,6 +74,6 @@ def application_errors(a: Column) -> Column:
 def accept(submissions: DataFrame) -> DataFrame:
     """submissions with errors: form errors, document counts and kinds. Rows without errors are accepted."""
     kinds = F.transform("documents", lambda d: d["kind"])
-    count = F.when(~F.coalesce(F.size("documents").between(1, MOST_DOCUMENTS), F.lit(False)), f"documents: must be 1 to {MOST_DOCUMENTS}")
+    count = F.when(~F.coalesce(F.size("documents").between(1, MOST_DOCUMENTS), F.lit(False)), f"documents: 1 to {MOST_DOCUMENTS} are needed")
     kind = F.when(F.size(F.array_except(kinds, F.array(*[F.lit(k) for k in schemas.KINDS]))) > 0, "documents: unknown kind")
     return submissions.withColumn("errors", F.concat(application_errors(F.col("application")), F.array_compact(F.array(count, kind))))

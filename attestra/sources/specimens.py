@@ -59,11 +59,21 @@ def _draw(salt: str, n: int) -> Column:
 
 def specimen_cases(spark: SparkSession, copies: int = 1) -> DataFrame:
     """One row per case with everything its documents are made of."""
-    names = ["given", "surname", "given_mrz", "surname_mrz", "sex", "nationality", "country", "line", "postcode", "city", "basic"]
-    people = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, p)]) for p in PEOPLE])
     rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SCENARIOS)], "place int, scenario string, cases int, expected string, expected_live string, hard boolean")
     c = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("cases") * copies)))
-    c = c.withColumn("case_id", F.concat("scenario", F.lit("-"), F.lpad(F.col("i").cast("string"), 6, "0")))
+    return _drawn(c.withColumn("case_id", F.concat("scenario", F.lit("-"), F.lpad(F.col("i").cast("string"), 6, "0"))))
+
+
+def specimens_of(keys: DataFrame) -> DataFrame:
+    """The same for a table of keys (key): a case for each, its scenario by the key, each as often as among the labelled cases."""
+    each = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("scenario"), F.lit(e).alias("expected"), F.lit(live).cast("string").alias("expected_live"), F.lit(h).alias("hard")) for i, (s, n, e, live, h) in enumerate(SCENARIOS) for _ in range(n)])
+    turn = F.pmod("key", F.lit(sum(s[1] for s in SCENARIOS))).cast("int")
+    return _drawn(keys.select(F.col("key").cast("string").alias("case_id"), F.pmod("key", F.lit(1 << 30)).cast("int").alias("i"), F.get(each, turn).alias("s")).select("case_id", "i", "s.*"))
+
+
+def _drawn(c: DataFrame) -> DataFrame:
+    names = ["given", "surname", "given_mrz", "surname_mrz", "sex", "nationality", "country", "line", "postcode", "city", "basic"]
+    people = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, p)]) for p in PEOPLE])
     who = F.pmod(F.col("place") * 3 + F.col("i"), F.lit(len(PEOPLE)))
     c = c.withColumn("p", F.get(people, who)).withColumn("q", F.get(people, F.pmod(who + 5, F.lit(len(PEOPLE)))))
     today = F.lit(REFERENCE_DATE).cast("date")

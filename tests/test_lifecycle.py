@@ -42,26 +42,6 @@ def test_fold_as_a_stream(spark, tmp_path):
     check(spark.read.parquet(str(tmp_path / "out")).collect())
 
 
-def test_the_log_only_grows(spark, tmp_path):
-    path = str(tmp_path / "log")
-    lifecycle.append_events(commands(spark), path)
-    with pytest.raises(ValueError):
-        lifecycle.append_events(commands(spark).limit(1), path)
-    lifecycle.append_events(spark.createDataFrame([(99, "z", "case_submitted", None, None)], lifecycle.COMMANDS), path)
-    assert spark.read.parquet(path).count() == len(ROWS) + 1
-
-
-def test_of_two_writers_the_first_batch_counts(spark, tmp_path):
-    path = str(tmp_path / "log")
-    lifecycle.append_events(commands(spark), path)
-    late = spark.createDataFrame([(1, "late", "case_submitted", None, None), (100, "n", "case_submitted", None, None)], lifecycle.COMMANDS)
-    late.write.parquet(f"{path}/batch=99999999999999999999-late")  # passed its check before the other was in place
-    got = {r.seq: r.case_id for r in lifecycle.read_events(spark, path).collect()}
-    assert got == {r[0]: r[1] for r in ROWS} | {100: "n"}
-    with pytest.raises(ValueError):
-        lifecycle.append_events(late.unionByName(late), str(tmp_path / "other"))
-
-
 def test_latest_orphans_interrupted(spark):
     last = {r.case_id: r.seq for r in lifecycle.latest(commands(spark)).collect()}
     assert last == {"a": 17, "b": 6, "c": 5}
