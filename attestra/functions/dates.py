@@ -28,18 +28,13 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def date_in(value: Column, words: Column) -> Column:
-    """Do three neighbouring words (of those that are numbers or months) read as the date: day, month, year or year,
-    month, day? Two-digit years and months by name count in either order but a name only after the day."""
-    kept = F.filter(words, lambda w: w.rlike(r"^\d+$") | F.substring(w, 1, 3).isin(*MONTHS))
-    is_number = lambda w, n: w.rlike(r"^\d+$") & (F.ltrim(w, F.lit("0")) == n.cast("string"))
+    """Do three neighbouring words (of those that are numbers or months) say the date? The date gives a pattern of all its
+    spellings, day first or year first, with short years, leading zeros, and after the day a month by name."""
+    kept = F.array_join(F.filter(words, lambda w: w.rlike(r"^\d+$") | F.substring(w, 1, 3).isin(*MONTHS)), " ")
+    number = lambda n: F.concat(F.lit("0*"), n.cast("string"))
+    day, month = number(F.dayofmonth(value)), number(F.month(value))
+    year = F.concat(F.lit("("), number(F.year(value)), F.lit("|"), F.lpad((F.year(value) % 100).cast("string"), 2, "0"), F.lit(")"))
     name = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(value))
-    is_year = lambda w: is_number(w, F.year(value)) | ((F.char_length(w) == 2) & w.rlike(r"^\d+$") & (w == F.lpad((F.year(value) % 100).cast("string"), 2, "0")))
-
-    def at(i):
-        a, b, c = (F.get(kept, i + k) for k in range(3))
-        month = is_number(b, F.month(value))
-        by_day = is_number(a, F.dayofmonth(value)) & (month | (F.substring(b, 1, 3) == name)) & is_year(c)
-        return by_day | (is_year(a) & month & is_number(c, F.dayofmonth(value)))
-
-    spots = F.when(F.size(kept) >= 3, F.sequence(F.lit(0), F.size(kept) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.exists(spots, at)
+    day_first = F.concat(day, F.lit(" ("), month, F.lit("|"), name, F.lit("[^ ]*) "), year)
+    year_first = F.concat_ws(" ", year, month, day)
+    return F.rlike(kept, F.concat(F.lit("(^| )("), day_first, F.lit("|"), year_first, F.lit(")( |$)")))

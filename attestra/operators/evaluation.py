@@ -73,10 +73,14 @@ def reading_fields(documents: DataFrame) -> DataFrame:
 
 def field_scores(documents: DataFrame, truth: DataFrame) -> DataFrame:
     """(field, total, exact, normalised, exact_rate, normalised_rate) per group.field, over the truth's fields. A list that
-    holds a null is compared like any other."""
+    holds a null is compared like any other. A document without a truth and a truth without its document are errors, found
+    by the same join."""
     got = reading_fields(documents).select("case_id", "doc_index", "group", "field", F.col("value").alias("got"), F.col("values").alias("got_list"))
     group = documents.select("case_id", "doc_index", F.when(F.col("kind").isin("identity_card", "passport"), "identity").otherwise(F.col("kind")).alias("of"))
-    joined = truth.join(group, ["case_id", "doc_index"]).join(got, ["case_id", "doc_index", "field"], "left")
+    named = lambda what: F.raise_error(F.concat(F.lit(what), F.coalesce("case_id", F.lit("null")), F.lit(", "), F.coalesce(F.col("doc_index").cast("string"), F.lit("null"))))
+    paired = truth.withColumn("known", F.lit(True)).join(group, ["case_id", "doc_index"], "full_outer")
+    of = F.when(F.col("known").isNull(), named("a document without a truth: ")).when(F.col("of").isNull(), named("a truth without a document: ")).otherwise(F.col("of"))
+    joined = paired.withColumn("of", of).drop("known").join(got, ["case_id", "doc_index", "field"], "left")
     listed = F.col("values").isNotNull()
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     exact = F.when(listed, F.array_sort(empty(F.col("values"))) == F.array_sort(empty(F.col("got_list")))).otherwise(F.col("value").eqNullSafe(F.col("got")))

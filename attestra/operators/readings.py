@@ -12,11 +12,25 @@ from attestra.functions.codes import is_alpha2, is_alpha3
 from attestra.functions.dates import iso_date
 
 MOST_ATTEMPTS = 3
+#: What a replay and those who read its outcome expect word for word.
 NOT_JSON = "The reply was not valid JSON for the schema."
 REFUSAL = "__refusal__"
 NO_ANSWER = "no recorded answer for this document"
 #: What a field may look like: value and quote, each text or null.
 _SHAPES = [f"OBJECT<quote: {q}, value: {v}>" for q in ("STRING", "VOID") for v in ("STRING", "VOID")]
+DIRECTORS = "directors"
+
+
+def _form(group: str, field: str) -> str:
+    if field in schemas.DATE_FIELDS:
+        return "date"
+    if group == "identity" and field in schemas.ALPHA3_FIELDS:
+        return "alpha3"
+    return "alpha2" if group != "identity" and field == "country" else "text"
+
+
+#: The rules of replies: (family, place in it, field, form of its value). Directors are texts of a list of any length.
+RULES = [(group, i, field, _form(group, field)) for group, names in schemas.FIELDS.items() for i, field in enumerate(names)]
 
 
 class Reader(Protocol):
@@ -41,81 +55,83 @@ def family(kind: Column) -> Column:
     return F.when(kind.isin(*schemas.IDENTITY_KINDS), "identity").otherwise(kind)
 
 
-def _part(reply: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(reply, path, kind)
+def _rules(fam: Column) -> Column:
+    """The rules of a family, in order, as an array."""
+    every = F.array(*[F.struct(F.lit(g).alias("family"), F.lit(f).alias("field"), F.lit(form).alias("form")) for g, _, f, form in RULES])
+    return F.filter(every, lambda r: r["family"] == fam)
 
 
-def _shape_error(name: Column, shape: Column) -> Column:
-    """Errors of one field's shape: missing, not an object, unknown or mistyped members."""
-    return F.when(shape.isNull(), F.concat(name, F.lit(": Field required"))).when(
-        ~shape.isin(*_SHAPES), F.concat(name, F.lit(": Input should be a value and a quote, each a string or null"))
+def _value_error(name: Column, value: Column, quote: Column, form: Column) -> Column:
+    """What is wrong with a value, if its shape is right."""
+    about = lambda *text: F.concat(name, F.lit(": "), *[t if isinstance(t, Column) else F.lit(t) for t in text])
+    blank = F.coalesce(F.regexp_replace(quote, r"(?U)\s+", ""), F.lit("")) == ""
+    return (
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(blank, about("value without a quote"))
+        .when((form == "date") & ~value.rlike(r"^\d{4}-\d{2}-\d{2}$"), about("date '", value, "' is not in the form YYYY-MM-DD"))
+        .when((form == "date") & iso_date(value).isNull(), about("no such day as '", value, "'"))
+        .when((form == "alpha3") & ~is_alpha3(value), about("'", value, "' is no country code of three letters"))
+        .when((form == "alpha2") & ~is_alpha2(value), about("'", value, "' is no country code of two letters"))
     )
 
 
-def _value_error(field: str, name: Column, value: Column, quote: Column, shape: str) -> Column:
-    unquoted = F.when(value.isNotNull() & (F.coalesce(F.regexp_replace(quote, r"(?U)\s+", ""), F.lit("")) == ""), F.concat(name, F.lit(": Value error, a value needs the quote it was read from")))
-    fits: Column | None = None
-    if field in schemas.DATE_FIELDS:
-        fits = F.when(~value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(name, F.lit(": Value error, date '"), value, F.lit("' must be written as YYYY-MM-DD"))).when(
-            iso_date(value).isNull() & value.isNotNull(), F.concat(name, F.lit(": Value error, date '"), value, F.lit("' does not exist"))
-        )
-    elif shape == "alpha3":
-        fits = F.when(~is_alpha3(value), F.concat(name, F.lit(": Value error, '"), value, F.lit("' is not an ISO 3166-1 alpha-3 country code")))
-    elif shape == "alpha2":
-        fits = F.when(~is_alpha2(value), F.concat(name, F.lit(": Value error, '"), value, F.lit("' is not an ISO 3166-1 alpha-2 country code")))
-    return unquoted if fits is None else F.coalesce(unquoted, fits)
-
-
-def _shape_of(group: str, field: str) -> str:
-    if group == "identity" and field in schemas.ALPHA3_FIELDS:
-        return "alpha3"
-    return "alpha2" if group != "identity" and field == "country" else ""
-
-
-def _read(reply: Column, group: str) -> tuple[Column, Column]:
-    """(errors, value) of a parsed reply read as a group's fields."""
-    errors, members = [], []
-    for field in schemas.FIELDS[group]:
-        shape = F.schema_of_variant(_part(reply, f"$.{field}", "variant"))
-        value, quote = _part(reply, f"$.{field}.value", "string"), _part(reply, f"$.{field}.quote", "string")
-        name = F.lit(field)
-        errors.append(F.coalesce(_shape_error(name, shape), _value_error(field, name, value, quote, _shape_of(group, field))))
-        members.append(F.struct(value.alias("value"), quote.alias("quote")).alias(field))
-    all_errors = F.array_compact(F.array(*errors))
-    if group == "company_extract":
-        people = _part(reply, "$.directors", "array<variant>")
-        missing = F.when(people.isNull(), F.array(F.lit("directors: Input should be a list"))).otherwise(F.array().cast("array<string>"))
-        each = F.transform(
-            people,
-            lambda p, i: F.coalesce(
-                _shape_error(F.concat(F.lit("directors."), i.cast("string")), F.schema_of_variant(p)),
-                _value_error("director", F.concat(F.lit("directors."), i.cast("string")), F.try_variant_get(p, "$.value", "string"), F.try_variant_get(p, "$.quote", "string"), ""),
-            ),
-        )
-        all_errors = F.concat(all_errors, missing, F.coalesce(F.array_compact(each), F.array().cast("array<string>")))
-        members.append(F.transform(people, lambda p: F.struct(F.try_variant_get(p, "$.value", "string").alias("value"), F.try_variant_get(p, "$.quote", "string").alias("quote"))).alias("directors"))
-    return all_errors, F.struct(*members)
+def _judged(name: Column, member: Column, form: Column) -> Column:
+    """struct(value, quote, error) of one member of a reply."""
+    shape, value, quote = F.schema_of_variant(member), F.try_variant_get(member, "$.value", "string"), F.try_variant_get(member, "$.quote", "string")
+    error = (
+        F.when(shape.isNull(), F.concat(name, F.lit(": missing")))
+        .when(~shape.isin(*_SHAPES), F.concat(name, F.lit(": needs a value and a quote, each text or null")))
+        .otherwise(_value_error(name, value, quote, form))
+    )
+    return F.struct(value.alias("value"), quote.alias("quote"), error.alias("error"))
 
 
-def _known(group: str) -> Column:
-    names = [*schemas.FIELDS[group], *(["directors"] if group == "company_extract" else [])]
-    return F.array(*[F.lit(n) for n in names])
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def validate_reply(text: Column, kind: Column) -> Column:
-    """struct(errors, identity, proof_of_address, company_extract): one of the values if there are no errors."""
-    reply = F.try_parse_json(text)
-    keys = F.json_object_keys(text)
-    fam = family(kind)
-    errors = F.array(F.lit(NOT_JSON))
-    values = []
-    for group in schemas.FIELDS:
-        own, value = _read(reply, group)
-        extra = F.transform(F.array_except(keys, _known(group)), lambda k: F.concat(k, F.lit(": Extra inputs are not permitted")))
-        found = F.when(reply.isNull(), F.array(F.lit(NOT_JSON))).when(keys.isNull(), F.array(F.lit("document: Input should be an object"))).otherwise(F.concat(own, extra))
-        errors = F.when(fam == group, found).otherwise(errors)
-        values.append(F.when((fam == group) & (F.size(found) == 0), value).alias(group))
-    return F.struct(errors.alias("errors"), *values)
+    """struct(errors, identity, proof_of_address, company_extract): one of the values if there are no errors.
+
+    The reply is parsed once, to its members; the rules of the document's family are joined to them as rows of an array,
+    and one expression judges each member by its rule."""
+    fam, none = family(kind), F.array().cast("array<string>")
+
+    def judged(members: Column) -> Column:
+        fields = F.transform(_rules(fam), lambda r: _judged(r["field"], F.try_element_at(members, r["field"]), r["form"]))
+        people = F.when(fam == "company_extract", F.try_variant_get(F.try_element_at(members, F.lit(DIRECTORS)), "$", "array<variant>"))
+        directors = F.transform(people, lambda p, i: _judged(F.concat(F.lit(f"{DIRECTORS}."), i.cast("string")), p, F.lit("text")))
+        return F.struct(members.alias("members"), fields.alias("fields"), directors.alias("directors"))
+
+    def done(x: Column) -> Column:
+        errors_of = lambda judgements: F.coalesce(F.array_compact(F.transform(judgements, lambda j: j["error"])), none)
+        company = fam == "company_extract"
+        unlisted = F.when(company & x["directors"].isNull(), F.array(F.lit(f"{DIRECTORS}: needs a list"))).otherwise(none)
+        known = F.concat(F.transform(_rules(fam), lambda r: r["field"]), F.when(company, F.array(F.lit(DIRECTORS))).otherwise(none))
+        extra = F.transform(F.array_except(F.json_object_keys(text), known), lambda k: F.concat(k, F.lit(": no such member")))
+        errors = F.when(x["members"].isNull(), F.array(F.lit("document: needs an object"))).otherwise(
+            F.concat(errors_of(x["fields"]), unlisted, errors_of(x["directors"]), extra)
+        )
+        said = lambda j: F.struct(j["value"].alias("value"), j["quote"].alias("quote"))
+        values = []
+        for group, names in schemas.FIELDS.items():
+            parts = [said(F.get(x["fields"], F.lit(i))).alias(n) for i, n in enumerate(names)]
+            if group == "company_extract":
+                parts.append(F.transform(x["directors"], said).alias(DIRECTORS))
+            values.append((group, F.struct(*parts)))
+        return _let(errors, lambda e: F.struct(e.alias("errors"), *[F.when((fam == g) & (F.size(e) == 0), v).alias(g) for g, v in values]))
+
+    parsed = F.try_parse_json(text)
+    found = _let(judged(F.try_variant_get(parsed, "$", "map<string,variant>")), done)
+    typed = F.struct(F.array(F.lit(NOT_JSON)).alias("errors"), *[F.lit(None).cast(_type_of(g)).alias(g) for g in schemas.FIELDS])
+    return F.when(parsed.isNull() | ~fam.isin(*schemas.FIELDS), typed).otherwise(found)
+
+
+def _type_of(group: str) -> str:
+    field = "struct<value:string,quote:string>"
+    members = [f"{n}:{field}" for n in schemas.FIELDS[group]] + ([f"{DIRECTORS}:array<{field}>"] if group == "company_extract" else [])
+    return f"struct<{','.join(members)}>"
 
 
 def read_documents(documents: DataFrame, reader: Reader) -> DataFrame:

@@ -24,7 +24,7 @@ def route(cases: DataFrame, checks: DataFrame) -> DataFrame:
     return joined.select(
         "case_id",
         F.when(F.col("rejected"), "rejected").when(F.col("passed"), "approved").otherwise("in_review").alias("outcome"),
-        F.when(F.col("passed").isNull(), F.array(F.lit("no checks ran"))).when(F.col("rejected"), lines("why_rejected")).otherwise(lines("why_open")).alias("reasons"),
+        F.when(F.col("passed").isNull(), F.array(F.lit("nothing was checked"))).when(F.col("rejected"), lines("why_rejected")).otherwise(lines("why_open")).alias("reasons"),
     )
 
 

@@ -16,10 +16,11 @@ from attestra.functions.mrz import compose_zone, parse_zone, wrong_digits
 from attestra.functions.text import INSTRUCTIONS, alnum, instruction_hits, name_outcomes, plain_words
 from attestra.operators import evaluation, queue, readings, routing
 from attestra.operators.checks import document_checks
-from attestra.plans import evidence
+from attestra.plans import case_flow, evidence
 from attestra.plans.verification import verify
 from attestra.sources import specimens
 from attestra.sources.intake import strict_base64
+from attestra.sources.text_layer import PDF, pdf_of, with_text_layer
 from attestra.streaming import lifecycle
 
 TODAY = "2001-08-01"
@@ -343,6 +344,23 @@ def address_checks(spark, sf_dir):
     return _statuses(evidence.address_evidence(table(spark, sf_dir, "customer"), _today()))
 
 
+@query(evidence.ADDRESS_REASONS_SQL.replace("{today}", TODAY))
+def address_reasons(spark, sf_dir):
+    """What the checks of a proof of address say and quote."""
+    rows = document_checks(evidence.address_evidence(table(spark, sf_dir, "customer"), _today()), _today()).where("name like 'address%' or name = 'iban_valid'")
+    return rows.select("case_id", "name", "reason", F.array_join("quotes", " | ").alias("quotes"))
+
+
+@query(
+    """SELECT c_custkey AS case_id, ['', 'issue_date: no such day as ''2023-02-29''', 'issue_date: date ''29.02.2024'' is not in the form YYYY-MM-DD',
+    'issue_date: date '''' is not in the form YYYY-MM-DD', '', 'issue_date: value without a quote'][CAST(c_custkey % 6 AS INTEGER) + 1] AS errors FROM customer"""
+)
+def dated_replies(spark, sf_dir):
+    """Replies whose date is wrong in several ways."""
+    replies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), evidence.statement_reply(F.col("c_custkey")).alias("reply"))
+    return replies.select("case_id", F.array_join(readings.validate_reply(F.col("reply"), F.lit("proof_of_address"))["errors"], "; ").alias("errors"))
+
+
 @query(evidence.COMPANY_SQL)
 def company_checks(spark, sf_dir):
     return _statuses(evidence.company_evidence(table(spark, sf_dir, "customer")))
@@ -459,6 +477,34 @@ def specimen_report(spark, sf_dir):
     return evaluation.judged_cases(got.decisions, specimens.labels(cases))
 
 
+_TURNS = [row for row in specimens.SCENARIOS for _ in range(row[1])]
+
+
+@query(
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS case_id, {[s for s, *_ in _TURNS]}[CAST(c_custkey % {len(_TURNS)} AS INTEGER) + 1] AS scenario,
+    {[e for _, _, e, _, _ in _TURNS]}[CAST(c_custkey % {len(_TURNS)} AS INTEGER) + 1] AS want, {[e for _, _, e, _, _ in _TURNS]}[CAST(c_custkey % {len(_TURNS)} AS INTEGER) + 1] AS got FROM customer"""
+)
+def customer_specimens(spark, sf_dir):
+    """Every customer as a specimen case, by turns of all scenarios, through the whole engine: wanted and actual outcome."""
+    cases = specimens.specimens_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
+    docs = specimens.documents(cases)
+    got = verify(specimens.applications(cases), docs, readings.ReplayReader(specimens.scripts(docs)), F.lit(specimens.REFERENCE_DATE).cast("date"))
+    return evaluation.judged_cases(got.decisions, specimens.labels(cases)).select("case_id", "scenario", "want", "got")
+
+
+@query(f"WITH {_JUDGED_CTE} SELECT case_id, want, got FROM judged WHERE want <> got")
+def wrongly_decided(spark, sf_dir):
+    """The labelled cases whose outcome isn't the wanted one."""
+    return evaluation.differing(_judged(spark, sf_dir)).select("case_id", "want", "got")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN sha256(text) ELSE '' END AS sha256 FROM documents")
+def pdf_text_layers(spark, sf_dir):
+    """Every document as a PDF, and the fingerprint of the text that is read back from it."""
+    made = table(spark, sf_dir, "documents").select("doc_id", pdf_of(F.col("text")).alias("content"), F.lit(PDF).alias("media_type"))
+    return with_text_layer(made).select("doc_id", F.coalesce(F.sha2("text_layer", 256), F.lit("")).alias("sha256"))
+
+
 @query()
 def name_compare(spark, sf_dir):
     """Customers' names against altered ones: outcome and similarity."""
@@ -544,8 +590,9 @@ def optimistic_decide(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    return {name: f for name, (f, _) in _REGISTRY.items()} | case_flow.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql is not None}
+    own = {name: sql for name, (_, sql) in _REGISTRY.items() if sql is not None}
+    return own | case_flow.SQL | {name: own[other] for name, other in case_flow.SAME_AS.items()}

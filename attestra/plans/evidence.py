@@ -153,6 +153,33 @@ ADDRESS_SQL = "WITH k AS (SELECT c_custkey AS case_id, c_custkey % 9 AS f, c_cus
 )
 
 
+#: What address_evidence must give as reasons and quotes, the quotes joined by bars. Half of the account numbers differ by key.
+ADDRESS_REASONS_SQL = """WITH k AS (SELECT c_custkey AS case_id, c_custkey % 9 AS f, c_custkey % 7 AS i, c_custkey % 11 AS undated, c_custkey * 31 % 200 - 5 AS days FROM customer),
+  a AS (SELECT *, CASE f WHEN 0 THEN 'Örnek Sok. No: 22' WHEN 2 THEN 'Lange Kerkhof 22' WHEN 3 THEN 'Havnevej 31' ELSE 'Lange Kerkweg 22' END AS street,
+    CASE f WHEN 1 THEN '9999 ZZ' WHEN 5 THEN NULL ELSE '3511ab' END AS code, CASE f WHEN 4 THEN 'Amersfoort' ELSE 'UTRECHT' END AS city,
+    CASE f WHEN 0 THEN 'ornek sokak no 22' ELSE 'Lange Kerkweg 22' END || ', 3511 AB Utrecht, NL' AS applied FROM k),
+  b AS (SELECT *, street || ', ' || code || ' ' || city || ', NL' AS found FROM a)
+  SELECT case_id, 'address_matches_application' AS name, CASE WHEN f = 5 THEN 'address incomplete' WHEN f IN (1, 3) THEN 'read ' || found || ', applied with ' || applied
+    WHEN f IN (2, 4) THEN 'nearly: read ' || found || ', applied with ' || applied || ', streets alike by ' || CASE f WHEN 2 THEN '0.81' ELSE '1.00' END ELSE 'both give ' || found END AS reason,
+    CASE WHEN f BETWEEN 1 AND 5 THEN concat_ws(' | ', street, code, city) ELSE '' END AS quotes FROM b
+  UNION ALL SELECT case_id, 'address_document_recent', CASE WHEN undated = 0 THEN 'no usable issue date' ELSE
+    CASE WHEN days >= 0 THEN 'age in days: ' || days ELSE 'days ahead of today: ' || -days END || CASE WHEN days BETWEEN 0 AND 90 THEN '' ELSE '; at most 90 are taken' END END,
+    CASE WHEN undated = 0 OR days BETWEEN 0 AND 90 THEN '' ELSE strftime(DATE '{today}' - CAST(days AS INTEGER), '%d %m %Y') END FROM b
+  UNION ALL SELECT case_id, 'address_holder_matches_application', CASE f WHEN 6 THEN '''Jen Smit'' ~ ''Jan Smit'' [0.875]' WHEN 7 THEN 'no usable name' ELSE '''Smit Jan'' = ''Jan Smit''' END,
+    CASE f WHEN 6 THEN 'Jen Smit' ELSE '' END FROM b
+  UNION ALL SELECT case_id, 'iban_valid', CASE WHEN i = 5 THEN 'account number applied with: mod-97 remainder is not 1' WHEN f = 8 THEN 'statement shows another account' ELSE 'account number sound and on the statement' END,
+    CASE WHEN i <> 5 AND f = 8 THEN 'NL39RABO0300065264' ELSE '' END FROM b WHERE i <> 3"""
+
+
+def statement_reply(key: Column) -> Column:
+    """A reader's reply on a bank statement, as JSON; its date by key % 6: fine, no such day, not in form, empty, null, without a quote."""
+    field = lambda v, q=None: F.struct(v.cast("string").alias("value"), (v if q is None else q).cast("string").alias("quote"))
+    dates = F.get(F.array(*[F.lit(d) for d in ("2024-02-29", "2023-02-29", "29.02.2024", "", None, "2024-02-29")]), (key % 6).cast("int"))
+    fields = {"issuer": F.lit("Bank"), "holder_name": F.lit("Jan Smit"), "address_line": F.lit("Kerkweg 1"), "postcode": F.lit("1011"), "city": F.lit("X"), "country": F.lit("NL")}
+    dated = field(dates, F.when(key % 6 != 5, "on that day"))
+    return F.to_json(F.struct(*[field(v).alias(n) for n, v in fields.items()], dated.alias("issue_date"), field(F.lit(None)).alias("iban")), {"ignoreNullFields": "false"})
+
+
 def company_evidence(customers: DataFrame) -> DataFrame:
     """Registry extracts. fault = key % 7: 1 another number, 2 dissolved, 3 a director of a similar name, 4 other directors
     only, 5 no name and no status, 6 the same name written otherwise."""

@@ -17,5 +17,5 @@ class Verified(NamedTuple):
 
 def verify(applications: DataFrame, documents: DataFrame, reader: readings.Reader, today: Column) -> Verified:
     read = readings.read_documents(documents.select("case_id", "doc_index", "kind", "media_type", "sha256", "text_layer"), reader)
-    table = checks.all_checks(applications, read, today)
+    table = checks.all_checks(applications, read, today, documents)
     return Verified(read, table, routing.route(applications, table))

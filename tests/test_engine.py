@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from attestra import schemas
 from attestra.operators import evaluation, readings, routing
 from attestra.plans.verification import verify
 from attestra.sources import intake, specimens
@@ -71,6 +72,15 @@ def test_field_scores_and_retries(run):
     assert (calls.documents, calls.retried) == (117, 5)
 
 
+@pytest.mark.parametrize("lost", ["document", "truth"])
+def test_field_scores_need_every_pair(run, lost):
+    documents, truth = run[2], specimens.truth(run[1])
+    one = (F.col("case_id") == "clean_passport_bank-000001") & (F.col("doc_index") == 1)
+    documents, truth = (documents.where(~one), truth) if lost == "document" else (documents, truth.where(~one))
+    with pytest.raises(Exception, match="a truth without a document: clean" if lost == "document" else "a document without a truth: clean"):
+        evaluation.field_scores(documents, truth).collect()
+
+
 def test_specimens_repeat(spark, run):
     again = specimens.documents(specimens.specimen_cases(spark))
     assert sorted(r.sha256 for r in again.select("sha256").collect()) == sorted(r.sha256 for r in run[1].select("sha256").collect())
@@ -87,14 +97,14 @@ COMPANY = {"company_name": field("A"), "registration_number": field("1"), "count
     "change, error",
     [
         ({}, None),
-        ({"extra": 1}, "extra: Extra"),
-        ({"status": field("active", " ")}, "status: Value error, a value needs the quote"),
+        ({"extra": 1}, "extra: no such member"),
+        ({"status": field("active", " ")}, "status: value without a quote"),
         ({"status": field(None, None)}, None),
-        ({"status": field(5)}, "status: Input"),
-        ({"country": field("XX")}, "'XX' is not an ISO 3166-1 alpha-2"),
-        ({"directors": [field("B", None)]}, "directors.0: Value error"),
-        ({"directors": None}, "directors: Input"),
-        ({"status": None}, "status: Input"),
+        ({"status": field(5)}, "status: needs a value"),
+        ({"country": field("XX")}, "country: 'XX' is no country code of two letters"),
+        ({"directors": [field("B", None)]}, "directors.0: value without a quote"),
+        ({"directors": None}, "directors: needs a list"),
+        ({"status": None}, "status: needs a value"),
     ],
 )
 def test_replies_are_validated(spark, change, error):
@@ -106,13 +116,90 @@ def test_replies_are_validated(spark, change, error):
         assert any(error in e for e in got.errors) and got.company_extract is None
 
 
+def brute_errors(text, kind):
+    """What is wrong with a reply, in plain Python."""
+    import datetime as dt
+    import re
+
+    group = "identity" if kind in schemas.IDENTITY_KINDS else kind
+    if group not in schemas.FIELDS:
+        return [readings.NOT_JSON]
+    try:
+        reply = json.loads(text)
+    except ValueError:
+        return [readings.NOT_JSON]
+    if not isinstance(reply, dict):
+        return ["document: needs an object"]
+
+    def judged(name, holder, key, form):
+        if key not in holder:
+            return [f"{name}: missing"]
+        v = holder[key]
+        if not isinstance(v, dict) or set(v) != {"value", "quote"} or not all(x is None or isinstance(x, str) for x in v.values()):
+            return [f"{name}: needs a value and a quote, each text or null"]
+        value, quote = v["value"], v["quote"]
+        if value is None:
+            return []
+        if not (quote or "").strip():
+            return [f"{name}: value without a quote"]
+        if form == "date":
+            if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", value):
+                return [f"{name}: date '{value}' is not in the form YYYY-MM-DD"]
+            try:
+                dt.date.fromisoformat(value)
+            except ValueError:
+                return [f"{name}: no such day as '{value}'"]
+        for form_of, codes, n in (("alpha3", {"NLD", "DEU"}, "three"), ("alpha2", {"NL"}, "two")):
+            if form == form_of and value not in codes:
+                return [f"{name}: '{value}' is no country code of {n} letters"]
+        return []
+
+    errors = [e for g, _, f, form in readings.RULES if g == group for e in judged(f, reply, f, form)]
+    names = [f for g, _, f, _ in readings.RULES if g == group]
+    if group == "company_extract":
+        names.append("directors")
+        people = reply.get("directors")
+        errors += ["directors: needs a list"] if not isinstance(people, list) else [e for i in range(len(people)) for e in judged(f"directors.{i}", dict(enumerate(people)), i, "text")]
+    return errors + [f"{k}: no such member" for k in reply if k not in names]
+
+
+def test_random_replies_have_the_errors_of_plain_python(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    values = [None, "x", "", "NL", "NLD", "XX", "2024-02-29", "2023-02-29", "24-1-1", "2024-02-29 ", 5, True, [], "active", "\u00a0"]
+    one = lambda: rng.choice([field(rng.choice(values), rng.choice(["q", "q", "q", None, " ", "\u2003", 3])), field("x"), field(None, None), None, "text", {"value": "x"}, field("x") | {"more": 1}, [field("x")]])
+    for i in range(600):
+        kind = rng.choice([*schemas.KINDS, "diploma"])
+        group = "identity" if kind in schemas.IDENTITY_KINDS else kind
+        fine = {"country": field("NL"), "nationality": field("NLD"), "issuing_country": field("DEU")} | {d: field("2024-02-29") for d in schemas.DATE_FIELDS}
+        reply = {f: fine.get(f, field("v")) for f in schemas.FIELDS.get(group, ())} | ({"directors": [field("a"), field("b")]} if group == "company_extract" else {})
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            reply[rng.choice([*reply, "zusatz", "a.b", "directors"])] = one()
+        if reply and rng.random() < 0.3:
+            reply.pop(rng.choice(list(reply)))
+        if group == "company_extract" and rng.random() < 0.4:
+            reply["directors"] = rng.choice([[], [one() for _ in range(3)], None, "x", {}])
+        text = json.dumps(reply)
+        rows.append((i, kind, rng.choice([text] * 12 + [text[:-1], "[1]", "null", "sorry", "", '"x"'])))
+    got = spark.createDataFrame(rows, "i int, k string, t string").select("i", readings.validate_reply(F.col("t"), F.col("k")).alias("g")).collect()
+    by = {r.i: r.g for r in got}
+    assert {i: by[i].errors for i, _, _ in rows} == {i: brute_errors(t, k) for i, k, t in rows}
+    fine = [(i, k, t) for i, k, t in rows if not by[i].errors]
+    assert len(fine) > 60
+    for i, k, t in fine:
+        group, reply = "identity" if k in schemas.IDENTITY_KINDS else k, json.loads(t)
+        got_fields = by[i][group].asDict(recursive=True)
+        assert got_fields == {f: reply[f] for f in got_fields} and all(by[i][g] is None for g in schemas.FIELDS if g != group)
+
+
 def test_all_errors_come_at_once_and_text_is_no_json(spark):
     two = json.dumps(COMPANY | {"country": field("XX"), "status": field("a", None)})
     rows = spark.createDataFrame([(two,), ("sorry",), ("[1]",), (None,)], "t string").select(readings.validate_reply(F.col("t"), F.lit("company_extract")).alias("g")).collect()
     assert [len(r.g.errors) for r in rows] == [2, 1, 1, 1] and rows[1].g.errors == [readings.NOT_JSON]
 
 
-@pytest.mark.parametrize("content, media, problem", [("JVBERi0xLjQ=", "application/pdf", None), ("####", "application/pdf", "base64"), ("JVBERi0xLjQ", "application/pdf", "base64"), ("JVBERi0x LjQ=", "application/pdf", "base64"), ("JVBERi0xLjQ=", "image/png", "not image/png")])
+@pytest.mark.parametrize("content, media, problem", [("JVBERi0xLjQ=", "application/pdf", None), ("####", "application/pdf", "base64"), ("JVBERi0xLjQ", "application/pdf", "base64"), ("JVBERi0x LjQ=", "application/pdf", "base64"), ("JVBERi0xLjQ=", "image/png", "like image/png")])
 def test_uploads(spark, content, media, problem):
     got = spark.range(1).select(intake.upload_problem(F.lit(content), F.lit(media)).alias("p")).first().p
     assert got is None if problem is None else problem in got

@@ -112,6 +112,51 @@ def test_similarity_is_rounded_half_to_even(spark, a, b, ratio):
     assert value(spark, text.name_outcomes(F.array(F.lit(a)), F.array(F.lit(b))))[0].similarity == ratio
 
 
+def test_normalisation_is_the_standard_librarys(spark):
+    """Every assigned code point alone, and random strings of letters and marks in any order."""
+    import random
+    import unicodedata
+
+    rng = random.Random(2)
+    known = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    marks, jamo = [c for c in known if unicodedata.combining(c)], [chr(i) for i in range(0x1100, 0x1200)]
+    mixed = ["".join(rng.choice((*rng.choices(known, k=2), *rng.choices(marks, k=3), rng.choice(jamo), "a", "Å")) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in known + mixed], "t string").repartition(4)
+    rows = df.select("t", *(f(F.col("t")).alias(n) for n, f in (("nfc", text.composed), ("nfkd", text.compatible), ("fold", text.case_folded), ("base", text.without_marks)))).collect()
+    for r in rows:
+        kd = unicodedata.normalize("NFKD", r.t)
+        assert (r.nfc, r.nfkd, r.fold, r.base) == (unicodedata.normalize("NFC", r.t), kd, r.t.casefold(), "".join(c for c in kd if not unicodedata.combining(c))), ascii(r.t)
+    assert len(rows) > 280_000
+    assert spark.range(1).select(text.composed(F.lit(None).cast("string")).alias("x"), text.case_folded(F.lit("")).alias("y")).collect() == [(None, "")]
+
+
+def test_folding_needs_no_python(spark):
+    rows = spark.createDataFrame([(["Müller ﬁ", None, "İstanbul Str. 5"],)], "a array<string>")
+    folded = rows.select(text.plain_words(F.col("a")).alias("p"), text.squashed(F.col("a")).alias("s"), text.scored_text(F.col("a")).alias("c"), text.name_letters(F.col("a")).alias("n"))
+    assert not any(x in folded._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow"))
+    r = folded.first()
+    assert r.p == ["muller fi", None, "istanbul strasse 5"] and r.s[0] == "müllerfi" and r.c[0] == "mullerfi" and r.n[0] == ["MULLER FI", "MUELLER FI"]
+
+
+def test_bounds_decide_what_they_say(spark):
+    """The bound is never under the ratio; without `exact` outcomes stay, and only pairs that may be near are compared."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    names = [" ".join("".join(rng.choices("AEINRST", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 3))) for _ in range(400)]
+    pairs = [(a, rng.choice([rng.choice(names), a[:-1], a[1:] + "X"])) for a in names]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    p, q = (text.name_pairs(F.array("a"), F.array("b"), exact) for exact in (True, False))
+    df = df.withColumn("p", p).withColumn("q", q)
+    rows = df.withColumn("x", text.pair_outcomes(F.col("p"))[0]).withColumn("y", text.pair_outcomes(F.col("q"))[0]).select("a", "b", "x", "y", text.most_alike(F.col("a"), F.col("b")).alias("most"), text.similarity(F.col("a"), F.col("b"), 0.7).alias("s")).collect()
+    for r in rows:
+        ratio = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.most >= ratio and r.x.outcome == r.y.outcome and r.y.similarity in (r.x.similarity, None)
+        assert r.s == ratio if r.most >= 0.7 else r.s < 0.7
+    assert 100 < sum(r.y.similarity is None for r in rows) < 300
+
+
 @pytest.mark.parametrize("line, plain", [("Musterstraße 7", "musterstrasse 7"), ("Musterstr. 7", "musterstrasse 7"), ("Örnek Sok. No: 5", "ornek sokak no 5"), ("12 High St", "12 high street")])
 def test_plain_words(spark, line, plain):
     assert value(spark, text.plain_words(F.array(F.lit(line)))) == [plain]
