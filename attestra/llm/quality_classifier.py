@@ -2,30 +2,35 @@
 
 A text's features are indicators of n-grams of one to three words, lower-cased, and of one to three token shapes: case,
 letters, digits and signs in order, whether a token repeats the one before or one shortly before, and whether a line
-repeats. Words and shapes are taken whole, and each n-gram is hashed to one of 2^BITS places. Class log-count ratios are
-counted over every training row in Spark; the indicators are scaled by them and a linear hinge-loss model is fitted by dual
-coordinate descent to a bounded sample of the training rows: `sample_rows` at most, half of them of either class if there
-are as many, the first by a hash of doc_id. A logistic curve on the margin gives the score.
+repeats. Words and shapes are taken whole, and n-grams are told apart exactly: the dictionary holds every n-gram of
+SUPPORT or more texts of a bounded sample of the training rows (`sample_rows` at most, half of them of either class if there are
+as many, the first by a hash of doc_id), and so is bounded by the sample. Class log-count ratios of its n-grams are
+counted over every training row in Spark; the indicators are scaled by them and a linear hinge-loss model is fitted to the
+sample by dual coordinate descent. A logistic curve on the margin gives the score, in one pass over all texts.
 
 Defined cases: a null or empty text has the length feature alone and gets its score; a null doc_id is scored and stays
 null; null labels teach nothing, and a doc_id with several labels is good if one says so; with one class only, the score is
-that class's share, without labels 0.5; texts of any length are read whole; repeated rows are scored each, alike; extra
-columns pass unread; an empty table gives an empty result.
+that class's share, without labels 0.5; texts of any length are read whole; repeated rows are scored each, alike, and
+stand in the sample once; extra columns pass unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import marshal
 import math
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import Scratch, in_slices, settled, texts_of
+from attestra.llm.shared import Scratch, in_slices, sent_if_few, settled, texts_of
 from attestra.llm.toxicity import labels_of
 
-BITS = 18
+#: Texts of the sample that an n-gram must be in.
+SUPPORT = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
@@ -37,24 +42,21 @@ def _shape(word: str) -> str:
     return case + word
 
 
-class Features:
-    """text -> sorted distinct feature places."""
+class Grams:
+    """text -> its n-grams, some more than once: tuples of words as bytes, of shapes as text."""
 
     def __init__(self) -> None:
         self.shapes: dict[str, str] = {}
-        self.places: dict[tuple, int] = {}
 
-    def __call__(self, text: str) -> list[int]:
-        import zlib
-
-        shapes, places = self.shapes, self.places
-        grams = {("n", min(len(text).bit_length(), 16) // 2)}
+    def __call__(self, text: str) -> Iterator[tuple]:
+        shapes = self.shapes
+        grams: list[Iterable[tuple]] = [[("n", min(len(text).bit_length(), 16) // 2)]]
         lines = set()
         for line in text.split("\n"):
             words = _WORD.findall(line)
             if not words:
                 continue
-            grams.add(("line", line in lines))
+            grams.append([("line", line in lines)])
             lines.add(line)
             row = []
             for i, word in enumerate(words):
@@ -68,45 +70,71 @@ class Features:
                     row[-1] = "=" + shape
                 elif len(word) > 7 and word in words[max(0, i - 12) : i - 1]:
                     row[-1] = "~" + shape
-            grams.update(zip(row))
-            grams.update(zip(row, row[1:]))
-            grams.update(zip(row, row[1:], row[2:]))
+            grams += [zip(row), zip(row, row[1:]), zip(row, row[1:], row[2:])]
         words = text.lower().encode("utf-8", "surrogatepass").split()
-        pairs = list(map(b" ".join, zip(words, words[1:])))
-        texts = {*words, *pairs, *map(b" ".join, zip(pairs, words[2:]))}
-        found = {x % (1 << BITS) for x in map(zlib.crc32, texts)}
-        for gram in grams:
-            place = places.get(gram)
-            if place is None:
-                if len(places) > 300_000:
-                    places.clear()
-                place = places[gram] = zlib.crc32(repr(gram).encode("utf-8", "surrogatepass")) % (1 << BITS)
-            found.add(place)
-        return sorted(found)
-
-
-def extract_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): one narrow pass over the texts."""
+        return chain(*grams, zip(words), zip(words, words[1:]), zip(words, words[1:], words[2:]))
+
+
+class Dictionary:
+    """The n-grams that are features, and their places."""
+
+    def __init__(self, grams: list[tuple]) -> None:
+        self.places = {g: i for i, g in enumerate(grams)}
+        self.known = frozenset(grams)
+
+    def __call__(self, grams: Iterable[tuple]) -> list[int]:
+        return sorted(map(self.places.__getitem__, self.known.intersection(grams)))
+
+
+def _key(gram: tuple) -> bytes:
+    return marshal.dumps(gram, 2)  # the version without references: equal n-grams give equal keys
+
+
+def grams_of_sample(sample: DataFrame) -> DataFrame:
+    """(label, grams) of a sample (label, text)."""
 
     def extract(batches):
-        features = Features()
-        for batch in in_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in texts_of(batch.column(1))], pa.list_(pa.int32()))], names=["doc_id", "places"])
+        grams = Grams()
+        for batch in in_slices(batches, 100):
+            found = [list(map(_key, set(grams(t)))) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], names=["label", "grams"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(extract, "doc_id long, places array<int>")
+    return sample.select("label", "text").mapInArrow(extract, "label int, grams array<binary>")
 
 
-def log_count_ratios(rows: DataFrame, smooth: float = 1.0):
-    """Over all rows of (label, places): log of the smoothed shares of texts of either class that hold each place."""
+def dictionary_of(rows: DataFrame, support: int = SUPPORT) -> Dictionary:
+    """The n-grams of `support` rows or more of grams_of_sample. Bounded by the sample."""
+    counts = rows.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= support)
+    return Dictionary([marshal.loads(r["gram"]) for r in counts.orderBy("gram").toLocalIterator()])
+
+
+def places_of(rows: DataFrame, dictionary) -> DataFrame:
+    """(label, places) of grams_of_sample. dictionary: a broadcast Dictionary."""
+
+    def run(batches):
+        for batch in in_slices(batches, 100):
+            found = [dictionary.value(map(marshal.loads, g)) for g in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "places"])
+
+    return rows.select("label", "grams").mapInArrow(run, "label int, places array<int>")
+
+
+def log_count_ratios(rows: DataFrame, dictionary, n_places: int, smooth: float = 1.0):
+    """Over all rows of (label, text): log of the smoothed shares of texts of either class that hold each place. dictionary: a
+    broadcast Dictionary."""
     import numpy as np
 
-    counts = (
-        rows.select("label", F.explode("places").alias("place"))
-        .groupBy("place")
-        .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-        .toPandas()
-    )
-    p, q = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
+    def count(batches):
+        grams, of = Grams(), dictionary.value
+        sums = np.zeros((2, n_places), np.int64)
+        for batch in in_slices(batches, 100):
+            for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                sums[1 - label, of(grams(text))] += 1
+        at = np.flatnonzero(sums.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["place", "p", "q"])
+
+    counts = rows.select("label", "text").mapInArrow(count, "place int, p long, q long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()
+    p, q = np.full(n_places, smooth), np.full(n_places, smooth)
     p[counts["place"].to_numpy("int64")] += counts["p"].to_numpy("float64")
     q[counts["place"].to_numpy("int64")] += counts["q"].to_numpy("float64")
     return np.log(p / p.sum()) - np.log(q / q.sum())
@@ -162,38 +190,42 @@ def curve_of(margins: list[float], labels: list[int]) -> tuple[float, float]:
     return max(float(a), 0.01), float(b)
 
 
-def sample_by_class(rows: DataFrame, good: int, n: int, most: int) -> DataFrame:
-    """At most `most` rows (label, places), the same at each run: half of either class, or more of one if the other has fewer."""
+def sample_of(rows: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+    """(the sample (label, text), the number of rows, that of good ones) of rows (doc_id, label, text): at most `most` rows,
+    the same at each run, half of either class, or more of one if the other has fewer. Only keys are sorted; texts don't move."""
+    keys = rows.select("label", "doc_id", F.xxhash64("text").alias("of"))
+    n, good = keys.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     n_good = min(good, max(most // 2, most - (n - good)))
-    first = lambda label, k: rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(k).select("label", "places")
-    return first(1, n_good).unionByName(first(0, min(n - good, most - n_good)))
+    first = lambda label, k: keys.where(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "of").limit(k)
+    chosen = first(1, n_good).unionByName(first(0, min(n - good, most - n_good))).select("doc_id", "of")
+    sample = rows.withColumn("of", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
+    return sample.select("label", "text"), n, good
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4000) -> DataFrame:
     """(doc_id, score). train: which rows of labels may be learned from."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    known = labels_of(labels, "quality", train)
-    features = scratch.write(extract_features(docs), "features")
-    rows = scratch.write(features.join(known, "doc_id").select("doc_id", "label", "places"), "labelled")
-    n, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    rows = texts.join(sent_if_few(labels_of(labels, "quality", train)), "doc_id")
+    sample, n, good = sample_of(rows, sample_rows)
     if not n or good in (0, n):
-        scored = features.select("doc_id", F.lit(good / n if n else 0.5).alias("score"))
-    else:
-        ratios = log_count_ratios(rows)
-        sample = sample_by_class(rows, good, n, sample_rows).collect()
-        places, marks = [r["places"] for r in sample], [r["label"] for r in sample]
-        weights = dual_coordinate_descent(places, marks, ratios)
-        a, b = curve_of(margins_of(places, ratios, weights), marks)
-        model = spark.sparkContext.broadcast((ratios, weights))
-
-        def score(batches):
-            ratios, weights = model.value
-            for batch in in_slices(batches):
-                got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins_of(batch.column(1).to_pylist(), ratios, weights)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
-
-        scored = features.mapInArrow(score, "doc_id long, score double")
-    out = settled(scored)
-    scratch.remove()
-    return out
+        return settled(texts.select("doc_id", F.lit(good / n if n else 0.5).alias("score")))
+    with Scratch(spark, "quality") as scratch:
+        known = scratch.write(grams_of_sample(sample), "sample")
+        dictionary = dictionary_of(known)
+        held = spark.sparkContext.broadcast(dictionary)
+        marked = sorted((r["label"], r["places"]) for r in places_of(known, held).collect())
+    ratios = log_count_ratios(rows, held, len(dictionary.places))
+    marks, places = [m for m, _ in marked], [p for _, p in marked]
+    weights = dual_coordinate_descent(places, marks, ratios)
+    a, b = curve_of(margins_of(places, ratios, weights), marks)
+    model = spark.sparkContext.broadcast((ratios, weights))
+
+    def score(batches):
+        grams, of, (ratios, weights) = Grams(), held.value, model.value
+        for batch in in_slices(batches):
+            margins = margins_of([of(grams(t)) for t in texts_of(batch.column(1))], ratios, weights)
+            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
+
+    return settled(texts.mapInArrow(score, "doc_id long, score double"))
