@@ -6,7 +6,7 @@ repeats. Words and shapes are taken whole, and n-grams are told apart exactly: t
 SUPPORT or more texts of a bounded sample of the training rows (`sample_rows` at most, half of them of either class if there are
 as many, the first by a hash of doc_id), and so is bounded by the sample. Class log-count ratios of its n-grams are
 counted over every training row in Spark; the indicators are scaled by them and a linear hinge-loss model is fitted to the
-sample by dual coordinate descent. A logistic curve on the margin gives the score, in one pass over all texts.
+sample by dual coordinate descent. A logistic curve on the margin gives the score. Every text but those of the sample is cut into n-grams once.
 
 Defined cases: a null or empty text has the length feature alone and gets its score; a null doc_id is scored and stays
 null; null labels teach nothing, and a doc_id with several labels is good if one says so; with one class only, the score is
@@ -119,21 +119,24 @@ def places_of(rows: DataFrame, dictionary) -> DataFrame:
     return rows.select("label", "grams").mapInArrow(run, "label int, places array<int>")
 
 
-def log_count_ratios(rows: DataFrame, dictionary, n_places: int, smooth: float = 1.0):
-    """Over all rows of (label, text): log of the smoothed shares of texts of either class that hold each place. dictionary: a
-    broadcast Dictionary."""
-    import numpy as np
+def features_of(rows: DataFrame, dictionary) -> DataFrame:
+    """(doc_id, label, places) of rows (doc_id, label, text). dictionary: a broadcast Dictionary."""
 
-    def count(batches):
+    def run(batches):
         grams, of = Grams(), dictionary.value
-        sums = np.zeros((2, n_places), np.int64)
         for batch in in_slices(batches, 100):
-            for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                sums[1 - label, of(grams(text))] += 1
-        at = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["place", "p", "q"])
+            found = [of(grams(t)) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "places"])
+
+    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, places array<int>")
+
+
+def log_count_ratios(rows: DataFrame, n_places: int, smooth: float = 1.0):
+    """Over all rows of (label, places): log of the smoothed shares of texts of either class that hold each place."""
+    import numpy as np
 
-    counts = rows.select("label", "text").mapInArrow(count, "place int, p long, q long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()
+    each = rows.select("label", F.explode("places").alias("place"))
+    counts = each.groupBy("place").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).toPandas()
     p, q = np.full(n_places, smooth), np.full(n_places, smooth)
     p[counts["place"].to_numpy("int64")] += counts["p"].to_numpy("float64")
     q[counts["place"].to_numpy("int64")] += counts["q"].to_numpy("float64")
@@ -206,7 +209,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_r
     """(doc_id, score). train: which rows of labels may be learned from."""
     spark = docs.sparkSession
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rows = texts.join(sent_if_few(labels_of(labels, "quality", train)), "doc_id")
+    taught = sent_if_few(labels_of(labels, "quality", train))
+    rows = texts.join(taught, "doc_id")
     sample, n, good = sample_of(rows, sample_rows)
     if not n or good in (0, n):
         return settled(texts.select("doc_id", F.lit(good / n if n else 0.5).alias("score")))
@@ -215,17 +219,23 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_r
         dictionary = dictionary_of(known)
         held = spark.sparkContext.broadcast(dictionary)
         marked = sorted((r["label"], r["places"]) for r in places_of(known, held).collect())
-    ratios = log_count_ratios(rows, held, len(dictionary.places))
-    marks, places = [m for m, _ in marked], [p for _, p in marked]
-    weights = dual_coordinate_descent(places, marks, ratios)
-    a, b = curve_of(margins_of(places, ratios, weights), marks)
-    model = spark.sparkContext.broadcast((ratios, weights))
-
-    def score(batches):
-        grams, of, (ratios, weights) = Grams(), held.value, model.value
-        for batch in in_slices(batches):
-            margins = margins_of([of(grams(t)) for t in texts_of(batch.column(1))], ratios, weights)
-            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
-
-    return settled(texts.mapInArrow(score, "doc_id long, score double"))
+        learned = scratch.write(features_of(rows, held), "learned")
+        ratios = log_count_ratios(learned, len(dictionary.places))
+        marks, places = [m for m, _ in marked], [p for _, p in marked]
+        weights = dual_coordinate_descent(places, marks, ratios)
+        a, b = curve_of(margins_of(places, ratios, weights), marks)
+        model = spark.sparkContext.broadcast((ratios, weights))
+
+        def score(from_texts: bool):
+            def run(batches):
+                grams, (ratios, weights) = Grams(), model.value
+                for batch in in_slices(batches):
+                    found = [held.value(grams(t)) for t in texts_of(batch.column(1))] if from_texts else batch.column(1).to_pylist()
+                    got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins_of(found, ratios, weights)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
+
+            return run
+
+        kind = "doc_id long, score double"
+        others = texts.join(taught.select("doc_id"), "doc_id", "left_anti").mapInArrow(score(True), kind)
+        return settled(others.unionByName(learned.select("doc_id", "places").mapInArrow(score(False), kind)))

@@ -27,7 +27,7 @@ def test_dictionary_and_ratios_are_exact(spark):
         dictionary = qc.dictionary_of(known, support)
         assert dictionary.known == {g for g, c in held.items() if c >= support}
     shared = spark.sparkContext.broadcast(dictionary)
-    got = qc.log_count_ratios(df.repartition(5), shared, len(dictionary.places))
+    got = qc.log_count_ratios(qc.features_of(df.repartition(5), shared), len(dictionary.places))
     of = lambda label: Counter(g for _, x, t in rows if x == label for g in set(grams(t or "")))
     p, q = of(1), of(0)
     all_p, all_q = (sum(c[g] + 1.0 for g in dictionary.known) for c in (p, q))
