@@ -75,42 +75,50 @@ def _value_error(name: Column, value: Column, quote: Column, form: Column) -> Co
     )
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _judged(name: Column, member: Column, form: Column) -> Column:
     """struct(value, quote, error) of one member of a reply."""
-    shape, value, quote = F.schema_of_variant(member), F.try_variant_get(member, "$.value", "string"), F.try_variant_get(member, "$.quote", "string")
-    error = (
-        F.when(shape.isNull(), F.concat(name, F.lit(": missing")))
-        .when(~shape.isin(*_SHAPES), F.concat(name, F.lit(": needs a value and a quote, each text or null")))
-        .otherwise(_value_error(name, value, quote, form))
-    )
-    return F.struct(value.alias("value"), quote.alias("quote"), error.alias("error"))
 
+    def judged(m: Column) -> Column:
+        texts = [F.try_variant_get(m, f"$.{part}", "string").alias(part) for part in ("value", "quote")]
+        return _let(F.struct(F.schema_of_variant(m).alias("shape"), *texts), by_shape)
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once a row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    def by_shape(x: Column) -> Column:
+        error = (
+            F.when(x["shape"].isNull(), F.concat(name, F.lit(": missing")))
+            .when(~x["shape"].isin(*_SHAPES), F.concat(name, F.lit(": needs a value and a quote, each text or null")))
+            .otherwise(_value_error(name, x["value"], x["quote"], form))
+        )
+        return F.struct(x["value"].alias("value"), x["quote"].alias("quote"), error.alias("error"))
+
+    return _let(member, judged)
 
 
 def validate_reply(text: Column, kind: Column) -> Column:
     """struct(errors, identity, proof_of_address, company_extract): one of the values if there are no errors.
 
     The reply is parsed once, to its members; the rules of the document's family are joined to them as rows of an array,
-    and one expression judges each member by its rule."""
+    and one expression judges each member by its rule. What is used more than once is bound (`_let`): an expression that is
+    merely named would be computed again wherever it stands, a reply parsed for every member and question."""
     fam, none = family(kind), F.array().cast("array<string>")
 
     def judged(members: Column) -> Column:
         fields = F.transform(_rules(fam), lambda r: _judged(r["field"], F.try_element_at(members, r["field"]), r["form"]))
         people = F.when(fam == "company_extract", F.try_variant_get(F.try_element_at(members, F.lit(DIRECTORS)), "$", "array<variant>"))
         directors = F.transform(people, lambda p, i: _judged(F.concat(F.lit(f"{DIRECTORS}."), i.cast("string")), p, F.lit("text")))
-        return F.struct(members.alias("members"), fields.alias("fields"), directors.alias("directors"))
+        return F.struct(members.isNull().alias("lacks_members"), fields.alias("fields"), directors.alias("directors"))
 
-    def done(x: Column) -> Column:
+    def done(said_text: Column, x: Column) -> Column:
         errors_of = lambda judgements: F.coalesce(F.array_compact(F.transform(judgements, lambda j: j["error"])), none)
         company = fam == "company_extract"
         unlisted = F.when(company & x["directors"].isNull(), F.array(F.lit(f"{DIRECTORS}: needs a list"))).otherwise(none)
         known = F.concat(F.transform(_rules(fam), lambda r: r["field"]), F.when(company, F.array(F.lit(DIRECTORS))).otherwise(none))
-        extra = F.transform(F.array_except(F.json_object_keys(text), known), lambda k: F.concat(k, F.lit(": no such member")))
-        errors = F.when(x["members"].isNull(), F.array(F.lit("document: needs an object"))).otherwise(
+        extra = F.transform(F.array_except(F.json_object_keys(said_text), known), lambda k: F.concat(k, F.lit(": no such member")))
+        errors = F.when(x["lacks_members"], F.array(F.lit("document: needs an object"))).otherwise(
             F.concat(errors_of(x["fields"]), unlisted, errors_of(x["directors"]), extra)
         )
         said = lambda j: F.struct(j["value"].alias("value"), j["quote"].alias("quote"))
@@ -122,10 +130,14 @@ def validate_reply(text: Column, kind: Column) -> Column:
             values.append((group, F.struct(*parts)))
         return _let(errors, lambda e: F.struct(e.alias("errors"), *[F.when((fam == g) & (F.size(e) == 0), v).alias(g) for g, v in values]))
 
-    parsed = F.try_parse_json(text)
-    found = _let(judged(F.try_variant_get(parsed, "$", "map<string,variant>")), done)
     typed = F.struct(F.array(F.lit(NOT_JSON)).alias("errors"), *[F.lit(None).cast(_type_of(g)).alias(g) for g in schemas.FIELDS])
-    return F.when(parsed.isNull() | ~fam.isin(*schemas.FIELDS), typed).otherwise(found)
+
+    def read(t: Column) -> Column:
+        members = lambda parsed: _let(F.try_variant_get(parsed, "$", "map<string,variant>"), judged)
+        found = lambda parsed: _let(members(parsed), lambda x: done(t, x))
+        return _let(F.try_parse_json(t), lambda parsed: F.when(parsed.isNull() | ~fam.isin(*schemas.FIELDS), typed).otherwise(found(parsed)))
+
+    return _let(text, read)
 
 
 def _type_of(group: str) -> str:

@@ -20,6 +20,7 @@ from attestra.plans import case_flow, evidence
 from attestra.plans.verification import verify
 from attestra.sources import specimens
 from attestra.sources.intake import strict_base64
+from attestra.sources.spread import spread
 from attestra.sources.text_layer import PDF, pdf_of, with_text_layer
 from attestra.streaming import lifecycle
 
@@ -39,6 +40,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the customers over all cores, for queries that do much for each."""
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
 def _today() -> Column:
     return F.lit(TODAY).cast("date")
 
@@ -357,7 +363,7 @@ def address_reasons(spark, sf_dir):
 )
 def dated_replies(spark, sf_dir):
     """Replies whose date is wrong in several ways."""
-    replies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), evidence.statement_reply(F.col("c_custkey")).alias("reply"))
+    replies = _customers(spark, sf_dir).select(F.col("c_custkey").alias("case_id"), evidence.statement_reply(F.col("c_custkey")).alias("reply"))
     return replies.select("case_id", F.array_join(readings.validate_reply(F.col("reply"), F.lit("proof_of_address"))["errors"], "; ").alias("errors"))
 
 

@@ -213,3 +213,13 @@ def test_intake_collects_form_errors(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(good) + "\n" + json.dumps(bad))
     rows = intake.accept(intake.read_submissions(spark, str(tmp_path))).collect()
     assert sorted(len(r.errors) for r in rows) == [0, 3]
+
+
+def test_a_reply_is_parsed_once_and_a_member_taken_once(spark):
+    """Counted in the plan: an expression stands as often as it is computed."""
+    rows = spark.createDataFrame([("{}", "passport")], "t string, k string").select(readings.validate_reply(F.col("t"), F.col("k")).alias("g"))
+    whole = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    spark.conf.set("spark.sql.debug.maxToStringFields", whole)
+    assert plan.count("parse_json(") == 1 and plan.count("schema_of_variant(") + plan.count("schemaofvariant") == 2
