@@ -379,7 +379,7 @@ def company_checks(spark, sf_dir):
 def reply_validation(spark, sf_dir):
     """Replies with faults planted by key: how many errors, and of which fields."""
     key = F.col("c_custkey")
-    replies = table(spark, sf_dir, "customer").select(key.alias("case_id"), evidence.company_reply(key, key % 8).alias("reply"))
+    replies = _customers(spark, sf_dir).select(key.alias("case_id"), evidence.company_reply(key, key % 8).alias("reply"))
     got = replies.select("case_id", readings.validate_reply(F.col("reply"), F.lit("company_extract"))["errors"].alias("errors"))
     names = F.array_join(F.array_sort(F.transform("errors", lambda e: F.get(F.split(e, ":"), F.lit(0)))), ",")
     return got.select("case_id", F.size("errors").alias("n_errors"), names.alias("fields"))

@@ -11,6 +11,6 @@ def test_spread_keeps_rows_and_says_the_number_of_parts(spark):
     assert rows.rdd.getNumPartitions() == 16 and sorted(r.id for r in rows.collect()) == list(range(100))
 
 
-@pytest.mark.parametrize("name", ["dated_replies"])
+@pytest.mark.parametrize("name", ["dated_replies", "reply_validation"])
 def test_query_is_not_one_task(spark, sf, name):
     assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == 16
