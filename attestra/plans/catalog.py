@@ -6,6 +6,8 @@ Spark and in SQL: one faultless case a customer, with faults planted by key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -393,11 +395,11 @@ def reply_validation(spark, sf_dir):
 def bounded_retry(spark, sf_dir):
     """Scripts by key: valid at once, at the second and third attempt, never, refused at the second, and no script."""
     key = F.col("c_custkey")
-    customers = table(spark, sf_dir, "customer")
+    customers = _customers(spark, sf_dir)
     good, bad = evidence.company_reply(key, F.lit(0)), evidence.company_reply(key, F.lit(2))
     scripts = [F.array(good), F.array(bad, good), F.array(bad, bad, good), F.array(bad), F.array(bad, F.lit(readings.REFUSAL), good)]
     digest = F.sha2(key.cast("string"), 256)
-    script = F.get(F.array(*scripts), (key % 6).cast("int"))
+    script = reduce(lambda made, i: made.when(key % 6 == i, scripts[i]), range(1, len(scripts)), F.when(key % 6 == 0, scripts[0]))
     docs = customers.select(key.alias("case_id"), F.lit(0).alias("doc_index"), F.lit("company_extract").alias("kind"), digest.alias("sha256"))
     read = readings.read_documents(docs, readings.ReplayReader(customers.where(key % 6 < 5).select(digest.alias("sha256"), script.alias("replies"))))
     r = F.col("reading")
