@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.bound import let
+
 
 def iso_date(c: Column) -> Column:
     """A date that is written YYYY-MM-DD and exists, else null."""
@@ -30,6 +32,10 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 def date_in(value: Column, words: Column) -> Column:
     """Do three neighbouring words (of those that are numbers or months) say the date? The date gives a pattern of all its
     spellings, day first or year first, with short years, leading zeros, and after the day a month by name."""
+    return let(value, lambda day: _said_in(day, words))
+
+
+def _said_in(value: Column, words: Column) -> Column:
     kept = F.array_join(F.filter(words, lambda w: w.rlike(r"^\d+$") | F.substring(w, 1, 3).isin(*MONTHS)), " ")
     number = lambda n: F.concat(F.lit("0*"), n.cast("string"))
     day, month = number(F.dayofmonth(value)), number(F.month(value))

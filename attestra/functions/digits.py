@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.bound import let
 from attestra.functions.codes import iban_length
 
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,7 +44,10 @@ def mod97(c: Column) -> Column:
 
 def account_problem(c: Column) -> Column:
     """Null if the account number is valid, else the first problem: shape, length of its country, checksum."""
-    v = compact_account(c)
+    return let(compact_account(c), _problem)
+
+
+def _problem(v: Column) -> Column:
     country = F.substring(v, 1, 2)
     length = iban_length(country)
     return (

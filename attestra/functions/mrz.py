@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.bound import let
 from attestra.functions.codes import state_to_alpha3
 from attestra.functions.digits import check_digit, digit_valid
 
@@ -110,7 +111,8 @@ def compose_zone(passport: bool, state: Column, number: Column, birth: Column, s
         head = F.concat(F.lit("P<"), _field(state, 3), _names(surname, given, 39))
         personal = F.lit("<" * 14)
         body = F.concat(doc, check_digit(doc), _field(nationality, 3), dated, personal, check_digit(personal))
-        return F.array(head, F.concat(body, check_digit(F.concat(_cut(body, 0, 10), _cut(body, 13, 20), _cut(body, 21, 43)))))
+        whole = lambda x: F.concat(x, check_digit(F.concat(_cut(x, 0, 10), _cut(x, 13, 20), _cut(x, 21, 43))))
+        return F.array(head, let(body, whole))
     head = F.concat(F.lit("I<"), _field(state, 3), doc, check_digit(doc), F.lit("<" * 15))
     body = F.concat(dated, _field(nationality, 3), F.lit("<" * 11))
     last = check_digit(F.concat(_cut(head, 5, 30), _cut(body, 0, 7), _cut(body, 8, 15), _cut(body, 18, 29)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra import schemas
+from attestra.functions.bound import let
 from attestra.functions.codes import is_alpha2, is_alpha3
 from attestra.functions.dates import iso_date
 
@@ -75,17 +76,12 @@ def _value_error(name: Column, value: Column, quote: Column, form: Column) -> Co
     )
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once a row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _judged(name: Column, member: Column, form: Column) -> Column:
     """struct(value, quote, error) of one member of a reply."""
 
     def judged(m: Column) -> Column:
         texts = [F.try_variant_get(m, f"$.{part}", "string").alias(part) for part in ("value", "quote")]
-        return _let(F.struct(F.schema_of_variant(m).alias("shape"), *texts), by_shape)
+        return let(F.struct(F.schema_of_variant(m).alias("shape"), *texts), by_shape)
 
     def by_shape(x: Column) -> Column:
         error = (
@@ -95,14 +91,14 @@ def _judged(name: Column, member: Column, form: Column) -> Column:
         )
         return F.struct(x["value"].alias("value"), x["quote"].alias("quote"), error.alias("error"))
 
-    return _let(member, judged)
+    return let(member, judged)
 
 
 def validate_reply(text: Column, kind: Column) -> Column:
     """struct(errors, identity, proof_of_address, company_extract): one of the values if there are no errors.
 
     The reply is parsed once, to its members; the rules of the document's family are joined to them as rows of an array,
-    and one expression judges each member by its rule. What is used more than once is bound (`_let`): an expression that is
+    and one expression judges each member by its rule. What is used more than once is bound (`let`): an expression that is
     merely named would be computed again wherever it stands, a reply parsed for every member and question."""
     fam, none = family(kind), F.array().cast("array<string>")
 
@@ -128,16 +124,16 @@ def validate_reply(text: Column, kind: Column) -> Column:
             if group == "company_extract":
                 parts.append(F.transform(x["directors"], said).alias(DIRECTORS))
             values.append((group, F.struct(*parts)))
-        return _let(errors, lambda e: F.struct(e.alias("errors"), *[F.when((fam == g) & (F.size(e) == 0), v).alias(g) for g, v in values]))
+        return let(errors, lambda e: F.struct(e.alias("errors"), *[F.when((fam == g) & (F.size(e) == 0), v).alias(g) for g, v in values]))
 
     typed = F.struct(F.array(F.lit(NOT_JSON)).alias("errors"), *[F.lit(None).cast(_type_of(g)).alias(g) for g in schemas.FIELDS])
 
     def read(t: Column) -> Column:
-        members = lambda parsed: _let(F.try_variant_get(parsed, "$", "map<string,variant>"), judged)
-        found = lambda parsed: _let(members(parsed), lambda x: done(t, x))
-        return _let(F.try_parse_json(t), lambda parsed: F.when(parsed.isNull() | ~fam.isin(*schemas.FIELDS), typed).otherwise(found(parsed)))
+        members = lambda parsed: let(F.try_variant_get(parsed, "$", "map<string,variant>"), judged)
+        found = lambda parsed: let(members(parsed), lambda x: done(t, x))
+        return let(F.try_parse_json(t), lambda parsed: F.when(parsed.isNull() | ~fam.isin(*schemas.FIELDS), typed).otherwise(found(parsed)))
 
-    return _let(text, read)
+    return let(text, read)
 
 
 def _type_of(group: str) -> str:

@@ -371,7 +371,7 @@ def dated_replies(spark, sf_dir):
 
 @query(evidence.COMPANY_SQL)
 def company_checks(spark, sf_dir):
-    return _statuses(evidence.company_evidence(table(spark, sf_dir, "customer")))
+    return _statuses(evidence.company_evidence(_customers(spark, sf_dir)))
 
 
 @query(
