@@ -349,7 +349,7 @@ def identity_checks(spark, sf_dir):
 
 @query(evidence.ADDRESS_SQL)
 def address_checks(spark, sf_dir):
-    return _statuses(evidence.address_evidence(table(spark, sf_dir, "customer"), _today()))
+    return _statuses(evidence.address_evidence(_customers(spark, sf_dir), _today()))
 
 
 @query(evidence.ADDRESS_REASONS_SQL.replace("{today}", TODAY))
