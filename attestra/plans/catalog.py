@@ -344,7 +344,7 @@ def _statuses(rows: DataFrame) -> DataFrame:
 
 @query(evidence.identity_sql(TODAY))
 def identity_checks(spark, sf_dir):
-    return _statuses(evidence.identity_evidence(table(spark, sf_dir, "customer"), _today()))
+    return _statuses(evidence.identity_evidence(_customers(spark, sf_dir), _today()))
 
 
 @query(evidence.ADDRESS_SQL)
