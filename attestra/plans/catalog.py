@@ -355,7 +355,7 @@ def address_checks(spark, sf_dir):
 @query(evidence.ADDRESS_REASONS_SQL.replace("{today}", TODAY))
 def address_reasons(spark, sf_dir):
     """What the checks of a proof of address say and quote."""
-    rows = document_checks(evidence.address_evidence(table(spark, sf_dir, "customer"), _today()), _today()).where("name like 'address%' or name = 'iban_valid'")
+    rows = document_checks(evidence.address_evidence(_customers(spark, sf_dir), _today()), _today()).where("name like 'address%' or name = 'iban_valid'")
     return rows.select("case_id", "name", "reason", F.array_join("quotes", " | ").alias("quotes"))
 
 

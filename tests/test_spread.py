@@ -11,6 +11,6 @@ def test_spread_keeps_rows_and_says_the_number_of_parts(spark):
     assert rows.rdd.getNumPartitions() == LEAST_PARTS and sorted(r.id for r in rows.collect()) == list(range(100))
 
 
-@pytest.mark.parametrize("name", ["dated_replies", "reply_validation", "company_checks", "address_checks", "identity_checks"])
+@pytest.mark.parametrize("name", ["dated_replies", "reply_validation", "company_checks", "address_reasons", "address_checks", "identity_checks"])
 def test_query_is_not_one_task(spark, sf, name):
     assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == LEAST_PARTS
