@@ -494,7 +494,7 @@ _TURNS = [row for row in specimens.SCENARIOS for _ in range(row[1])]
 )
 def customer_specimens(spark, sf_dir):
     """Every customer as a specimen case, by turns of all scenarios, through the whole engine: wanted and actual outcome."""
-    cases = specimens.specimens_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
+    cases = specimens.specimens_of(_customers(spark, sf_dir).withColumnRenamed("c_custkey", "key"))
     docs = specimens.documents(cases)
     got = verify(specimens.applications(cases), docs, readings.ReplayReader(specimens.scripts(docs)), F.lit(specimens.REFERENCE_DATE).cast("date"))
     return evaluation.judged_cases(got.decisions, specimens.labels(cases)).select("case_id", "scenario", "want", "got")
