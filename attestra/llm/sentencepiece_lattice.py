@@ -21,14 +21,12 @@ a space. Only doc_id and text are read.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from itertools import chain, filterfalse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.run_hashes import distinct, run_hashes
 from attestra.llm.shared import Scratch, in_slices, texts_of
 from attestra.llm.token_counts import is_unigram
 
@@ -39,63 +37,51 @@ PREFIX = 3
 #: Characters of a word whose ends fit into the bits of a long.
 BITS = 61
 SPACE = "▁"
-#: Words of the table of frequent words that one task encodes; distinct chunks, and characters of them, that a task counts
-#: or remembers at once.
-WORDS_A_PART, CHUNKS_HELD, CHARS_HELD = 20_000, 300_000, 10_000_000
+#: Words of the table of frequent words that one task encodes; distinct words that a task counts at once.
+WORDS_A_PART, WORDS_HELD = 20_000, 400_000
 #: Characters of the texts that a task looks at together.
 CHARS_AT_ONCE = 1_000_000
-
-_CHUNK = re.compile("(?:^| )( *[^ ]*)")
-
-
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a text between spaces; of a run of spaces one stands between two chunks, the others lead the next."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    return text.split(" ") if text[0] != " " and "  " not in text else _CHUNK.findall(text)
+#: The two hashes of a word.
+SEEDS = (1, 2)
 
 
 class Cutter:
-    """Chunks -> the words of each that are encoded apart: the chunk with a space (as SPACE) before it, cut wherever two
-    characters stand side by side in no piece. No piece reaches over these cuts, nor over those between chunks."""
+    """Texts -> their words, that are encoded apart: each text with a space (as SPACE) before it, cut wherever two characters
+    stand side by side in no piece. No piece reaches over these cuts, nor over those between texts."""
 
-    #: Characters below stand in a table, the others in a sorted array.
+    #: Characters below stand in a table, the others in a sorted array. A SPACE stands there as the space it is.
     FIRST = 1024
 
     def __init__(self, neighbours: set[str]) -> None:
         import numpy as np
 
-        codes = [(ord(a), ord(b)) for a, b in neighbours]
-        self.table = np.zeros((self.FIRST, self.FIRST), bool)
+        codes = [(ord(a), ord(b)) for a, b in (pair.replace(SPACE, " ") for pair in neighbours)]
+        table = np.zeros((self.FIRST + 1, self.FIRST + 1), bool)
         for a, b in codes:
             if max(a, b) < self.FIRST:
-                self.table[a, b] = True
+                table[a, b] = True
+        self.table = table.ravel()
         self.others = np.array(sorted((a << 32) + b for a, b in codes if max(a, b) >= self.FIRST), np.int64)
 
-    def __call__(self, chunks: list[str]) -> list[list[str]]:
+    def __call__(self, texts: list[str]) -> tuple:
+        """(text, codes, starts, lens, counts): all texts in one and its code points, where its words start and how long they
+        are, and how many each text has."""
         import numpy as np
 
-        if not chunks:
-            return []
-        text = "".join([SPACE + c for c in chunks]).replace(" ", SPACE)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        a, b = codes[:-1], codes[1:]
-        low = (a < self.FIRST) & (b < self.FIRST)
-        near = np.zeros(len(a), bool)
-        near[low] = self.table[a[low], b[low]]
-        near[~low] = np.isin((a[~low] << 32) + b[~low], self.others)
-        ends = np.cumsum([len(c) + 1 for c in chunks])
-        near[ends[:-1] - 1] = False
-        cuts = np.append(np.flatnonzero(~near) + 1, len(text))
-        n = np.diff(np.searchsorted(cuts, ends, "right"), prepend=0).tolist()
-        words = [text[x:y] for x, y in zip([0, *cuts.tolist()], cuts.tolist())]
-        out, at = [], 0
-        for k in n:
-            out.append(words[at : at + k])
-            at += k
-        return out
+        spaced = "".join([" " + t if t else "" for t in texts]).replace(SPACE, " ")
+        codes = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        cut = np.ones(len(codes), bool)
+        if len(codes):
+            low = np.minimum(codes, self.FIRST).astype(np.int32)
+            cut[1:] = ~self.table.take(low[:-1] * (self.FIRST + 1) + low[1:])
+            at = np.flatnonzero((low[:-1] == self.FIRST) | (low[1:] == self.FIRST))
+            if len(at):
+                cut[at + 1] = ~np.isin((codes[at].astype(np.int64) << 32) + codes[at + 1], self.others)
+            cut[ends[ends < len(codes)]] = True
+        starts = np.flatnonzero(cut)
+        counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+        return spaced.replace(" ", SPACE), codes, starts, np.diff(starts, append=len(codes)), counts
 
 
 class Pieces:
@@ -278,44 +264,54 @@ def _joined_as_array(size: Column) -> Column:
     return F.transform(F.filter(_fold_in_order(begin, opened, joined), lambda x: x["end"] > 0), lambda x: x["id"])
 
 
+def _blocks(batches):
+    """(slice of a record batch, its texts, which stand last), with CHARS_AT_ONCE characters at most or one text."""
+    for batch in in_slices(batches):
+        texts, at = texts_of(batch.columns[-1]), 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS_AT_ONCE):
+                chars += len(texts[end])
+                end += 1
+            yield batch.slice(at, end - at), texts[at:end]
+            at = end
+
+
 def word_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
     """(word, n) of every distinct word, counted in each task before the shuffle."""
 
     def count(batches):
+        import numpy as np
         import pyarrow as pa
 
-        counts: Counter = Counter()
-
-        def out():
-            words: Counter = Counter()
-            chunks = list(counts)
-            for at in range(0, len(chunks), 100_000):
-                part = chunks[at : at + 100_000]
-                for chunk, found in zip(part, cutter(part)):
-                    for word in found:
-                        words[word] += counts[chunk]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        chars = 0
-        for batch in in_slices(batches):
-            for text in texts_of(batch.column(0)):
-                counts.update(chunks_of(text))
-                chars += len(text)
-                if len(counts) > CHUNKS_HELD or chars > CHARS_HELD and sum(map(len, counts)) > CHARS_HELD:
-                    yield out()
-                    chars = 0
-                elif chars > CHARS_HELD:
-                    chars = 0
-        yield out()
+        def merged(held):
+            hashes, counts, words = zip(*held)
+            first, which = distinct(np.concatenate(hashes))
+            counts = np.bincount(which, np.concatenate(counts), len(first)).astype(np.int64)
+            return np.concatenate(hashes)[first], counts, pa.concat_arrays(words).take(pa.array(first))
+
+        held, size = [], 0
+        for _, texts in _blocks(batches):
+            text, codes, starts, lens, _ = cutter(texts)
+            [hashes] = run_hashes(codes, starts, lens, SEEDS[:1])
+            first, which = distinct(hashes)
+            a = starts[first]
+            words = pa.array([text[x:y] for x, y in zip(a.tolist(), (a + lens[first]).tolist())], pa.string())
+            held.append((hashes[first], np.bincount(which, minlength=len(first)), words))
+            size += len(words)
+            if size > WORDS_HELD:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if 2 * size > WORDS_HELD:
+                    yield pa.RecordBatch.from_arrays([held[0][2], pa.array(held[0][1])], names=["word", "n"])
+                    held, size = [], 0
+        if held:
+            _, counts, words = merged(held)
+            yield pa.RecordBatch.from_arrays([words, pa.array(counts)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _hashes(word: Column) -> list[Column]:
-    return [F.xxhash64(word).alias("h1"), F.crc32(F.encode(word, "UTF-8")).alias("h2")]
-
-
 def frequent_words(counted: DataFrame, most: int) -> DataFrame:
     """The words of counted (word, n) that are met again, or those with n over a higher limit chosen by counts, so that they
     are `most` at most."""
@@ -330,7 +326,7 @@ def frequent_words(counted: DataFrame, most: int) -> DataFrame:
 
 
 class Known:
-    """The ids of frequent words by two hashes of 64 and 32 bits. gap: the greatest number of the ids' type, which is no id."""
+    """The ids of frequent words by two hashes of 64 bits. gap: the greatest number of the ids' type, which is no id."""
 
     def __init__(self, h1, h2, offsets, ids) -> None:
         import numpy as np
@@ -338,18 +334,31 @@ class Known:
         self.h1, self.h2, self.offsets, self.ids = h1, h2, offsets, ids
         self.gap = int(np.iinfo(ids.dtype).max)
 
-    def codes(self, words: list[str]) -> list[bytes | None]:
+    def places(self, h1, h2):
+        """The word with each pair of hashes, -1 for one that isn't known."""
         import numpy as np
-        import xxhash
 
-        raw, of = [w.encode("utf-8", "surrogatepass") for w in words], xxhash.xxh64_intdigest
-        h1, h2 = np.array([of(w, 42) for w in raw], np.uint64), np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
         if not len(self.h1):
-            return [None] * len(words)
+            return np.full(len(h1), -1)
         at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-        found = (self.h1[at] == h1) & (self.h2[at] == h2)
-        a, b = self.offsets[at].tolist(), self.offsets[at + 1].tolist()
-        return [self.ids[x:y].tobytes() if f else None for f, x, y in zip(found.tolist(), a, b)]
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+
+def _hashed(words: DataFrame) -> DataFrame:
+    """(h1, h2, ids) of words (word, ids)."""
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in in_slices(batches, 10_000):
+            words = batch.column(0).to_pylist()
+            codes = np.frombuffer("".join(words).replace(SPACE, " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+            lens = np.array([len(w) for w in words], np.int64)
+            h = run_hashes(codes, np.cumsum(lens) - lens, lens, SEEDS)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in h), batch.column(1)], names=["h1", "h2", "ids"])
+
+    return words.select("word", "ids").mapInArrow(hashed, "h1 long, h2 long, ids array<int>")
 
 
 def known_words(docs: DataFrame, pieces: Pieces, most: int) -> Known:
@@ -360,14 +369,14 @@ def known_words(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     counted = scratch.write(word_counts(docs, pieces.cutter), "counted")
     words = frequent_words(counted, most)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(most, counted.count()) // WORDS_A_PART))
-    words = words.select("word", *_hashes(F.col("word"))).repartition(parts, "h1", "h2")
-    table = pieces.encode(words, ["h1", "h2"]).select("h1", "h2", "ids").toArrow()
+    table = _hashed(pieces.encode(words.repartition(parts, "word"), ["word"])).toArrow()
     scratch.remove()
     h1 = table.column("h1").to_numpy().view(np.uint64)
     order = np.argsort(h1, kind="stable")
     lists = table.column("ids").combine_chunks().take(order)
     kind = np.dtype("<u2" if len(pieces.spelling) < (1 << 16) - 1 else "<u4")
-    return Known(h1[order], table.column("h2").to_numpy()[order], lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(kind))
+    h2 = table.column("h2").to_numpy().view(np.uint64)[order]
+    return Known(h1[order], h2, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(kind))
 
 
 def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
@@ -376,67 +385,52 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
     shared, cutter = docs.sparkSession.sparkContext.broadcast(known), pieces.cutter
 
     def code(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
         known = shared.value
         width = known.ids.dtype.itemsize
-        gap = known.gap.to_bytes(width, "little")
-        # chunk -> its codes; None where some word isn't known: its codes and words then stand in opened.
-        memo: dict[str, bytes | None] = {}
-        opened: dict[str, list[bytes | str]] = {}
-        chars = 0
-
-        def learn(chunks: set[str]) -> None:
-            nonlocal chars
-            new = list(chunks)
-            chars += sum(map(len, new))
-            found = cutter(new)
-            words = list({w for cut in found for w in cut})
-            codes = dict(zip(words, known.codes(words)))
-            for c, cut in zip(new, found):
-                got = [codes[w] for w in cut] if len(cut) > 1 else [codes[cut[0]]]
-                if None in got:
-                    memo[c], opened[c] = None, [w if code is None else code for w, code in zip(cut, got)]
-                else:
-                    memo[c] = b"".join(got)
-
-        def codes_of(chunks: list[str]) -> tuple[bytes, list[str | None]]:
-            got = list(map(memo.__getitem__, chunks))
-            if None not in got:
-                return b"".join(got), [None]
-            rare: dict[str, int] = {}
-            for i in [i for i, codes in enumerate(got) if codes is None]:
-                out = []
-                for x in opened[chunks[i]]:
-                    if isinstance(x, str):
-                        k = rare.setdefault(x, len(rare))
-                        x = gap + (k & 0x7FFF).to_bytes(width, "little") + (k >> 15).to_bytes(width, "little")
-                    out.append(x)
-                got[i] = b"".join(out)
-            return b"".join(got), [None, *rare]
-
-        for batch in in_slices(batches):
-            rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS_AT_ONCE):
-                    chars += len(texts[end])
-                    end += 1
-                chunks = [chunks_of(t) for t in texts[at:end]]
-                if len(memo) > CHUNKS_HELD or chars > CHARS_HELD:
-                    at_hand = set().union(*chunks) & memo.keys()
-                    memo, opened = {c: memo[c] for c in at_hand}, {c: opened[c] for c in at_hand & opened.keys()}
-                    chars = sum(map(len, at_hand))
-                learn(set(filterfalse(memo.__contains__, chain.from_iterable(chunks))))
-                codes, rare = zip(*map(codes_of, chunks))
-                signs = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts[at:end]]
-                yield pa.RecordBatch.from_arrays(
-                    [rows[at:end], ids[at:end], pa.array(signs, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
-                    names=["row", "doc_id", "sign", "codes", "rare"],
-                )
-                at = end
+        for batch, texts in _blocks(batches):
+            rows = len(texts)
+            text, codes, starts, lens, counts = cutter(texts)
+            h1, h2 = run_hashes(codes, starts, lens, SEEDS)
+            first, which = distinct(h1)
+            if (h2[first][which] != h2).any():  # two words with one hash
+                _, first, which = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)
+                which = which.ravel()
+            place = known.places(h1[first], h2[first])
+            found = place >= 0
+            begin = np.where(found, known.offsets[place], 0)
+            size = np.where(found, known.offsets[np.where(found, place + 1, 0)] - begin, 3)
+
+            # Each row's rare words, once each: row and word are one number.
+            rare = np.flatnonzero(~found[which])
+            row = np.repeat(np.arange(rows), counts)[rare]
+            once, at = np.unique(row * len(first) + which[rare], return_inverse=True)
+            bounds = np.searchsorted(once, np.arange(rows + 1) * len(first))
+            words, word = np.unique(once % len(first) if len(once) else once, return_inverse=True)
+            a = starts[first[words]]
+            strings = pa.array([text[x:y] for x, y in zip(a.tolist(), (a + lens[first[words]]).tolist())], pa.string())
+            none = np.zeros(len(once) + rows, bool)
+            none[bounds[:-1] + np.arange(rows)] = True
+            taken = np.zeros(len(none), np.int64)
+            taken[~none] = word
+            lists = pa.ListArray.from_arrays(pa.array((bounds + np.arange(rows + 1)).astype(np.int32)), strings.take(pa.array(taken, mask=none)))
+
+            n = size[which]
+            ends = np.append(0, np.cumsum(n))
+            from_ = np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], n)
+            out = known.ids.take(from_, mode="clip") if len(known.ids) else np.zeros(ends[-1], known.ids.dtype)
+            local, gaps = at - bounds[row], ends[rare]
+            out[gaps], out[gaps + 1], out[gaps + 2] = known.gap, local & 0x7FFF, local >> 15
+            offsets = ends[np.append(0, np.cumsum(counts))] * width
+            coded = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+            signs = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(signs, pa.int64()), coded, lists], names=["row", "doc_id", "sign", "codes", "rare"]
+            )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return numbered.mapInArrow(code, "row long, doc_id long, sign long, codes binary, rare array<string>")
