@@ -20,13 +20,15 @@ whole; an empty table gives an empty result. Only doc_id and text are read from
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.components import least_reachable
-from attestra.llm.shared import Scratch, in_slices, sent_if_few, settled
+from attestra.llm.run_hashes import run_hashes
+from attestra.llm.shared import SPACES, Scratch, in_slices, sent_if_few, settled
 
 WORDS, PERCENT = 5, 80
 #: Match counts that a prefix may ask for.
@@ -34,42 +36,60 @@ MATCHES = (1, 2, 4, 8, 16)
 #: How many shingles may be known as frequent (any set of them keeps the join exact; all tasks get it), and from how many
 #: texts of a task on a shingle is reported.
 MOST_FREQUENT, LOCALLY_FREQUENT = 300_000, 3
+#: Bytes of the texts whose words a task hashes together.
+BYTES_AT_ONCE = 1_000_000
+
+
+def _mixed(hashes, k: int):
+    """The hashes of k words each, in their order: hashes[i : i + k] for every i."""
+    import numpy as np
+
+    n = len(hashes) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):  # order matters: multiply and mix between words
+        out ^= hashes[i : i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out
 
 
-class Shingler:
-    """text -> sorted distinct 64-bit shingle hashes."""
-
-    def __init__(self) -> None:
-        import numpy as np
-
-        self.np, self.memo = np, {}
-
-    def words(self, text: str):
-        import xxhash
-
-        np, memo, of = self.np, self.memo, xxhash.xxh3_64_intdigest
-        if len(memo) > 200_000:
-            memo.clear()
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        for w in words:
-            if w not in memo:
-                memo[w] = of(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-    def __call__(self, text: str | None):
-        np = self.np
-        h = self.words(text or "")
-        if not len(h):
-            return np.empty(0, np.uint64)
-        k = min(WORDS, len(h))
-        n = len(h) - k + 1
-        out = np.full(n, k, np.uint64)
-        for i in range(k):  # order matters: multiply and mix between words
-            out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-        return np.unique(out)
+def shingles_of(texts: list[str | None]):
+    """For each text its sorted distinct 64-bit shingle hashes. The texts' words are hashed together, BYTES_AT_ONCE or one text at
+    a time."""
+    import numpy as np
+
+    raw, at = [(t or "").encode("utf-8", "surrogatepass") for t in texts], 0
+    while at < len(raw):
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) < BYTES_AT_ONCE):
+            size += len(raw[end]) + 1
+            end += 1
+        block = np.frombuffer(b" ".join([*raw[at:end], b""]).lower(), np.uint8)
+        word = ~_is_space().take(block)
+        edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0))  # a word is followed by a space
+        starts, ends = edges[::2], edges[1::2]
+        [hashes] = run_hashes(block * word, starts, ends - starts)
+        bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(r) + 1 for r in raw[at:end]]))).tolist()
+        whole = _mixed(hashes, WORDS) if len(hashes) >= WORDS else None
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a < WORDS:
+                yield _mixed(hashes[a:b], b - a) if b > a else np.empty(0, np.uint64)
+                continue
+            s = np.sort(whole[a : b - WORDS + 1])
+            fresh = np.empty(len(s), bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            yield s[fresh]
+        at = end
+
+
+@cache
+def _is_space():
+    import numpy as np
+
+    return np.isin(np.arange(256), list(SPACES.encode()))
 
 
 def needed(n: int) -> int:
@@ -84,7 +104,7 @@ def frequent_shingles(docs: DataFrame, most: int = MOST_FREQUENT) -> list[int]:
     def count(batches):
         import numpy as np
 
-        shingles, seen = Shingler(), set()
+        seen = set()
         held, size, total = [], 0, None
 
         def merged(parts, total):
@@ -95,8 +115,7 @@ def frequent_shingles(docs: DataFrame, most: int = MOST_FREQUENT) -> list[int]:
             return values, counts
 
         for batch in in_slices(batches):
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
+            for s in shingles_of(batch.column(0).to_pylist()):
                 key = hash(s.tobytes())
                 if key in seen:
                     continue
@@ -125,14 +144,12 @@ def prefixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
         import numpy as np
         import xxhash
 
-        shingles = Shingler()
         order = np.array(shared.value, np.int64).view(np.uint64)
         sorter = np.argsort(order)
         values = order[sorter]
         for batch in in_slices(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
+            for s in shingles_of(batch.column(1).to_pylist()):
                 n = len(s)
                 sign = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) if n else (0, 0)
                 if len(values) and n:
@@ -161,11 +178,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         import numpy as np
         import xxhash
 
-        shingles = Shingler()
         for batch in in_slices(batches):
             held, found = [], []
-            for doc_id, text, s1 in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(text)
+            doc_ids, texts, signs = (c.to_pylist() for c in batch.columns)
+            for doc_id, s, s1 in zip(doc_ids, shingles_of(texts), signs):
                 if len(s) and int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) == s1:
                     held.append(doc_id)
                     found.append(s)
