@@ -102,6 +102,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def in_blocks(batches, chars: int = 1_000_000):
+    """(slice of a record batch, its texts, which stand last), with so many characters at most or one text."""
+    for batch in in_slices(batches):
+        texts, at = texts_of(batch.columns[-1]), 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= chars:
+                size += len(texts[end])
+                end += 1
+            yield batch.slice(at, end - at), texts[at:end]
+            at = end
+
+
 def ascii_lower(c):
     """A-Z lower-cased, other characters as they are. lower() does just that for texts of ASCII characters alone."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

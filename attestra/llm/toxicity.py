@@ -31,14 +31,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import in_slices, sent_if_few, settled, texts_of
+from attestra.llm.run_hashes import distinct, run_hashes
+from attestra.llm.shared import in_blocks, in_slices, sent_if_few, settled, texts_of
 from attestra.llm.transducers import Transducer, between, compose, read, within
+from attestra.llm.word_blocks import Codes, spread
 
 _LETTERS = r"[^\W\d_]"
 #: Words, with a short ending after an apostrophe; ends; quotation marks before a word and after one.
@@ -57,6 +59,8 @@ NEGATED, REPORTED, TARGETED, THREAT, SPAN = 0.5, 0.6, 1.25, 3.0, 3
 STEMS = range(3, 7)
 #: Words that a worker remembers to have looked up.
 WORDS_SEEN = 400_000
+#: Features that a task counts at once, and the two hashes of one.
+FEATURES_HELD, HASHES = 300_000, (1, 2)
 #: Least exponent of Chernoff's bound on the chance of so many toxic texts: exp(-9) at most.
 SIGNIFICANT = 9.0
 SEEDS = {f"={w}": 4.0 for w in SEED_INSULTS}
@@ -187,31 +191,113 @@ def _paired(symbols: list[str]) -> list[str]:
     return symbols
 
 
-def _features(word: str):
-    yield "=" + word
-    for n in STEMS:
-        if len(word) > n:
-            yield "^" + word[:n]
+class Held:
+    """Rows of features (name and values) that a task has met. They are merged by name when over FEATURES_HELD, and passed
+    on if half of those are left then, so that a task's memory is bounded. merge: of each value."""
+
+    def __init__(self, names: list[str], merge: list) -> None:
+        self.names, self.merge, self.held, self.size = names, merge, [], 0
+
+    def add(self, *columns):
+        """The record batch that is passed on now, if any."""
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size > FEATURES_HELD:
+            self._merge()
+            if 2 * self.size > FEATURES_HELD:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        names, *values = zip(*self.held)
+        coded = pa.concat_arrays(names).dictionary_encode()
+        which, n = coded.indices.to_numpy(), len(coded.dictionary)
+        self.held, self.size = [(coded.dictionary, *[f(which, np.concatenate(v), n) for f, v in zip(self.merge, values)])], n
+
+    def rest(self):
+        if self.held:
+            self._merge()
+            yield pa.RecordBatch.from_arrays([self.held[0][0], *map(pa.array, self.held[0][1:])], names=self.names)
+            self.held, self.size = [], 0
+
+
+def _sums(which, values, n: int):
+    return np.bincount(which, values, n).astype(values.dtype)
+
+
+def _unions(which, bits, n: int):
+    """The bits of each of n sets, every one of which has some."""
+    order = np.argsort(which, kind="stable")
+    return np.bitwise_or.reduceat(bits[order], np.searchsorted(which[order], np.arange(n))) if n else bits[:0]
+
+
+def feature_hashes(features: list[str]):
+    """Two hashes of 64 bits of each feature."""
+    codes = np.frombuffer("".join(features).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter(map(len, features), np.int64, len(features))
+    return run_hashes(codes, np.cumsum(lens) - lens, lens, HASHES)
+
+
+class Features:
+    """The features of words, all in arrays: h1 and h2 as `feature_hashes` gives them, the word that each belongs to, and
+    the length of its stem (0 for the word itself)."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        codes = np.frombuffer("".join(["=" + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lens) - lens
+        found = [(*run_hashes(codes, starts, lens, HASHES), np.arange(len(words)), np.zeros(len(words), np.int64))]
+        for n in STEMS:
+            longer = np.flatnonzero(lens - 1 > n)
+            stems = codes[starts[longer][:, None] + np.arange(n + 1)]
+            stems[:, 0] = ord("^")
+            size = np.full(len(longer), n + 1, np.int64)
+            found.append((*run_hashes(stems.ravel(), np.arange(len(longer)) * (n + 1), size, HASHES), longer, size - 1))
+        self.h1, self.h2, self.word, self.stem = map(np.concatenate, zip(*found))
+
+    def names(self, at) -> pa.Array:
+        own = zip(self.word[at].tolist(), self.stem[at].tolist())
+        return pa.array(["^" + self.words[w][:n] if n else "=" + self.words[w] for w, n in own], pa.string())
+
+    def numbered(self):
+        """(first, which): where each distinct feature stands first, and for every feature the number of its distinct one."""
+        first, which = distinct(self.h1)
+        if (self.h2[first][which] != self.h2).any():  # two features with one hash
+            _, first, which = np.unique(np.stack([self.h1, self.h2]), axis=1, return_index=True, return_inverse=True)
+            which = which.ravel()
+        return first, which
+
+    def held(self, number, rows, codes, n: int):
+        """(row, number) of the features of n numbers that each row's words have, once each. number: of each feature, -1 for
+        one that doesn't count; codes: the words of rows."""
+        kept = np.flatnonzero(number >= 0)
+        kept = kept[np.argsort(self.word[kept], kind="stable")]
+        length = np.bincount(self.word[kept], minlength=len(self.words))
+        flat, ends = spread(np.cumsum(length) - length, length, number[kept], codes)
+        pairs = np.unique(np.repeat(rows, np.diff(ends, prepend=0)) * n + flat)
+        return pairs // max(n, 1), pairs % max(n, 1)
 
 
 def _support(batches):
-    """Per task: feature -> texts that hold it, and a 64-bit sketch of its neighbourhoods."""
+    """feature -> texts that hold it, and a 64-bit sketch of its neighbourhoods, from Arrow batches of texts."""
     import xxhash
 
-    texts, sketches = Counter(), {}
-    for batch in in_slices(batches):
-        for text in texts_of(batch.column(0)):
+    held = Held(["feature", "n", "bits"], [_sums, _unions])
+    for _, texts in in_blocks(batches):
+        codes, rows, bits = Codes(), [], []
+        for text in texts:
             words = _WORD_TOKEN.findall(text.lower())
-            held = set()
-            for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-                bit = 1 << (xxhash.xxh3_64_intdigest(f"{before} {after}".encode("utf-8", "surrogatepass")) & 63)
-                for f in _features(word):
-                    held.add(f)
-                    sketches[f] = sketches.get(f, 0) | bit
-            texts.update(held)
-    names = list(texts)
-    bits = [sketches[f] - (1 << 64) if sketches[f] >> 63 else sketches[f] for f in names]
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([texts[f] for f in names], pa.int64()), pa.array(bits, pa.int64())], names=["feature", "n", "bits"])
+            rows.append(codes.of(words))
+            bits += [xxhash.xxh3_64_intdigest(f"{before} {after}".encode("utf-8", "surrogatepass")) & 63 for before, _, after in zip(["", *words], words, [*words[1:], ""])]
+        if not codes:
+            continue
+        features, at = Features(list(codes)), np.concatenate(rows).astype(np.int64)
+        first, which = features.numbered()
+        _, number = features.held(which, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), at, len(first))
+        of_words = _unions(at, np.left_shift(np.uint64(1), np.array(bits, np.uint64)), len(codes))
+        sketches = _unions(which, of_words[features.word], len(first)).view(np.int64)
+        yield from held.add(features.names(first), np.bincount(number, minlength=len(first)), sketches)
+    yield from held.rest()
 
 
 def labels_of(labels: DataFrame, column: str, train: Column) -> DataFrame:
@@ -224,40 +310,48 @@ def labels_of(labels: DataFrame, column: str, train: Column) -> DataFrame:
     )
 
 
-def _background(wanted):
-    """Arrow batches of (text, copies) -> feature, n: the distinct texts that hold it, each of the copies being its share.
-    wanted: the features to count; None counts all. Counts are passed on when many, so that a task's memory is bounded."""
+class Wanted:
+    """Features to count, in order of their first hash."""
+
+    def __init__(self, features: list[str]) -> None:
+        h1, h2 = feature_hashes(features)
+        order = np.argsort(h1, kind="stable")
+        self.h1, self.h2, self.names = h1[order], h2[order], pa.array(features, pa.string()).take(pa.array(order))
 
-    def counted(counts):
-        names = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(counts[f]) for f in names], pa.float64())], names=["feature", "n"])
+    def places(self, h1, h2):
+        """The feature with each pair of hashes, -1 for one that isn't wanted."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+
+def _background(shared):
+    """Arrow batches of (copies, text) -> feature, n: the distinct texts that hold it, each of the copies being its share.
+    shared: the features to count (`Wanted`), broadcast; None counts all."""
 
     def background(batches):
-        # word -> the features of it that are counted; seen holds those without any.
-        words_kept, memo, seen, counts = WORDS_SEEN if wanted else 30_000, {}, set(), Counter()
-        for batch in in_slices(batches):
-            for text, copies in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                words = set(_WORD_TOKEN.findall(text.lower()))
-                new = {w for w in words - seen if w not in memo}
-                if len(seen) + len(memo) + len(new) > words_kept:
-                    seen.clear()
-                    memo.clear()
-                    new = words
-                for word in new:
-                    if own := tuple(f for f in _features(word) if not wanted or f in wanted.value):
-                        memo[word] = own
-                    else:
-                        seen.add(word)
-                held = set().union(*[memo[w] for w in words if w in memo])
-                if copies == 1:
-                    counts.update(held)
-                else:
-                    for f in held:
-                        counts[f] += 1 / copies
-                if len(counts) > 300_000:
-                    yield counted(counts)
-                    counts = Counter()
-        yield counted(counts)
+        wanted = shared and shared.value
+        counts = np.zeros(len(wanted.names) if wanted else 0)
+        held = Held(["feature", "n"], [_sums])
+        for batch, texts in in_blocks(batches):
+            codes = Codes()
+            rows = [codes.of(list(set(_WORD_TOKEN.findall(t.lower())))) for t in texts]
+            if not codes:
+                continue
+            features, share = Features(list(codes)), 1 / batch.column(0).to_numpy()
+            at, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            if wanted:
+                row, number = features.held(wanted.places(features.h1, features.h2), row, at, len(counts))
+                counts += np.bincount(number, share[row], len(counts))
+            else:
+                first, which = features.numbered()
+                row, number = features.held(which, row, at, len(first))
+                yield from held.add(features.names(first), np.bincount(number, share[row], len(first)))
+        if wanted:
+            met = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([wanted.names.take(pa.array(met)), pa.array(counts[met])], names=["feature", "n"])
+        yield from held.rest()
 
     return background
 
@@ -288,8 +382,8 @@ def learn_insults(docs: DataFrame, labels: DataFrame, most_sent: int = 200_000,
         .select("feature", "n")
     )
     few = candidates.count() <= most_sent
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in candidates.select("feature").collect())) if few else None
-    texts = hashed.select("text", "h").join(sent_if_few(groups), "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    wanted = docs.sparkSession.sparkContext.broadcast(Wanted([r[0] for r in candidates.select("feature").collect()])) if few else None
+    texts = hashed.select("text", "h").join(sent_if_few(groups), "h", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), "text")
     everywhere = texts.mapInArrow(_background(wanted), "feature string, n double").groupBy("feature").agg(F.round(F.sum("n")).alias("all_n"))
     expected = F.col("all_n") * chance
     purity = F.least((F.col("n") / n_toxic * prior * n_all + 0.5) / (F.col("all_n") + 1), F.lit(0.99))

@@ -1,8 +1,12 @@
 """Toxicity, quality rules, quality classifier."""
 
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -147,3 +151,37 @@ def test_bands_judge_the_end():
     for n in (200, 500, 996, 1023):
         assert not quality_rules.in_bands(prose[:16384] + (b"again " * 200)[:n], compress)[0]
     assert not quality_rules.in_bands(prose[:16384] + rng.randbytes(900), compress)[0]
+
+
+def test_features_are_counted_in_bounded_memory(spark, monkeypatch):
+    """Counts and sketches as by brute force, in batches of bounded size however many features a task meets."""
+    held = 3000
+    monkeypatch.setattr(toxicity, "FEATURES_HELD", held, raising=False)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 9))) for _ in range(4000)] + ["x" * 70, "x" * 70 + "y", "日本語", "Don't"]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(1500)] + ["", "1 2", "a", "Don't " + "x" * 70 + "y a_b"]
+    number, bits = Counter(), Counter()
+    for text in texts:
+        own = re.findall(r"[^\W\d_]+", text.lower())
+        of = [["=" + w, *("^" + w[:n] for n in range(3, 7) if len(w) > n)] for w in own]
+        number.update({f for fs in of for f in fs})
+        for before, fs, after in zip(["", *own], of, [*own[1:], ""]):
+            for f in fs:
+                bits[f] |= 1 << (xxhash.xxh3_64_intdigest(f"{before} {after}".encode()) & 63)
+
+    def batches(*columns):
+        for i in range(0, len(texts), 10):
+            yield pa.RecordBatch.from_arrays([c.slice(i, 10) for c in map(pa.array, columns)], names=["copies", "text"][-len(columns) :])
+
+    got, n, sketch = list(toxicity._support(batches(texts))), Counter(), Counter()
+    for f, k, b in [row.values() for batch in got for row in batch.to_pylist()]:
+        n[f] += k
+        sketch[f] |= b % (1 << 64)
+    assert n == number and sketch == bits and len(got) > 1 and max(b.num_rows for b in got) <= held + 1200
+
+    some = [*rng.sample(sorted(number), 500), "=nowhere"]
+    arcs = spark.createDataFrame([(t, c) for t in texts for c in (1, 2, 2)], "text string, copies long").select("copies", "text")
+    shared = spark.sparkContext.broadcast(toxicity.Wanted(some))
+    for wanted, expected in ((shared, {f: number[f] for f in some if number[f]}), (None, number)):
+        rows = arcs.repartition(3).mapInArrow(toxicity._background(wanted), "feature string, n double").groupBy("feature").agg(F.sum("n").alias("n"))
+        assert {r.feature: r.n / 2 for r in rows.collect()} == expected
