@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.llm.run_hashes import distinct, run_hashes
-from attestra.llm.shared import Scratch, in_slices, texts_of
+from attestra.llm.shared import Scratch, in_slices, short_batches, texts_of
 from attestra.llm.token_counts import is_unigram
 
 #: More pieces than this are joined by shuffle. Frequent words are sent as two hashes and ids, some 30 bytes each.
@@ -39,8 +39,9 @@ BITS = 61
 SPACE = "▁"
 #: Words of the table of frequent words that one task encodes; distinct words that a task counts at once.
 WORDS_A_PART, WORDS_HELD = 20_000, 400_000
-#: Characters of the texts that a task looks at together.
-CHARS_AT_ONCE = 1_000_000
+#: Characters of the texts that a task looks at together, and rows of which it makes Python objects at a time: a worker holds
+#: some 100 bytes a character while it does.
+CHARS_AT_ONCE, ROWS_AT_ONCE = 250_000, 200
 #: The two hashes of a word.
 SEEDS = (1, 2)
 
@@ -266,7 +267,7 @@ def _joined_as_array(size: Column) -> Column:
 
 def _blocks(batches):
     """(slice of a record batch, its texts, which stand last), with CHARS_AT_ONCE characters at most or one text."""
-    for batch in in_slices(batches):
+    for batch in in_slices(batches, ROWS_AT_ONCE):
         texts, at = texts_of(batch.columns[-1]), 0
         while at < len(texts):
             end, chars = at, 0
@@ -439,6 +440,7 @@ def _coded(docs: DataFrame, pieces: Pieces, known: Known) -> DataFrame:
 def encode_documents(docs: DataFrame, model: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, round_trip) of every row of docs, in any order. round_trip: decoding ids gives
     the text."""
+    short_batches(docs.sparkSession)
     pieces = Pieces(docs.sparkSession, model)
     known = known_words(docs, pieces, most_frequent)
     kind, gap, spelling = known.ids.dtype, known.gap, pieces.spelling
@@ -456,7 +458,7 @@ def encode_documents(docs: DataFrame, model: str, most_frequent: int = MOST_FREQ
         import pyarrow as pa
         import xxhash
 
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, ROWS_AT_ONCE):
             doc_id, sign, raw, rare = batch.columns
             out, same = [], []
             for codes, mark, more in zip(raw.to_pylist(), sign.to_pylist(), rare.to_pylist()):

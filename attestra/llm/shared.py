@@ -90,6 +90,18 @@ def sent_if_few(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+#: Texts that go to a worker in one Arrow batch.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most BATCH_ROWS rows in an Arrow batch (Spark's default is 10,000). Executor and worker each
+    hold a whole batch beside the heap, so that rows of long texts weigh there. It is set for good, as a lazy result runs later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def in_slices(batches, rows: int = 1000):
     """The record batches in slices, so that a worker makes Python objects of few rows at a time."""
     for batch in batches:

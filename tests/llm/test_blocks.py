@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from attestra.llm import sentencepiece_lattice as lattice
+from tests.llm.conftest import PIECES
 
 PAIRS = {"▁a", "ab", "bc", "ca", "cb", "▁▁", "é日"}
 
@@ -66,6 +67,35 @@ def test_a_task_remembers_no_words_of_blocks_that_are_done(spark, step):
     assert rows > 500 and peak < 60
 
 
+@pytest.mark.parametrize("step, most", [("count", 40), ("code", 40)])
+def test_a_task_holds_little_of_a_large_batch(step, most, spark):
+    table, held = caught(step)
+    cutter = lattice.Cutter({a + b for a in "▁abcdefgh" for b in "abcdefgh"})
+    texts = many_words(1, 20, 2000) * 30
+    if step == "count":
+        lattice.word_counts(table, cutter)
+    else:
+        none = np.empty(0, np.uint64)
+        lattice._coded(table, SimpleNamespace(cutter=cutter), lattice.Known(none, none, np.zeros(1, np.int64), np.empty(0, "<u2")))
+    fields = [pa.array(texts)] if step == "count" else [pa.array(range(600)), pa.array(range(600)), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(fields, names=["row", "doc_id", "text"][-len(fields) :])
+    _, peak = peak_of(lambda: sum(b.num_rows for b in held[0](iter([batch]))))
+    assert peak < most
+
+
+def test_texts_go_to_workers_in_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 10_000)
+    docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "'a b' as text")
+    encoded = lattice.encode_documents(docs, PIECES)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= 1000 and encoded.count() == 3000
+    spark.conf.set(key, 7)
+    lattice.encode_documents(docs.limit(0), PIECES)
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)
+
+
 def cut(text):
     """Words of one text by the rule, character by character."""
     out, text = [], "▁" + text.replace(" ", "▁") if text else ""
