@@ -20,26 +20,38 @@ import marshal
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared import Scratch, in_slices, sent_if_few, settled, texts_of
+from attestra.llm.shared import SPACES, Scratch, in_blocks, in_slices, sent_if_few, settled, texts_of
 from attestra.llm.toxicity import labels_of
 
 #: Texts of the sample that an n-gram must be in.
 SUPPORT = 3
+#: Characters of the texts that a task looks at together.
+CHARS_AT_ONCE = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
 
-def _shape(word: str) -> str:
-    case = "u" if len(word) > 2 and word.isupper() else "t" if word[:1].isupper() else "l"
+def _case(word: str) -> str:
+    return "u" if len(word) > 2 and word.isupper() else "t" if word[:1].isupper() else "l"
+
+
+def _classes(words: str) -> str:
+    """Letters, digits and signs in order, of a word or of several with line ends between them."""
     for pattern, to in _SHAPES:
-        word = pattern.sub(to, word)
-    return case + word
+        words = pattern.sub(to, words)
+    return words
+
+
+def _shape(word: str) -> str:
+    return _case(word) + _classes(word)
 
 
 class Grams:
@@ -75,17 +87,158 @@ class Grams:
         return chain(*grams, zip(words), zip(words, words[1:]), zip(words, words[1:], words[2:]))
 
 
+class Family:
+    """The places of n-grams of one kind, by the numbers of their symbols (-1: none, which every table answers with -1)."""
+
+    def __init__(self, grams: dict[tuple, int]) -> None:
+        import numpy as np
+
+        self.number: dict = {}
+        for gram in grams:
+            for symbol in gram:
+                self.number.setdefault(symbol, len(self.number))
+        self.n, number = max(len(self.number), 1), self.number
+        pairs = {number[g[0]] * self.n + number[g[1]]: -1 for g in grams if len(g) > 1}
+        pairs |= {number[g[0]] * self.n + number[g[1]]: at for g, at in grams.items() if len(g) == 2}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.two = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        rank = dict(zip(self.pairs.tolist(), range(len(pairs))))
+        triples = {rank[number[g[0]] * self.n + number[g[1]]] * self.n + number[g[2]]: at for g, at in grams.items() if len(g) == 3}
+        self.triples = np.array(sorted(triples), np.int64)
+        self.three = np.array([triples[k] for k in self.triples.tolist()], np.int64)
+        self.one = np.full(self.n + 1, -1, np.int64)
+        for gram, at in grams.items():
+            if len(gram) == 1:
+                self.one[number[gram[0]]] = at
+
+    @staticmethod
+    def _found(table, keys):
+        import numpy as np
+
+        if not len(table):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, at, -1)
+
+    def found(self, symbols, within):
+        """(where it begins, place) of every n-gram of symbols that has a place. within: numbers of the stretches that
+        n-grams don't leave."""
+        import numpy as np
+
+        if not len(symbols):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0) & (within[:-1] == within[1:]))
+        pair = self._found(self.pairs, symbols[i] * self.n + symbols[i + 1])
+        i, pair = i[pair >= 0], pair[pair >= 0]
+        last = np.minimum(i + 2, len(symbols) - 1)
+        more = np.flatnonzero((i + 2 < len(symbols)) & (symbols[last] >= 0) & (within[last] == within[i]))
+        triple = self._found(self.triples, pair[more] * self.n + symbols[last[more]])
+        more, triple = more[triple >= 0], triple[triple >= 0]
+        begins = np.concatenate([np.arange(len(symbols)), i, i[more]])
+        places = np.concatenate([self.one[symbols], self.two[pair], self.three[triple]])
+        return begins[places >= 0], places[places >= 0]
+
+
 class Dictionary:
     """The n-grams that are features, and their places."""
 
     def __init__(self, grams: list[tuple]) -> None:
         self.places = {g: i for i, g in enumerate(grams)}
         self.known = frozenset(grams)
+        of_words, of_shapes, self.others = {}, {}, {}
+        for g, i in self.places.items():
+            (of_words if isinstance(g[0], bytes) else of_shapes if isinstance(g[-1], str) else self.others)[g] = i
+        self.words, self.shapes = Family(of_words), Family(of_shapes)
 
     def __call__(self, grams: Iterable[tuple]) -> list[int]:
         return sorted(map(self.places.__getitem__, self.known.intersection(grams)))
 
 
+@cache
+def _is_space():
+    import numpy as np
+
+    return np.isin(np.arange(256), list(SPACES.encode()))
+
+
+def _words(text: str):
+    """(bytes, starts, distinct words, the number of each word's distinct one) of a text that ends with a space."""
+    import numpy as np
+
+    block = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    word = ~_is_space().take(block)
+    edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0))
+    starts, lens = edges[::2], edges[1::2] - edges[::2]
+    ends = np.append(0, np.cumsum(lens)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(block[word])]).dictionary_encode()
+    return block, starts, coded.dictionary, coded.indices.to_numpy()
+
+
+class Places:
+    """Texts -> (bounds, places): the sorted places of their n-grams, one text after another. What a Dictionary says of Grams,
+    for a block of texts at once: its words are told apart in an Arrow dictionary, n-grams looked up as numbers in arrays."""
+
+    def __init__(self, dictionary: Dictionary) -> None:
+        import numpy as np
+
+        self.of = dictionary
+        self.vocabulary = pa.array(list(dictionary.words.number), pa.binary())
+        number = dictionary.shapes.number
+        bases = list({s.lstrip("=~"): None for s in number})
+        #: For a shape the numbers of it, and of it with = and with ~; the last row is for shapes without any.
+        self.forms = np.array([[number.get(sign + base, -1) for sign in ("", "=", "~")] for base in bases] + [[-1] * 3], np.int64)
+        self.row = {base: i for i, base in enumerate(bases)}
+
+    def _rows(self, words: list[bytes]):
+        """Twice the row in forms, and 1 for a word of over 7 characters."""
+        import numpy as np
+
+        joined = b"\n".join(words).decode("utf-8", "surrogatepass")
+        shapes, rows, none = _classes(joined).split("\n"), self.row, len(self.row)
+        return np.array([2 * rows.get(_case(w) + shape, none) + (len(w) > 7) for w, shape in zip(joined.split("\n"), shapes)], np.int64)
+
+    def _shapes(self, words, codes, line):
+        import numpy as np
+
+        rows = self._rows(words.to_pylist())[codes]
+        form = np.zeros(len(codes), np.int64)
+        beside = line[1:] == line[:-1]
+        form[1:][beside & (codes[1:] == codes[:-1])] = 1
+        at = np.flatnonzero((rows & 1 == 1) & (form == 0))
+        near = np.zeros(len(at), bool)
+        for d in range(2, 13):
+            near |= (at >= d) & (codes[at - d] == codes[at]) & (line[at - d] == line[at])
+        # In Grams the first word of a longer line meets itself.
+        near |= np.append(beside, False)[at] & ~np.append(False, beside)[at]
+        form[at[near]] = 2
+        return self.forms[rows >> 1, form]
+
+    def __call__(self, texts: list[str]) -> tuple:
+        import numpy as np
+
+        joined = "\n".join([*texts, ""])
+        block, starts, words, codes = _words(joined)
+        ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
+        text = np.searchsorted(ends, starts, "right")
+        line = np.cumsum(block == 10)[starts]
+        shapes = self._shapes(words, codes, line)
+        _, _, words, codes = _words(joined.lower())  # as many words
+        numbers = pc.index_in(words, value_set=self.vocabulary).fill_null(-1).to_numpy().astype(np.int64)[codes]
+        found = [(text[i], places) for i, places in (self.of.words.found(numbers, text), self.of.shapes.found(shapes, line))]
+        others, has_words = self.of.others, np.bincount(text, minlength=len(texts)).tolist()
+        for i, t in enumerate(texts):
+            marks = [("n", min(len(t).bit_length(), 16) // 2)] + [("line", False)] * (has_words[i] > 0)
+            lines = t.split("\n")
+            if len(set(lines)) < len(lines):
+                lines = [x for x in lines if _WORD.search(x)]
+                marks += [("line", True)] * (len(set(lines)) < len(lines))
+            places = [others[m] for m in marks if m in others]
+            found.append((np.full(len(places), i), np.array(places, np.int64)))
+        size = max(len(self.of.places), 1)
+        keys = np.unique(np.concatenate([at for at, _ in found]) * size + np.concatenate([places for _, places in found]))
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * size), keys % size
+
+
 def _key(gram: tuple) -> bytes:
     return marshal.dumps(gram, 2)  # the version without references: equal n-grams give equal keys
 
@@ -123,10 +276,11 @@ def features_of(rows: DataFrame, dictionary) -> DataFrame:
     """(doc_id, label, places) of rows (doc_id, label, text). dictionary: a broadcast Dictionary."""
 
     def run(batches):
-        grams, of = Grams(), dictionary.value
-        for batch in in_slices(batches, 100):
-            found = [of(grams(t)) for t in texts_of(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "places"])
+        of = Places(dictionary.value)
+        for batch, texts in in_blocks(batches, CHARS_AT_ONCE):
+            bounds, places = of(texts)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "label", "places"])
 
     return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, places array<int>")
 
@@ -227,10 +381,18 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train: Column, sample_r
         model = spark.sparkContext.broadcast((ratios, weights))
 
         def score(from_texts: bool):
+            def blocks(batches):
+                if not from_texts:
+                    yield from ((batch, batch.column(1).to_pylist()) for batch in in_slices(batches))
+                    return
+                of = Places(held.value)
+                for batch, block in in_blocks(batches, CHARS_AT_ONCE):
+                    bounds, places = of(block)
+                    yield batch, [places[a:b] for a, b in zip(bounds, bounds[1:])]
+
             def run(batches):
-                grams, (ratios, weights) = Grams(), model.value
-                for batch in in_slices(batches):
-                    found = [held.value(grams(t)) for t in texts_of(batch.column(1))] if from_texts else batch.column(1).to_pylist()
+                ratios, weights = model.value
+                for batch, found in blocks(batches):
                     got = [1 / (1 + math.exp(-max(-30.0, min(30.0, a * m + b)))) for m in margins_of(found, ratios, weights)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 

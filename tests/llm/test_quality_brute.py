@@ -37,6 +37,35 @@ def test_dictionary_and_ratios_are_exact(spark):
     assert (b"the", b"of") in dictionary.known and ("n", 0) in qc.dictionary_of(known, 1).known
 
 
+def test_places_of_a_block_are_those_of_its_texts():
+    rng = random.Random(5)
+    words = ["Alphabetisch", "beta77", "GAMMA", "\n", "\n", " ", "\t", "=", "~~", "Σ", "ΣΑΣ.", "日本語", "İSTANBUL", "x", "\x85", "\x1c"]
+    texts = [end.join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(200) for end in ("", " ")]
+    texts += ["", "\n", " \t", "one", "Elefantenhaus x Elefantenhaus Elefantenhaus", "a\nb\n\na\n", " \n \n", "longlonglong", "\r\nA\x0bB\x0cC", "\ud800 a"]
+    grams = qc.Grams()
+    held = Counter(g for t in texts for g in set(grams(t)))
+    for least in (1, 3, 40):
+        dictionary = qc.Dictionary([g for g, c in held.items() if c >= least])
+        places, got = qc.Places(dictionary), []
+        for at in range(0, len(texts), 70):
+            bounds, found = places(texts[at : at + 70])
+            got += [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [dictionary(grams(t)) for t in texts]
+    bounds, found = qc.Places(qc.Dictionary([]))(texts[:3])
+    assert bounds.tolist() == [0] * 4 and not len(found)
+
+
+def test_a_block_takes_fewer_calls_than_it_has_words():
+    """Features of a block of texts are looked up in arrays: Python functions run per block and text, not per n-gram."""
+    import cProfile
+
+    text = " ".join(f"word{i % 50}" for i in range(5000))
+    grams = qc.Grams()
+    places, profile = qc.Places(qc.Dictionary(sorted(set(grams(text)), key=qc._key))), cProfile.Profile()
+    _, found = profile.runcall(places, [text] * 4)
+    assert len(found) and sum(x.callcount for x in profile.getstats()) < 4 * 5000
+
+
 def test_the_sample_is_bounded_and_even(spark):
     rows, df = small(spark)
     doubled = df.unionByName(df.where("label = 1"))
