@@ -207,7 +207,8 @@ class Places:
         at = np.flatnonzero((rows & 1 == 1) & (form == 0))
         near = np.zeros(len(at), bool)
         for d in range(2, 13):
-            near |= (at >= d) & (codes[at - d] == codes[at]) & (line[at - d] == line[at])
+            before = np.maximum(at - d, 0)
+            near |= (at >= d) & (codes[before] == codes[at]) & (line[before] == line[at])
         # In Grams the first word of a longer line meets itself.
         near |= np.append(beside, False)[at] & ~np.append(False, beside)[at]
         form[at[near]] = 2

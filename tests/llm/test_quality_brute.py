@@ -51,6 +51,8 @@ def test_places_of_a_block_are_those_of_its_texts():
             bounds, found = places(texts[at : at + 70])
             got += [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
         assert got == [dictionary(grams(t)) for t in texts]
+        for text in (*texts[-10:], "Elefantenhaus", "x Elefantenhaus"):  # blocks of few words
+            assert places([text])[1].tolist() == dictionary(grams(text))
     bounds, found = qc.Places(qc.Dictionary([]))(texts[:3])
     assert bounds.tolist() == [0] * 4 and not len(found)
 
