@@ -9,8 +9,9 @@ lesser m of the two in the prefixes of that m before it is verified by its whole
 Pairs are not expanded within a group of near copies. First every posting list links its members to its most common one,
 and links that hold are joined to components; members outside a list's largest component try that once more within it. Then only pairs of
 different components remain; of each posting list that still has several, the members outside its largest component
-meet the others. Every pair that is not verified is within a
-component already, so components are exact.
+meet the others. A member stays in such a list only if it has postings enough after it to share what the list's sizes and match
+counts ask for at least; without that, all variants of a much copied text would meet in all of its lists, the square of their
+number. Every pair that is not verified is within a component already, so components are exact.
 
 Defined cases: a null or empty text has no shingles and links with nothing, a text of under five words is one shingle; rows
 with a null doc_id are left out; rows that repeat a doc_id are one node, which has the links of each; texts are read
@@ -198,7 +199,8 @@ def _enough(n) -> F.Column:
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(shingle, id, n, m, common, pos, place, after): the postings that another class shares, with each class's adaptive
-    match count. pos: the place in the global order. common: how much of the class others share, greatest for the least altered of a group of copies. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
+    match count. pos: the place in the global order. common: how much of the class others share, greatest for the least altered of a group of
+    copies; a shingle counts by the logarithm of how many hold it, as two copies with the same edit share it too. place: the place in the prefix beyond that of match count 1, so that a prefix of match count m has place < m."""
     places = classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).select(
         "shingle", "id", "n", "pos", F.greatest(F.lit(0), F.col("pos") - (F.col("n") - _enough(F.col("n")))).cast("int").alias("place")
     )
@@ -206,7 +208,7 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.write(places.join(shared, "shingle"), "postings_all")
     # The estimated candidates of match count m: the postings of its prefix, less its own, over m.
     cost = [(F.sum(F.when(F.col("place") < m, F.col("held") - 1).otherwise(0)) / m).alias(f"c{m}") for m in MATCHES]
-    costs = found.groupBy("id", "n").agg(F.count("*").alias("common"), *cost)
+    costs = found.groupBy("id", "n").agg(F.sum(F.log2("held")).alias("common"), *cost)
     usable = [F.when(_enough(F.col("n")) >= m, F.struct(F.col(f"c{m}").alias("cost"), F.lit(m).alias("m"))) for m in MATCHES]
     chosen = costs.select("id", F.least(*usable, F.struct(F.lit(1e300).alias("cost"), F.lit(1).alias("m")))["m"].alias("m"), (F.col("common") / F.col("n")).alias("common"))
     return scratch.write(_ranked(found.drop("held").join(chosen, "id").where("place < m")), "postings")
@@ -241,14 +243,32 @@ def _needs() -> F.Column:
     return least - F.greatest(_enough(F.col("an")), _enough(F.col("bn"))) + F.least("am", "bm")
 
 
-def _candidates(meetings: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs that share enough of their prefixes. meetings: one row for each shared posting, with n, m, place and after of
-    both. The first shingle that a candidate pair shares has enough postings after it in both sets for the others, so pairs
-    meet in the early postings alone, not in all; then what their prefixes share is counted."""
+def _may_be_first() -> F.Column:
+    """Whether a posting (n, m, after) of a list with sizes low to high and match count least_m at least may be the first that its class
+    shares with a similar member. Before rounding, _needs less its match count rises with the other's size up to n and falls beyond it,
+    so it is least at the smallest or the largest size that is similar to n; rounding takes less than 1 from it."""
+    ends = F.greatest(F.col("low"), F.col("n") * (PERCENT / 100)), F.least(F.col("high"), F.col("n") * (100 / PERCENT))
+    needs = [(F.col("n") + x) * (PERCENT / (100 + PERCENT)) - F.greatest(F.col("n"), x) * (PERCENT / 100) for x in ends]
+    return F.col("after") + 1 > F.least(*needs) + F.least("m", "least_m") - 1 - 1e-6
+
+
+def _candidates(meetings: DataFrame, classes: DataFrame, scratch: Scratch, name: str, before: list[DataFrame]) -> DataFrame:
+    """Pairs that share enough of their prefixes, lesser id first. meetings: one row for each shared posting, with n, m, place and after
+    of both. The first shingle that a candidate pair shares has enough postings after it in both sets for the others, so pairs
+    meet in the early postings alone, not in all; then what their prefixes share is counted. before: the pairs that have met in earlier
+    rounds, which are decided; this round's are added."""
     near = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT
     early = (F.greatest("ap", "bp") < F.least("am", "bm")) & (F.least("af", "bf") + 1 >= _needs())
-    met = scratch.write(meetings.where(near & early).select("a", "b", "an", "bn", "am", "bm").distinct(), f"{name}_met")
-    prefix = lambda side: classes.select(F.col("id").alias(side), F.col("prefix").alias(f"{side}x"))
+    # Turned round only now: the conditions above stand in the join and are evaluated for each of its rows.
+    turned = [F.when(F.col("a") > F.col("b"), F.col(y + c)).otherwise(F.col(x + c)).alias(x + c) for c in ("", "n", "m") for x, y in ("ab", "ba")]
+    met = meetings.where(near & early).select(*turned).dropDuplicates(["a", "b"])
+    for pairs in before:
+        met = met.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    met = scratch.write(met, f"{name}_met")
+    before.append(met)
+    ids = sent_if_few(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    held = scratch.write(classes.join(ids, "id").select("id", "prefix"), f"{name}_prefixes")
+    prefix = lambda side: held.select(F.col("id").alias(side), F.col("prefix").alias(f"{side}x"))
     part = lambda side: F.slice(f"{side}x", F.lit(1), (F.col(f"{side}n") - _enough(F.col(f"{side}n"))).cast("int") + F.least("am", "bm"))
     shared = F.size(F.array_intersect(part("a"), part("b")))
     return met.join(prefix("a"), "a").join(prefix("b"), "b").where(shared >= _needs()).select("a", "b")
@@ -259,11 +279,13 @@ def _side(postings: DataFrame, side: str):
 
 
 def _open_postings(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """The posting lists that hold several components, with each member's component and the list's largest one, main."""
+    """The posting lists that hold several components, with each member's component, the list's largest one, main, its least and greatest
+    sizes, low and high, and its least match count."""
     placed = postings.join(parts.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("component", F.coalesce("component", "id")).drop("of")
-    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    return placed.join(main.select("shingle", F.col("m.component").alias("main")), "shingle")
+    bounds = lambda low, high, m: [F.min(low).alias("low"), F.max(high).alias("high"), F.min(m).alias("least_m")]
+    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("k"), *bounds("n", "n", "m"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"), *bounds("low", "high", "least_m")).where("parts > 1")
+    return placed.join(main.select("shingle", F.col("m.component").alias("main"), "low", "high", "least_m"), "shingle")
 
 
 def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -284,29 +306,29 @@ def jaccard_components(docs: DataFrame, most_frequent: int = MOST_FREQUENT) -> D
     side = F.struct("common", (-F.col("id")).alias("later"), *_side(postings, "a"))
     star = ["p.a", "p.an", "p.am", "p.ap", "p.af", *_side(postings, "b")]
 
+    before = []
+
     def verified(meetings: DataFrame, name: str) -> DataFrame:
-        return _verified(_candidates(meetings, classes, scratch, name), docs, classes, scratch, name)
+        return _verified(_candidates(meetings, classes, scratch, name, before), docs, classes, scratch, name)
 
     stars = postings.join(postings.groupBy("shingle").agg(F.max(side).alias("p")), "shingle").select(*star)
     links = verified(stars.where("a <> b"), "links_1")
     parts = least_reachable(links, scratch, "first")
 
+    # Two components share nothing but open postings, so these alone count as after.
+    open_ = scratch.write(_ranked(_open_postings(postings.drop("after"), parts)).where(_may_be_first()), "open")
+
     # Then the members outside a list's largest component meet its most common member.
-    joined = _open_postings(postings, parts).select("*", F.when(F.col("component") == F.col("main"), side).alias("side"))
-    inner = joined.groupBy("shingle").agg(F.max("side").alias("p"))
-    links = links.unionByName(verified(joined.where("component <> main").join(inner, "shingle").select(*star), "links_2"))
-    parts = least_reachable(links, scratch, "second")
+    inner = open_.where("component = main").groupBy("shingle").agg(F.max(side).alias("p"))
+    more = verified(open_.where("component <> main").join(inner, "shingle").select(*star), "links_2")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        open_ = scratch.write(_open_postings(open_.select(postings.columns), least_reachable(links, scratch, "second")), "still_open")
 
-    # Two components share nothing but open postings, so these alone count as after.
-    open_ = scratch.write(_ranked(_open_postings(postings.drop("after"), parts)), "open")
     outside = open_.where("component <> main").select("shingle", F.col("component").alias("ac"), *_side(open_, "a"))
     others = open_.select("shingle", F.col("component").alias("bc"), F.col("main"), *_side(open_, "b"))
-    # Pairs of two outside members are met once, with the lesser id first.
-    met = outside.join(others, "shingle").where("ac <> bc and (bc = main or a < b)")
-    one, other = (F.struct(*[F.col(f"{x}{c}").alias(c or "id") for c in ("", "n", "m", "p", "f")]) for x in "ab")
-    met = met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
-    met = met.select(*[F.col(x)[c or "id"].alias(f"{x}{c}") for x in "ab" for c in ("", "n", "m", "p", "f")])
-    rest = verified(met, "links_3")
+    # Pairs of two outside members are met once.
+    rest = verified(outside.join(others, "shingle").where("ac <> bc and (bc = main or a < b)"), "links_3")
     components = least_reachable(links.unionByName(rest), scratch, "third")
 
     class_of = classes.join(components.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(

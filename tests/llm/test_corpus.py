@@ -137,6 +137,45 @@ def test_jaccard_join_is_exact(spark, seed):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == components(rows)
 
 
+def variants(seed, n):
+    """Texts that differ from one in 1 to 4 words, or in 9 to 16, which no longer links; and two that share 7 changes and are shorter, so
+    that others hold all of their prefixes."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+
+    def changed(places):
+        t = list(base)
+        for at in places:
+            t[at] = f"x{rng.randrange(10**6)}"
+        return t
+
+    texts = [base, *[changed(rng.sample(range(400), rng.randint(9, 16) if i % 4 == 0 else rng.randint(1, 4))) for i in range(n)]]
+    worst = changed(range(30, 380, 57))[:-1]
+    return [(i, " ".join(t)) for i, t in enumerate([*texts, worst, ["y", *worst[1:]]])]
+
+
+def test_jaccard_meetings_of_a_group(spark, monkeypatch):
+    """The last round doesn't expand a group of variants into pairs, and the first one links all that resemble the text itself."""
+    met, linked = {}, {}
+    candidates, verified = jaccard_join._candidates, jaccard_join._verified
+
+    def counted(meetings, classes, scratch, name, *rest):
+        met[name] = meetings.count()
+        return candidates(meetings, classes, scratch, name, *rest)
+
+    def found(pairs, docs, classes, scratch, name):
+        out = verified(pairs, docs, classes, scratch, name)
+        linked[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_candidates", counted)
+    monkeypatch.setattr(jaccard_join, "_verified", found)
+    rows = variants(3, 80)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == components(rows)
+    assert met["links_3"] < 50 * len(rows) and linked["links_1"] >= 60 and linked["links_3"] == 0, (met, linked)
+
+
 def test_jaccard_odd_tables(spark, odd, none, sf, documents):
     assert jaccard_join.jaccard_components(none).count() == 0
     got = sorted(set((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd).collect()))
